@@ -8,6 +8,7 @@ response is weighed by its words, and by host evidence: how many texts of how ma
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,7 +41,7 @@ _SEPARATED = re.compile(r"\s*[|·•»>\-–—/]\s*")
 
 #: What shows that a sentence tells of such texts rather than being one.
 _TALKS = re.compile(
-    r"\b(?:quotes?|reads? (?:out|aloud)|says|asks?|asked|explains?|writes|lesson|tutorial|talk|talks|talking|sign in the shot|audience|viewers|poster|on purpose|compares|museums?|laughs?"
+    r"\b(?:quotes?|reads? (?:out|aloud)|says|asks|explains?|writes|lesson|tutorial|talk|talks|talking|sign in the shot|audience|viewers|poster|on purpose|compares|museums?|laughs?"
     r"|vortrag|erklärt|liest|schild|lachen|zuschauer|fragt|steht"
     r"|exposé|explique|lit|panneau|rit|demande|public|animatrice"
     r"|charla|explica|lee|cartel|ríe|pregunta|profesora|público)\b|[\"“”«»„`]", re.I,
@@ -59,11 +60,11 @@ _ERROR_STRONG = re.compile(
     r"|accès (?:refusé|interdit)|session a expiré|reconnectez|un problème est survenu|une erreur est survenue|introuvable|réessayez|ne répond pas|trop de requêtes|n'est pas disponible|n’est pas disponible"
     r"|acceso (?:denegado|prohibido)|sesión ha caducado|vuelva a (?:entrar|iniciar)|algo falló|algo salió mal|no encontramos|no se encontró|no encontrad[oa]|inténtelo|no responde|demasiadas (?:solicitudes|peticiones)|no está disponible", re.I,
 )
-_ERROR_WEAK = re.compile(r"\b(?:error|errors|erreur|fehler|failed|failure|warning|http|sorry|désolé|désolée|leider|lo sentimos|ticket|vorgang|dossier|caso|status|request|code|denied|expired|unavailable|server|\w*exception|at \w+\.\w+|file \"[^\"]+\", line)\b|\b[45]\d\d\b|\w+d/\d+\.\d+", re.I)
+_ERROR_WEAK = re.compile(r"\b(?:error|errors|erreur|fehler|failed|failure|warning|http|sorry|désolé|désolée|leider|lo sentimos|ticket|vorgang|dossier|caso|status|request|code|denied|expired|unavailable|server|\w*exception|at \w+\.\w+|file \"[^\"]+\", line)\b|\w+d/\d+\.\d+|reload the page|refresh the page|seite neu laden|rechargez la page|recargue la página", re.I)
 
 #: Signs of filler: announced or placeholder texts.
 _FILLER = re.compile(
-    r"lorem ipsum|dolor sit amet|(?:dummy|filler|sample|placeholder|example) (?:text|copy|paragraph|description|content|caption|title|sentence)|text (?:to come|goes here|comes here|will follow|follows)|(?:description|text|caption|content|title) (?:goes|comes|will go|will be|will appear) here|to be (?:replaced|added|written|done|announced|filled)|coming soon|for layout only|replace (?:this|me)|^tb[ad]$|^to ?do$"
+    r"lorem ipsum|dolor sit amet|(?:dummy|filler|sample|placeholder|example) (?:text|copy|paragraph|description|content|caption|title|sentence)|text (?:to come|to follow|goes here|comes here|will follow|follows)|(?:description|text|caption|content|title) (?:goes|comes|will go|will be|will appear) here|to be (?:replaced|added|written|done|announced|filled)|coming soon|for layout only|replace (?:this|me)|^tb[ad]$|^to ?do$"
     r"|blindtext|platzhalter|beispiel(?:absatz|text)|text folgt|hier (?:kommt|steht|folgt).{0,30}(?:hin|beschreibung|text)|bitte ersetzen|mustertext|fülltext"
     r"|texte à venir|faux texte|viendra ici|paragraphe d['’]exemple|texte d['’]exemple|à remplacer|texte de remplissage"
     r"|texto pendiente|texto de (?:relleno|muestra|ejemplo|prueba)|aquí irá|párrafo de (?:muestra|ejemplo)|por sustituir|marcador de posición", re.I,
@@ -78,6 +79,7 @@ pellentesque vestibulum curabitur suspendisse aenean donec praesent vivamus phas
 #: Keyboard mash and stand-in words of test entries.
 _MASH = frozenset("asdf qwer jkl jklö qwerty qwertz asdfgh xxx xxxx xx test testing tests foo bar baz blah bla foobar yyy zzz aaa abc hjkl uiop zxcv".split())
 
+_FORMAT = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
 _WORDS = re.compile(r"[^\W\d_]+")
 _NUMBERED = re.compile(r"\w*\d\w*")
@@ -134,6 +136,7 @@ def unit_score(unit: str) -> int:
 
 def signs(text: str, slug: str | None = None, title: str | None = None) -> tuple[bool, float, float, int, str]:
     """(unfilled, share of residue words, share with weak ones, words, skeleton) of a text."""
+    text = _FORMAT.sub("", unicodedata.normalize("NFKC", text))
     raw = _TAG.search(text) and _ERROR_STRONG.search(text)
     units = body_units(text, slug, title)
     sizes = [max(1, len(_WORDS.findall(u))) for u in units]
@@ -141,6 +144,8 @@ def signs(text: str, slug: str | None = None, title: str | None = None) -> tuple
     total = sum(sizes)
     strong = sum(n for n, s in zip(sizes, scores, strict=True) if s == 2)
     weak = sum(n for n, s in zip(sizes, scores, strict=True) if s >= 1)
+    if total <= 30 and strong and -1 not in scores and len(units) > 1 and unit_score(" ".join(units)) == 2 and (weak * 3 >= total):
+        strong = weak = total
     if raw and total <= 12 and -1 not in scores:
         strong = weak = total
     # Short lines of numbers or names between signs of an error (stack frames, codes) belong to it.
