@@ -27,11 +27,12 @@ SCORE_THRESHOLD = 0.2
 
 @dataclass
 class SpaceIndex:
-    """Leaves and codebooks of one space: leaves (L, d), books (d / SUB, 16, SUB), weight of the parallel error."""
+    """Leaves and codebooks of one space: leaves (L, d), books (d / SUB, 16, SUB), weight of the error along the vector."""
 
     leaves: np.ndarray
     books: np.ndarray
     weight: float
+    chunks: np.ndarray  # (L,): into how many chunks a leaf is split, from its share of the sample
 
     @property
     def dims(self) -> int:
@@ -89,8 +90,8 @@ def _padded(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, np.zeros((len(x), spare), x.dtype)], 1) if spare else x
 
 
-def train_space(sample: np.ndarray, rows: int, leaf_rows: int, max_leaves: int, seed: int = 5, rounds: int = 12) -> SpaceIndex:
-    """Leaves and codebooks from a sample of unit vectors; rows is the size of the whole space."""
+def train_space(sample: np.ndarray, rows: int, leaf_rows: int, max_leaves: int, max_chunk: int, seed: int = 5, rounds: int = 12, book_rows: int = 8192) -> SpaceIndex:
+    """Leaves and codebooks from a sample of unit vectors; rows is the size of the whole space, book_rows bounds what fits the codebooks."""
     rng = np.random.default_rng(seed)
     x = _padded(sample).astype(np.float32)
     n, d = x.shape
@@ -104,9 +105,13 @@ def train_space(sample: np.ndarray, rows: int, leaf_rows: int, max_leaves: int,
         empty = size == 0
         sums[empty] = x[rng.choice(n, int(empty.sum()))]
         leaves = (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    near = np.concatenate([(x[i : i + 4096] @ leaves.T).argmax(1) for i in range(0, n, 4096)])
+    chunks = np.ceil(np.bincount(near, minlength=count) * (rows / n) / max_chunk).clip(1).astype(np.int64)
     parts = d // SUB
     t = SCORE_THRESHOLD**2
-    index = SpaceIndex(leaves, np.zeros((parts, 16, SUB), np.float32), max(1.0, (d - 1) * t / (1 - t)))
+    index = SpaceIndex(leaves, np.zeros((parts, 16, SUB), np.float32), np.float32(max(1.0, (d - 1) * t / (1 - t))), chunks)
+    x = x[rng.permutation(n)[:book_rows]]
+    n = len(x)
     xs = x.reshape(n, parts, SUB)
     for p in range(parts):
         book = xs[rng.choice(n, 16, replace=n < 16), p].copy()
@@ -163,7 +168,7 @@ def usable(vector: Column, dim: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) == dim) & finite & F.exists(vector, lambda x: x != 0)
 
 
-def similar_pairs(df: DataFrame, *, id_col: str, model_col: str, dim_col: str, vector_col: str, k: int = 5, min_cos: float = 0.9, probes: int = 4, rerank: int = 32, leaf_rows: int = 1000, max_leaves: int = 4096, train_rows: int = 40_000, max_chunk: int = 8000) -> DataFrame:
+def similar_pairs(df: DataFrame, *, id_col: str, model_col: str, dim_col: str, vector_col: str, k: int = 5, min_cos: float = 0.9, probes: int = 4, rerank: int = 32, leaf_rows: int = 1000, max_leaves: int = 4096, train_rows: int = 16_384, max_chunk: int = 8000) -> DataFrame:
     """Pairs id_a < id_b of one space with cosine >= min_cos, one of them among the k most similar of the other.
 
     A space is a model and dimension. All usable rows are indexed and all search; train_rows bounds the sample per space that
@@ -195,11 +200,14 @@ def similar_pairs(df: DataFrame, *, id_col: str, model_col: str, dim_col: str, v
     if not sizes:
         return spark.createDataFrame([], "id_a bigint, id_b bigint")
     cuts = F.create_map(*[x for s, n in sizes.items() for x in (F.lit(s), F.lit(min(1.0, train_rows / n)))])
-    sample = base.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < F.element_at(cuts, F.col("space")) * (1 << 30)).toPandas()
-    indexes = {s: train_space(_unit(np.stack(x["vec"].to_numpy())), sizes[s], leaf_rows, max_leaves) for s, x in sample.groupby("space")}
-    for s in sizes.keys() - indexes.keys():  # a space so small that the sample missed it: one leaf
-        x = base.filter(F.col("space") == s).limit(256).toPandas()
-        indexes[s] = train_space(_unit(np.stack(x["vec"].to_numpy())), 1, leaf_rows, max_leaves)
+    sampled = cut_lineage(base.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < F.element_at(cuts, F.col("space")) * (1 << 30)).select("space", "vec"))
+    indexes = {}
+    for space, rows in sizes.items():  # one space at a time: the driver holds about train_rows vectors
+        part = sampled.filter(F.col("space") == space).select("vec").toPandas()
+        if part.empty:  # so small a space that the sample missed it
+            part = base.filter(F.col("space") == space).select("vec").limit(256).toPandas()
+        indexes[space] = train_space(_unit(np.stack(part["vec"].to_numpy())).astype(np.float32), rows, leaf_rows, max_leaves, max_chunk)
+        del part
     shared = spark.sparkContext.broadcast(indexes)  # at most spaces x (max_leaves + 16) vectors
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,11 +218,17 @@ def similar_pairs(df: DataFrame, *, id_col: str, model_col: str, dim_col: str, v
                 x = _padded(_unit(raw)).astype(np.float32)
                 near = index.nearest_leaves(x, probes)
                 codes = [c.tobytes() for c in index.packed(index.encode(x))]
-                data = [v.tobytes() for v in raw]
+                data, ids = np.array([v.tobytes() for v in raw], dtype=object), rows["id"].to_numpy()
+                codes = np.array(codes, dtype=object)
                 for j in range(near.shape[1]):
-                    yield pd.DataFrame({"space": space, "leaf": near[:, j], "home": j == 0, "id": rows["id"].to_numpy(), "vec": data, "code": codes if j == 0 else None})
+                    leaf, parts = near[:, j], index.chunks[near[:, j]]
+                    own = (ids * 0x9E3779B1 >> 7) % parts
+                    for c in range(int(parts.max())):  # a leaf in chunks: stored in one, searched in all
+                        at = parts > c
+                        home = (j == 0) & (own[at] == c)
+                        yield pd.DataFrame({"space": space, "leaf": leaf[at], "chunk": c, "home": home, "id": ids[at], "vec": data[at], "code": np.where(home, codes[at], None)})
 
-    placed = base.mapInPandas(assign, "space string, leaf int, home boolean, id bigint, vec binary, code binary")
+    placed = base.mapInPandas(assign, "space string, leaf int, chunk int, home boolean, id bigint, vec binary, code binary")
 
     def scan(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         index = shared.value[key[0]]
@@ -227,7 +241,7 @@ def similar_pairs(df: DataFrame, *, id_col: str, model_col: str, dim_col: str, v
         q, o, c = search_leaf(index, ids, vectors, ids[home], vectors[home], codes, k, rerank, min_cos)
         return pd.DataFrame({"id": q, "other": o, "cos": c})
 
-    found = placed.groupBy("space", "leaf").applyInPandas(scan, "id bigint, other bigint, cos double")
+    found = placed.groupBy("space", "leaf", "chunk").applyInPandas(scan, "id bigint, other bigint, cos double")
     best = Window.partitionBy("id").orderBy(F.desc("cos"), "other")
     top = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k)
     pairs = top.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"))
