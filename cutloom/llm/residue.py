@@ -10,11 +10,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cutloom.session import cut_lineage
+
 NAME = r"[A-Za-z_][\w.\- ]{0,40}?"
 #: Placeholders by template language. A name stands between the marks, blanks around it are allowed.
 _PLACEHOLDERS = [
@@ -24,7 +27,8 @@ _PLACEHOLDERS = [
     r"\[(?:your|insert|add|enter|falta|inserte|insertar|insérer|votre|ihr|su|tu)\s+[^\[\]\n]{1,50}\]", r"\[[^\[\]\n]{1,50}\s(?:here|à compléter|à remplir|hier eintragen|einfügen|por completar|aquí)\]",
     r"<(?:your|insert|enter)\s+[^<>\n]{1,50}>", r"<[^<>\n/]{1,50}\s(?:here|hier eintragen|einfügen|à compléter|aquí)>",
 ]
-_PLACEHOLDER = re.compile("|".join(f"(?:{p})" for p in _PLACEHOLDERS), re.I)
+_PLACEHOLDER = [re.compile(p, re.I) for p in _PLACEHOLDERS]
+_ABOUT = re.compile(r"\b(?:code|template|renderer|replaces|output|vorlage|modèle|plantilla|syntax|formatting|variable|lesson|tutorial)\b", re.I)
 _OPEN, _CLOSE = "`\"'“”«»„‘’‹›", "`\"'“”«»‘’‹›"
 
 _EMPTY = r"(?:undefined|null|NaN|None|nil|\[object Object\]|\(null\))"
@@ -86,19 +90,52 @@ _NUMBERED = re.compile(r"\w*\d\w*")
 _UNITS = re.compile(r"\n+|(?<=[.!?…])\s+|\s+/\s+")
 
 
+#: Without any of these marks in a text none of its placeholders, respectively empty values, can match.
+_MARKS = ("{", "$", "<", "[", "@@", "__", "%", "‹")
+_EMPTY_MARKS = ("undefined", "null", "NaN", "None", "nil", "[object", "(null)", "%s", "%d", "%i", "%f")
+
+#: Fragments one of which every error, filler or script sign contains, in lower case.
+_FRAGMENTS = """gateway|unavailable|server|reachable|traceback|exception|stack trace|timed out|timeout|time-out|error|no object under|segmentation fault|connection re|access |denied|lack the rights|forbidden
+requests|rate limit|session|in again|went wrong|thing broke|things broke|could not |couldn't |cannot be |not found|available|try again|did not answer|failed|failure|warning|http|sorry|expired|ticket|status|request|code|file "|reload the page|refresh the page
+zugriff|sitzung|erneut|schiefgelaufen|nicht gefunden|nicht verfügbar|versuchen|antwortet nicht|anfragen|konnte nicht|fehler|leider|vorgang|neu laden|accès|expiré|reconnectez|survenu|introuvable|réessayez|ne répond|requêtes|pas disponible|erreur|désolé|dossier|rechargez
+acceso|sesión|caducado|vuelva a|falló|salió mal|encontramos|se encontró|no encontrad|inténtelo|no responde|solicitudes|peticiones|está disponible|lo sentimos|caso|recargue
+lorem|dolor sit|dummy|filler|sample|placeholder|example|text to |goes here|comes here|go here|be here|appear here|text will|text follow|to be |coming soon|layout only|replace |tbd|tba|todo|to do|blindtext|platzhalter|beispiel|text folgt|hier kommt|hier steht|hier folgt|bitte ersetzen|mustertext|fülltext
+à venir|faux texte|viendra ici|d'exemple|d’exemple|à remplacer|remplissage|texto pendiente|texto de |aquí irá|párrafo de |por sustituir|de posición|javascript|scripts|scripting| script|>script|(script|\"script|'script|skript|asdf|qwer|jkl|xxx|blah|zxcv|uiop|foobar|yyy|zzz|test test|bla bla|foo bar|abc abc|aaa aaa""".replace("\n", "|").split("|")
+
+
+@lru_cache(maxsize=1)
+def _automaton():
+    """Aho-Corasick automaton over the fragments and the longer pseudo-Latin words: one pass tells that a text has no sign."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for word in {*_FRAGMENTS, *(w for w in _LATIN if len(w) > 4)}:
+        automaton.add_word(word, 1)
+    automaton.make_automaton()
+    return automaton
+
+
+def has_sign(text: str) -> bool:
+    """Whether a text has any fragment of a sign; without one its score is 0."""
+    return next(_automaton().iter(f" {text.lower()}".replace("\n", " ")), None) is not None
+
+
+def _discussed(text: str, start: int, end: int) -> bool:
+    """Whether a placeholder is quoted, or stands in a sentence about templates."""
+    if start and text[start - 1] in _OPEN and text[end : end + 1] and text[end] in _CLOSE:
+        return True
+    a = max(text.rfind("\n", 0, start), *(text.rfind(x, 0, start) for x in (". ", "! ", "? ")))
+    ends = [e for e in (text.find(x, end) for x in ("\n", ". ", "! ", "? ")) if e >= 0]
+    return _ABOUT.search(text, a + 1, min(ends, default=len(text))) is not None
+
+
 def unfilled(text: str) -> bool:
     """Whether a placeholder or an empty program value was left where a value belongs; quoted or discussed ones do not count."""
+    if any(m in text for m in _MARKS) and any(not _discussed(text, *m.span()) for p in _PLACEHOLDER for m in p.finditer(text)):
+        return True
+    if not any(m in text for m in _EMPTY_MARKS):
+        return False
     for line in text.split("\n"):
-        for m in _PLACEHOLDER.finditer(line):
-            before, after = line[max(0, m.start() - 2) : m.start()], line[m.end() : m.end() + 2]
-            if before[-1:] in _OPEN and before and after[:1] in _CLOSE and after:
-                continue
-            start = max(line.rfind(x, 0, m.start()) for x in (". ", "! ", "? "))
-            ends = [e for e in (line.find(x, m.end()) for x in (". ", "! ", "? ")) if e >= 0]
-            sentence = line[start + 1 : min(ends, default=len(line))]
-            if re.search(r"\b(?:code|template|renderer|replaces|output|vorlage|modèle|plantilla|syntax|formatting|variable|lesson|tutorial)\b", sentence, re.I):
-                continue
-            return True
         if _OBJECT.search(line) or _EMPTY_AFTER_LABEL.search(line) or len(_PRINTF.findall(line)) > 1:
             return True
         if len(_EMPTY_WORD.findall(line)) > 1 and len(line.split()) <= 14:
@@ -120,6 +157,8 @@ def body_units(text: str, slug: str | None = None, title: str | None = None) ->
 
 def unit_score(unit: str) -> int:
     """0 content, 1 a weak sign of residue, 2 residue, -1 talk about residue."""
+    if not has_sign(unit):
+        return 0
     tokens = [w.lower() for w in _WORDS.findall(unit)]
     n = len(tokens)
     if n and sum(t in _LATIN for t in tokens) * 2 > n and n > 2:
@@ -137,6 +176,8 @@ def unit_score(unit: str) -> int:
 def signs(text: str, slug: str | None = None, title: str | None = None) -> tuple[bool, float, float, int, str]:
     """(unfilled, share of residue words, share with weak ones, words, skeleton) of a text."""
     text = _FORMAT.sub("", unicodedata.normalize("NFKC", text))
+    if not has_sign(text):
+        return unfilled(text), 0.0, 0.0, 0, ""
     raw = _TAG.search(text) and _ERROR_STRONG.search(text)
     units = body_units(text, slug, title)
     sizes = [max(1, len(_WORDS.findall(u))) for u in units]
@@ -178,7 +219,7 @@ def residue(df: DataFrame, *, id_col: str, text_col: str, host_col: str, slug_co
 
     filtered = rows.filter("id is not null and text is not null and trim(text) != ''")
     signed = filtered.mapInPandas(run, "id bigint, host string, unfilled boolean, strong double, weak double, words int, skeleton string")
-    signed = signed.withColumn("skeleton", F.xxhash64("skeleton"))
+    signed = cut_lineage(signed.withColumn("skeleton", F.xxhash64("skeleton")))  # few rows; read twice below
     # Host evidence is pre-aggregated per skeleton; only low-information responses with some sign take part.
     evidence = signed.filter("weak >= {0} and words <= {1}".format(least, short)).groupBy("skeleton", "host").agg(F.count("*").alias("n")).groupBy("skeleton").agg(F.sum("n").alias("copies"), F.count("*").alias("hosts"))
     joined = signed.join(evidence, "skeleton", "left").fillna(0, ["copies", "hosts"])
