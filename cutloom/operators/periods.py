@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cutloom.session import cut_lineage
+
 
 class IntervalMap:
     """Ordered disjoint closed-touching intervals; touching ones join. ``starts`` and ``ends`` are sorted lists."""
@@ -45,27 +47,26 @@ def _fold(names: list[str]):
         """Rows come sorted by key and block: the state of one key is held, and written out when the next key begins."""
         key, state = None, IntervalMap()
 
-        def flush(key: tuple, state: IntervalMap) -> pd.DataFrame:
-            out = pd.DataFrame({"s": state.starts, "e": state.ends})
-            out["prev_e"] = pd.array([None, *state.ends[:-1]], dtype="Int64")
-            out["last_in_block"] = [False] * (len(state.starts) - 1) + [True]
-            for name, value in zip(names, key, strict=True):
-                out.insert(0, name, value)
-            return out[[*names, "s", "e", "prev_e", "last_in_block"]]
+        def flushed() -> list[tuple]:
+            last = len(state.starts) - 1
+            return [(*key, s, e, state.ends[i - 1] if i else None, i == last) for i, (s, e) in enumerate(zip(state.starts, state.ends, strict=True))]
+
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            out = pd.DataFrame(rows, columns=[*names, "s", "e", "prev_e", "last_in_block"])
+            return out.astype({"prev_e": "Int64"})
 
-        done: list[pd.DataFrame] = []
         for batch in batches:
+            done: list[tuple] = []
             for *now, s, e in batch[[*names, "s", "e"]].itertuples(index=False, name=None):
                 if now != key:
                     if key is not None:
-                        done.append(flush(key, state))
+                        done += flushed()
                     key, state = now, IntervalMap()
                 state.insert(s, e)
             if done:
-                yield pd.concat(done, ignore_index=True)
-                done = []
+                yield frame(done)
         if key is not None:
-            yield flush(key, state)
+            yield frame(flushed())
 
     return run
 
@@ -82,7 +83,8 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start_ms: str, end_ms: str,
     base = df.select(*[F.coalesce(F.col(k).cast("string"), F.lit(null)).alias(n) for k, n in zip(keys, names, strict=False)], F.col(start_ms).cast("bigint").alias("s"), F.col(end_ms).cast("bigint").alias("e"))
     base = base.filter("s is not null and e is not null and e >= s").withColumn("block", F.floor(F.col("s") / block_ms).cast("bigint"))
     schema = T.StructType([*(base.schema[n] for n in names), T.StructField("s", T.LongType()), T.StructField("e", T.LongType()), T.StructField("prev_e", T.LongType()), T.StructField("last_in_block", T.BooleanType())])
-    merged = base.select(*names, "s", "e").repartition(*names).sortWithinPartitions(*names, "s").mapInPandas(_fold(names), schema)
+    # The merged rows are read four times below; they are made once.
+    merged = cut_lineage(base.select(*names, "s", "e").repartition(*names).sortWithinPartitions(*names, "s").mapInPandas(_fold(names), schema))
 
     entity = names[:-1]
     by_block = Window.partitionBy(*entity).orderBy("block")
