@@ -127,7 +127,7 @@ def token_ids(text: Column, path: str | None = None) -> Column:
 
 
 def token_count(text: Column, path: str | None = None) -> Column:
-    """Number of tokens of a text column; 0 for null and empty texts."""
+    """Number of tokens of a text column; 0 for null and empty texts. Not moved by the optimiser: a filter on it does not count again."""
     model = build_model(_path(path))
 
     @F.pandas_udf("bigint")
@@ -136,7 +136,7 @@ def token_count(text: Column, path: str | None = None) -> Column:
         for texts in batches:
             yield pd.Series([len(encoder.encode(t)) for t in texts], dtype="int64")
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def token_text(ids: Column, path: str | None = None) -> Column:
