@@ -303,7 +303,7 @@ def noise_demote(spark, d):
 
 
 @query(f"""WITH {_SEG} SELECT id FROM seg WHERE kind = 'speech' AND json_valid(payload) AND coalesce(CAST(json_extract_string(payload, '$.no_speech_prob') AS DOUBLE), 0) <= 0.6
-AND coalesce(CAST(json_extract_string(payload, '$.avg_logprob') AS DOUBLE), 0) >= -1.0 AND trim(coalesce(json_extract_string(payload, '$.text'), '')) <> ''""")
+AND coalesce(CAST(json_extract_string(payload, '$.avg_logprob') AS DOUBLE), 0) >= -1.0 AND regexp_replace(coalesce(json_extract_string(payload, '$.text'), ''), '[ \\t\\n\\r]+', '', 'g') <> ''""")
 def speech_guards(spark, d):
     rows = seg(spark, d, "payload", kinds=("speech",)).select("id", parsed(F.col("payload")).alias("v")).filter("v is not null")
     num = lambda k: text_at(F.col("v"), f"$.{k}").try_cast("double")
@@ -481,7 +481,7 @@ def word_bounds(spark, d):
     return words.word_bounds(tokens, ["id"])
 
 
-@query(f"""WITH {_SEG}, {_WORDS} SELECT id, pos, list_filter(list_transform(regexp_extract_all(upper(trim(w)), '(?s).'), lambda c: CAST(instr('ABCDEFGHIJKLMNOPQRSTUVWXYZ''', c) AS INT)), lambda p: p > 0) AS tokens FROM wt""")
+@query(f"""WITH {_SEG}, {_WORDS} SELECT id, pos, list_filter(list_transform(regexp_extract_all(upper(replace(trim(w), 'ß', 'ss')), '(?s).'), lambda c: CAST(instr('ABCDEFGHIJKLMNOPQRSTUVWXYZ''', c) AS INT)), lambda p: p > 0) AS tokens FROM wt""")
 def word_tokenize(spark, d):
     return _words(spark, d).select("id", "pos", text.spoken_letters(F.col("w")).alias("tokens"))
 

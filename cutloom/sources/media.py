@@ -50,16 +50,20 @@ def wav_seconds(content: bytes) -> float:
         return w.getnframes() / w.getframerate()
 
 
-@F.pandas_udf("double")
-def wav_duration(content: pd.Series) -> pd.Series:
+def wav_duration(content: Column | str) -> Column:
     """Seconds of WAV files from the first bytes of each."""
-    return content.map(lambda c: wav_seconds(bytes(c)))
+    def run(series: pd.Series) -> pd.Series:
+        return series.map(lambda c: wav_seconds(bytes(c)))
 
+    return F.pandas_udf(run, "double")(content)
 
-@F.pandas_udf("array<float>")
-def wav_16k(content: pd.Series) -> pd.Series:
+
+def wav_16k(content: Column | str) -> Column:
     """Samples of mono 16-bit WAV files at 16 kHz."""
-    return content.map(lambda c: wav_samples(bytes(c)))
+    def run(series: pd.Series) -> pd.Series:
+        return series.map(lambda c: wav_samples(bytes(c)))
+
+    return F.pandas_udf(run, "array<float>")(content)
 
 
 PROBE = "format struct<duration:string>, streams array<struct<codec_type:string,codec_name:string,width:int,height:int,avg_frame_rate:string,r_frame_rate:string,pix_fmt:string,color_transfer:string,color_primaries:string,start_time:string,nb_read_frames:string>>"
