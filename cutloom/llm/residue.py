@@ -33,7 +33,8 @@ _OPEN, _CLOSE = "`\"'“”«»„‘’‹›", "`\"'“”«»‘’‹›"
 
 _EMPTY = r"(?:undefined|null|NaN|None|nil|\[object Object\]|\(null\))"
 _EMPTY_AFTER_LABEL = re.compile(rf"(?<![\"'\w])[^\W\d][\w ]{{0,30}}\s?[:=]\s?{_EMPTY}(?![\w\"'])")
-_EMPTY_WORD = re.compile(rf"(?<![\w\"'`“«]){_EMPTY}(?![\w\"'`”»])")
+#: Within a sentence: a value follows a word.
+_EMPTY_WORD = re.compile(rf"(?<=[^\W\d][ ]){_EMPTY}(?![\w\"'`”»])")
 _OBJECT = re.compile(r"\[object Object\]|NaN:NaN")
 _PRINTF = re.compile(r"(?<![\w%\"'`“«])%[sdif](?![\w\"'`”»])")
 
@@ -138,7 +139,8 @@ def unfilled(text: str) -> bool:
     for line in text.split("\n"):
         if _OBJECT.search(line) or _EMPTY_AFTER_LABEL.search(line) or len(_PRINTF.findall(line)) > 1:
             return True
-        if len(_EMPTY_WORD.findall(line)) > 1 and len(line.split()) <= 14:
+        again = _EMPTY_WORD.findall(line)
+        if len(again) > len(set(again)) and len(line.split()) <= 14:
             return True
     return False
 
