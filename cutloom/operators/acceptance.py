@@ -29,7 +29,7 @@ def first_hits(results: DataFrame, queries: DataFrame, top: int = 3) -> DataFram
     """
     labelled = queries.filter(F.size("gt_ranges") > 0).select(F.col("id").alias("query_id"), "class", "expected_fail", "containment_ok", "gt_ranges")
     ranges = labelled.select("query_id", "containment_ok", F.explode("gt_ranges").alias("g")).select("query_id", "containment_ok", F.get("g", F.lit(0)).alias("a"), F.get("g", F.lit(1)).alias("b"))
-    pairs = results.filter(F.col("position") <= top).join(F.broadcast(ranges), "query_id")
+    pairs = results.filter(F.col("position") <= top).join(ranges, "query_id")
     good = pairs.filter(matches(F.col("cut_start_s"), F.col("cut_end_s"), F.col("a"), F.col("b"), F.col("containment_ok")))
     best = good.groupBy("query_id").agg(F.min("position").alias("position"), F.min_by("per_space", "position").alias("per_space"))
     return labelled.select("query_id", "class", "expected_fail").join(best, "query_id", "left")
@@ -50,7 +50,7 @@ def space_floors(hits: DataFrame) -> DataFrame:
 def negative_verdicts(results: DataFrame, queries: DataFrame, floors: DataFrame, top: int = 3) -> DataFrame:
     """Verdict of each negative query (no ranges): FAIL if one of its first hits is as near as a true hit in that space, SKIP if a space has no floor, else PASS."""
     negatives = queries.filter(F.size("gt_ranges") == 0).select(F.col("id").alias("query_id"), "class")
-    rows = results.filter(F.col("position") <= top).join(F.broadcast(negatives), "query_id").select("query_id", F.explode("per_space").alias("space", "v")).filter(~F.col("space").isin(*EXEMPT))
+    rows = results.filter(F.col("position") <= top).join(negatives, "query_id").select("query_id", F.explode("per_space").alias("space", "v")).filter(~F.col("space").isin(*EXEMPT))
     judged = rows.join(F.broadcast(floors), "space", "left").groupBy("query_id").agg(F.sum((F.coalesce(F.col("v.dist") <= F.col("floor"), F.lit(False))).cast("int")).alias("breaches"), F.sum(F.col("floor").isNull().cast("int")).alias("uncalibrated"))
     joined = negatives.join(judged, "query_id", "left").fillna(0, ["breaches", "uncalibrated"])
     return joined.select("query_id", "class", "breaches", F.when(F.col("breaches") > 0, "FAIL").when(F.col("uncalibrated") > 0, "SKIP").otherwise("PASS").alias("verdict"))

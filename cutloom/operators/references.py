@@ -40,7 +40,7 @@ def orphan_references(refs: DataFrame, targets: DataFrame, deleted: DataFrame, *
     per_key = cut_lineage(refs.groupBy("key", "period").agg(F.count("*").alias("n"), F.min("arrival").alias("first_ref")))
     total = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     least = max(1000, int(total * heavy_share))
-    # At most 1 / heavy_share keys can reach the least count: the broadcast is bounded whatever the data.
+    # At most 1 / heavy_share keys can reach the least count: their broadcasts (per key, and per key and period) are bounded whatever the data.
     heavy = cut_lineage(per_key.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key"))
 
     def first_seen(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cutloom.config import SPACE_KINDS
 from cutloom.functions.values import parsed, text_at, text_list, whole_text
 from cutloom.functions.vectors import cosine_distance, vector_literal
+from cutloom.session import broadcast_if_small
 
 SEARCHABLE = tuple(k for kinds in SPACE_KINDS.values() for k in kinds)
 
@@ -31,8 +32,8 @@ def knn(segments: DataFrame, model: str, query: Sequence[float], k: int, *, vide
 
 
 def knn_many(queries: DataFrame, segments: DataFrame, k: int) -> DataFrame:
-    """The same for many queries (query_id, model_name, embedding): query_id, id, dist, rank. Queries must be few enough to broadcast; segments stay in place and each query keeps k rows per task before the shuffle."""
-    q = F.broadcast(queries.select("query_id", "model_name", F.col("embedding").alias("q")))
+    """The same for many queries (query_id, model_name, embedding): query_id, id, dist, rank. Up to 10,000 queries are broadcast, segments stay in place, and each query keeps k rows per task before the shuffle; more are joined by model."""
+    q = broadcast_if_small(queries.select("query_id", "model_name", F.col("embedding").alias("q")), 10_000)
     rows = segments.filter(F.col("embedding").isNotNull()).join(q, "model_name").filter(F.size("embedding") == F.size("q"))
     scored = rows.select("query_id", "id", cosine_distance(F.col("embedding"), F.col("q")).alias("dist")).filter("dist is not null and not isnan(dist)")
     order = Window.partitionBy("query_id").orderBy("dist", "id")
@@ -94,29 +95,34 @@ def search(segments: DataFrame, queries: Mapping[str, Sequence[float]], models:
     return fuse(ranked, k)
 
 
-def enclosing_shots(hits: DataFrame, segments: DataFrame) -> DataFrame:
+def _hint(df: DataFrame, bounded: bool) -> DataFrame:
+    return F.broadcast(df) if bounded else df
+
+
+def enclosing_shots(hits: DataFrame, segments: DataFrame, bounded: bool = False) -> DataFrame:
     """For frames (id, video_id, shot_index as text): the first shot by start and id with that index: id, s, e, fs, fe."""
     shots = segments.filter(F.col("kind") == "shot").select("video_id", whole_text(text_at(parsed(F.col("payload")), "$.shot_index")).alias("shot_index"), F.struct(F.col("t_start_s").alias("s"), F.col("id").alias("sid"), F.col("t_end_s").alias("e"), F.col("frame_start").alias("fs"), F.col("frame_end").alias("fe")).alias("shot"))
-    first = shots.join(F.broadcast(hits.select("video_id", "shot_index").distinct()), ["video_id", "shot_index"], "left_semi").groupBy("video_id", "shot_index").agg(F.min("shot").alias("shot"))
+    first = shots.join(_hint(hits.select("video_id", "shot_index").distinct(), bounded), ["video_id", "shot_index"], "left_semi").groupBy("video_id", "shot_index").agg(F.min("shot").alias("shot"))
     return hits.join(first, ["video_id", "shot_index"]).select("id", "shot.s", "shot.e", "shot.fs", "shot.fe")
 
 
-def constituent_speech(hits: DataFrame, segments: DataFrame) -> DataFrame:
+def constituent_speech(hits: DataFrame, segments: DataFrame, bounded: bool = False) -> DataFrame:
     """For windows (id, source_ids): their speech rows with a text that is not blank: id, sid, text, s, e, fs, fe. Ids not above 0, and dangling ones, vanish."""
     wanted = hits.select("id", F.explode("source_ids").alias("raw")).select("id", whole_text(F.col("raw")).try_cast("bigint").alias("sid")).filter("sid > 0").distinct()
     text = F.regexp_replace(F.coalesce(text_at(parsed(F.col("payload")), "$.text"), F.lit("")), r"^\s+|\s+$", "")
-    speech = segments.join(F.broadcast(wanted.select(F.col("sid").alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias("sid"), text.alias("text"), F.col("t_start_s").alias("s"), F.col("t_end_s").alias("e"), F.col("frame_start").alias("fs"), F.col("frame_end").alias("fe"))
+    speech = segments.join(_hint(wanted.select(F.col("sid").alias("id")).distinct(), bounded), "id", "left_semi").select(F.col("id").alias("sid"), text.alias("text"), F.col("t_start_s").alias("s"), F.col("t_end_s").alias("e"), F.col("frame_start").alias("fs"), F.col("frame_end").alias("fe"))
     return wanted.join(speech, "sid").filter("text != ''")
 
 
-def cut_ranges(hits: DataFrame, segments: DataFrame, best_speech: DataFrame | None = None) -> DataFrame:
-    """The range to cut for each hit (a few rows with an id): id, cut_start_s, cut_end_s, cut_frame_start, cut_frame_end.
+def cut_ranges(hits: DataFrame, segments: DataFrame, best_speech: DataFrame | None = None, bounded: bool = False) -> DataFrame:
+    """The range to cut for each hit (rows with an id): id, cut_start_s, cut_end_s, cut_frame_start, cut_frame_end.
 
     A frame gives its shot; a speech window the sentence of best_speech (id, s, e, fs, fe); all else, and what finds none, itself.
+    bounded: the hits are the k of a search, and are broadcast; else they are joined by shuffle.
     """
-    own = segments.join(F.broadcast(hits.select("id")), "id", "left_semi").select("id", "video_id", "kind", "t_start_s", "t_end_s", "frame_start", "frame_end", F.when(F.col("kind") == "frame", whole_text(text_at(parsed(F.col("payload")), "$.shot_index"))).alias("shot_index"))
+    own = segments.join(_hint(hits.select("id"), bounded), "id", "left_semi").select("id", "video_id", "kind", "t_start_s", "t_end_s", "frame_start", "frame_end", F.when(F.col("kind") == "frame", whole_text(text_at(parsed(F.col("payload")), "$.shot_index"))).alias("shot_index"))
     own = own.dropDuplicates(["id"])
-    finer = enclosing_shots(own.filter("kind = 'frame' and shot_index is not null"), segments)
+    finer = enclosing_shots(own.filter("kind = 'frame' and shot_index is not null"), segments, bounded)
     if best_speech is not None:
         finer = finer.unionByName(best_speech.select("id", "s", "e", "fs", "fe"))
     joined = own.join(finer, "id", "left")

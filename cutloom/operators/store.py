@@ -46,7 +46,7 @@ def patch_payloads(segments: DataFrame, patches: DataFrame) -> DataFrame:
 
 def replace_segments(old: DataFrame, new: DataFrame, kinds: Sequence[str], patches: DataFrame | None = None) -> DataFrame:
     """Old rows without the kinds of the videos in ``new`` (or of a column video_id), the new rows with minted ids, and patches on other rows."""
-    gone = new.select("video_id").distinct().join(F.broadcast(old.sparkSession.createDataFrame([(k,) for k in kinds], "kind string")), how="cross")  # kinds are a handful
+    gone = new.select("video_id").distinct().withColumn("kind", F.explode(F.array(*map(F.lit, kinds))))
     kept = old.join(gone, ["video_id", "kind"], "left_anti")
     if patches is not None:
         kept = patch_payloads(kept, patches)

@@ -187,8 +187,10 @@ _TRANSFERS = "('smpte2084','bt709'), ('bt709','bt2020nc'), (NULL,'bt709'), ('unk
 @query(f"""SELECT v.video_id, t.a AS transfer, t.b AS primaries, coalesce(lower(t.a), '') IN ('smpte2084', 'arib-std-b67') OR coalesce(lower(t.b), '') LIKE 'bt2020%' OR (coalesce(lower(t.a), '') IN ('', 'unknown') AND coalesce(source_bit_depth, 8) >= 10) AS needed
 FROM videos v, (VALUES {_TRANSFERS}) t(a, b)""")
 def color_guard(spark, d):
-    pairs = F.broadcast(spark.createDataFrame([("smpte2084", "bt709"), ("bt709", "bt2020nc"), (None, "bt709"), ("unknown", None), ("bt709", "bt709")], "transfer string, primaries string"))
-    rows = table(spark, d, "videos").select("video_id", "source_bit_depth").join(pairs, F.lit(True))  # five constant rows
+    n = F.lit(None).cast("string")
+    made = [(F.lit("smpte2084"), F.lit("bt709")), (F.lit("bt709"), F.lit("bt2020nc")), (n, F.lit("bt709")), (F.lit("unknown"), n), (F.lit("bt709"), F.lit("bt709"))]
+    pairs = F.explode(F.array(*[F.struct(x.alias("transfer"), y.alias("primaries")) for x, y in made]))
+    rows = table(spark, d, "videos").select("video_id", "source_bit_depth", pairs.alias("p")).select("video_id", "source_bit_depth", "p.*")
     return rows.select("video_id", "transfer", "primaries", media.needs_color_work(F.col("transfer"), F.col("primaries"), F.col("source_bit_depth")).alias("needed"))
 
 
@@ -619,7 +621,7 @@ def search_end_to_end(spark, d):
     hits = _search(spark, d, 10)
     rows = table(spark, d, "segments")
     kinds = rows.join(F.broadcast(hits.select("id")), "id", "left_semi").select("id", "kind").distinct()
-    return hits.join(search.cut_ranges(hits, rows), "id").join(kinds, "id").select("id", "position", "kind", "cut_start_s", "cut_end_s")
+    return hits.join(search.cut_ranges(hits, rows, bounded=True), "id").join(kinds, "id").select("id", "position", "kind", "cut_start_s", "cut_end_s")
 
 
 # --- writes ------------------------------------------------------------------------------------------------------------
