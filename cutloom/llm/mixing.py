@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutloom.session import cut_lineage
@@ -103,7 +103,7 @@ def mix_shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
     """
     used = mix.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"))
     goals = targets.filter("source is not null").groupBy("source").agg(F.max("weight").alias("weight"))
-    sums = goals.agg(F.sum("weight").alias("all_weights")).crossJoin(used.agg(F.sum("tokens").alias("all_tokens")))  # one row by one row
-    out = goals.join(used, "source", "left").crossJoin(F.broadcast(sums))
+    everything = Window.partitionBy(F.lit(0))  # over one row per target source
+    out = goals.join(used, "source", "left").withColumn("all_weights", F.sum("weight").over(everything)).withColumn("all_tokens", F.sum("tokens").over(everything))
     share = F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0))
     return out.select("source", "weight", (F.col("weight") / F.col("all_weights")).alias("target_share"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), share.alias("actual_share"))
