@@ -12,7 +12,7 @@ from cutloom.config import KINDS, Config
 from cutloom.functions.text import payload_filter, prefixed, time_range
 from cutloom.models import HashEncoder
 from cutloom.operators import listing, search
-from cutloom.session import local_session
+from cutloom.session import local_session, settled
 from cutloom.sources import table
 from cutloom.sources.media import info
 
@@ -51,7 +51,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, encod
         else:
             encoders = encoders or {space: HashEncoder(model) for space, model in config.models.items()}
             wanted = {s: encoders[s].encode([prefixed(args.query, config.query_prefix) if s == "text" else args.query])[0] for s in search.active_spaces(args.kind)}
-            hits = search.search(segments.dropDuplicates(["id"]), wanted, {s: e.name for s, e in encoders.items()}, k=args.k, kinds=args.kind, video_id=args.video)
+            hits = settled(search.search(segments, wanted, {s: e.name for s, e in encoders.items()}, k=args.k, kinds=args.kind, video_id=args.video))
             rows = hits.join(search.cut_ranges(hits, segments, bounded=True), "id").withColumn("rrf_score", F.round("rrf_score", 5)).orderBy("position")
         for line in listing.rounded_output(rows).toLocalIterator():
             print(line["line"])

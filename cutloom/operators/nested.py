@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cutloom.session import spread
+
 #: States of the automaton for leaves and lists.
 NULL, SCALAR, TEXT, LIST, OBJECT = "null", "scalar", "text", "list", "object"
 
@@ -137,7 +139,7 @@ def flatten_payloads(df: DataFrame, paths_by_kind: dict[str, tuple[str, ...]], *
     wanted = df.filter(F.col(kind_col).isin(*paths_by_kind) & F.col(payload_col).isNotNull() & F.col(id_col).isNotNull())
     wanted = wanted.select(F.col(id_col).cast("bigint").alias("id"), F.col(kind_col).alias("kind"), F.col(payload_col).alias("payload"))
     schema = CHILD_SCHEMA if values else CHILD_SCHEMA.split(", label")[0]
-    return wanted.mapInPandas(run, schema).dropDuplicates(["segment_id", "path", "pos", "sub_pos"])
+    return spread(wanted).mapInPandas(run, schema).dropDuplicates(["segment_id", "path", "pos", "sub_pos"])
 
 
 def variant_table(children_df: DataFrame, variant: str) -> DataFrame:

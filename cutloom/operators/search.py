@@ -16,7 +16,7 @@ SEARCHABLE = tuple(k for kinds in SPACE_KINDS.values() for k in kinds)
 
 
 def knn(segments: DataFrame, model: str, query: Sequence[float], k: int, *, video_id: str | None = None, kinds: Sequence[str] | None = None, keep: Sequence[str] = ("id",)) -> DataFrame:
-    """The k nearest segments of one model by exact cosine distance, filtered before ranking: keep, dist. Ties go to the smaller id.
+    """The k nearest segments of one model by exact cosine distance, filtered before ranking: keep, dist. Ties go to the smaller id; a redelivered row counts once.
 
     Vectors of another length than the query, and those without a direction, are left out. ValueError for k < 1.
     """
@@ -27,8 +27,15 @@ def knn(segments: DataFrame, model: str, query: Sequence[float], k: int, *, vide
         rows = rows.filter(F.col("video_id") == video_id)
     if kinds:
         rows = rows.filter(F.col("kind").isin(*kinds))
-    scored = rows.select(*keep, cosine_distance(F.col("embedding"), vector_literal(query)).alias("dist"))
-    return scored.filter("dist is not null and not isnan(dist)").orderBy("dist", "id").limit(k)
+    scored = rows.select(*keep, cosine_distance(F.col("embedding"), vector_literal(query)).alias("dist")).filter("dist is not null and not isnan(dist)")
+    return _nearest(scored, k, F.lit(0)).drop("rank")
+
+
+def _nearest(scored: DataFrame, k: int, *group: Column | str) -> DataFrame:
+    """The k nearest per group with their rank. Redelivered rows have one distance and id, so they share a dense rank and push no others out; each task keeps only ranks up to k before the shuffle."""
+    order = Window.partitionBy(*group).orderBy("dist", "id")
+    best = scored.withColumn("rank", F.dense_rank().over(order)).filter(F.col("rank") <= k)
+    return best.dropDuplicates(["id", *[g for g in group if isinstance(g, str)]])
 
 
 def knn_many(queries: DataFrame, segments: DataFrame, k: int) -> DataFrame:
@@ -36,8 +43,7 @@ def knn_many(queries: DataFrame, segments: DataFrame, k: int) -> DataFrame:
     q = broadcast_if_small(queries.select("query_id", "model_name", F.col("embedding").alias("q")), 10_000)
     rows = segments.filter(F.col("embedding").isNotNull()).join(q, "model_name").filter(F.size("embedding") == F.size("q"))
     scored = rows.select("query_id", "id", cosine_distance(F.col("embedding"), F.col("q")).alias("dist")).filter("dist is not null and not isnan(dist)")
-    order = Window.partitionBy("query_id").orderBy("dist", "id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return _nearest(scored, k, "query_id")
 
 
 def active_spaces(kinds: Sequence[str] | None) -> dict[str, tuple[str, ...]]:
@@ -54,11 +60,15 @@ def stored_models(segments: DataFrame, kinds: Sequence[str], video_id: str | Non
     return (rows if video_id is None else rows.filter(F.col("video_id") == video_id)).select("model_name").distinct()
 
 
-def require_space(segments: DataFrame, model: str, kinds: Sequence[str], video_id: str | None = None) -> None:
-    """RuntimeError if vectors are stored for the kinds but none of this model; nothing stored is fine."""
-    stored = {r[0] for r in stored_models(segments, kinds, video_id).collect()}
-    if stored and model not in stored:
-        raise RuntimeError(f"the query's model {model!r} is not among the stored ones {sorted(map(str, stored))} for {tuple(kinds)}; embed these kinds again")
+def require_spaces(segments: DataFrame, models: Mapping[str, str], spaces: Mapping[str, Sequence[str]], video_id: str | None = None) -> None:
+    """RuntimeError if vectors are stored for a space's kinds but none of its model; nothing stored is fine. One scan for all spaces."""
+    rows = segments.filter(F.col("embedding").isNotNull() & F.col("kind").isin(*[k for kinds in spaces.values() for k in kinds]))
+    rows = rows if video_id is None else rows.filter(F.col("video_id") == video_id)
+    pairs = {(r["kind"], r["model_name"]) for r in rows.select("kind", "model_name").distinct().collect()}
+    for space, kinds in spaces.items():
+        stored = {m for k, m in pairs if k in kinds}
+        if stored and models[space] not in stored:
+            raise RuntimeError(f"the query's model {models[space]!r} is not among the stored ones {sorted(map(str, stored))} for {tuple(kinds)}; embed these kinds again")
 
 
 def fuse(ranked: DataFrame, k: int, *, constant: int = 60, group: Sequence[str] = ()) -> DataFrame:
@@ -78,21 +88,23 @@ def fuse(ranked: DataFrame, k: int, *, constant: int = 60, group: Sequence[str]
 
 def search(segments: DataFrame, queries: Mapping[str, Sequence[float]], models: Mapping[str, str], *, k: int = 10, kinds: Sequence[str] | None = None, video_id: str | None = None, check: bool = True) -> DataFrame:
     """Ranked hits over all active spaces: id, rrf_score, per_space, position. queries and models hold a vector and a model per space."""
-    parts = []
-    for number, (space, own) in enumerate(SPACE_KINDS.items()):
-        if space in active_spaces(kinds) and space in queries:
-            own = active_spaces(kinds)[space]
-            if check:
-                require_space(segments, models[space], own, video_id)
-            hits = knn(segments, models[space], queries[space], k, video_id=video_id, kinds=own)
-            rank = F.row_number().over(Window.orderBy("dist", "id"))  # over k rows
-            parts.append(hits.select("id", F.lit(space).alias("space"), F.lit(number).alias("space_ord"), rank.alias("rank"), "dist"))
-    if not parts:
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    spaces = {s: own for s, own in active_spaces(kinds).items() if s in queries}
+    if not spaces:
         raise ValueError("no query vector for the active spaces")
-    ranked = parts[0]
-    for part in parts[1:]:
-        ranked = ranked.unionByName(part)
-    return fuse(ranked, k)
+    if check:
+        require_spaces(segments, models, spaces, video_id)
+    rows = segments.filter(F.col("embedding").isNotNull() & F.col("kind").isin(*[x for own in spaces.values() for x in own]))
+    rows = rows if video_id is None else rows.filter(F.col("video_id") == video_id)
+    space = dist = number = F.lit(None)
+    for at, name in enumerate(SPACE_KINDS):
+        if name in spaces:
+            mine = F.col("kind").isin(*spaces[name]) & (F.col("model_name") == models[name]) & (F.size("embedding") == len(queries[name]))
+            space, number = F.when(mine, name).otherwise(space), F.when(mine, at).otherwise(number)
+            dist = F.when(mine, cosine_distance(F.col("embedding"), vector_literal(queries[name]))).otherwise(dist)
+    scored = rows.select("id", space.alias("space"), number.alias("space_ord"), dist.alias("dist")).filter("space is not null and dist is not null and not isnan(dist)")
+    return fuse(_nearest(scored, k, "space"), k)
 
 
 def _hint(df: DataFrame, bounded: bool) -> DataFrame:

@@ -29,6 +29,17 @@ def broadcast_if_small(df: DataFrame, limit: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def spread(df: DataFrame, least: int = 16) -> DataFrame:
+    """df over enough tasks for work in Python: inputs of a few splits (less than ``least``, and than the cores) are redistributed, larger ones stay in place."""
+    tasks = min(least, df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A few rows (the k hits of a search), computed once and kept as a local relation."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def local_session(cpus: int | str = "*", name: str = "cutloom", **conf: str) -> SparkSession:
     """A local session with the settings that tests and the bench use."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(name)

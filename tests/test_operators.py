@@ -183,10 +183,18 @@ def test_fusion_order(spark):
 
 def test_required_space(spark):
     df = spark.createDataFrame([("a", "frame", "v", [1.0])], "model_name string, kind string, video_id string, embedding array<float>")
-    search.require_space(df, "a", ["frame"])
-    search.require_space(df, "b", ["caption"])
+    search.require_spaces(df, {"image": "a"}, {"image": ["frame"]})
+    search.require_spaces(df, {"text": "b"}, {"text": ["caption"]})
     with pytest.raises(RuntimeError):
-        search.require_space(df, "b", ["frame"])
+        search.require_spaces(df, {"image": "b"}, {"image": ["frame"]})
+
+
+def test_knn_counts_redeliveries_once(spark):
+    data = [(i, "m", "frame", "v", [float(i), 1.0]) for i in (1, 2, 3, 4)] + [(4, "m", "frame", "v", [4.0, 1.0])] * 3 + [(9, "m", "frame", "v", [1.0]), (10, "m", "frame", "v", [0.0, 0.0]), (11, "m", "frame", "v", None)]
+    df = spark.createDataFrame(data, "id long, model_name string, kind string, video_id string, embedding array<float>")
+    assert [r["id"] for r in search.knn(df, "m", [1.0, 0.0], 2).orderBy("dist").collect()] == [4, 3]
+    many = search.knn_many(spark.createDataFrame([("q", "m", [1.0, 0.0]), ("r", "m", [0.0, 1.0])], "query_id string, model_name string, embedding array<double>"), df, 2)
+    assert rows(many, "query_id", "id", "rank") == [("q", 3, 2), ("q", 4, 1), ("r", 1, 1), ("r", 2, 2)]
 
 
 def test_job_states(spark):
