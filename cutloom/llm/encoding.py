@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cutloom.session import spread
+
 #: Where the public vocabularies lie, unless another folder is given.
 TOKENIZER_DIR = "/opt/tokenizers"
 BYTE_BPE_50K = "byte_bpe_50k.tiktoken"
@@ -154,4 +156,4 @@ def token_text(ids: Column, path: str | None = None) -> Column:
 
 def encode_corpus(df: DataFrame, *, id_col: str, text_col: str, path: str | None = None) -> DataFrame:
     """id and ids of every row, whole texts, in place: no shuffle. Repeated rows stay; other columns are left out."""
-    return df.select(F.col(id_col), token_ids(F.col(text_col), path).alias("ids"))
+    return spread(df.select(id_col, text_col)).select(F.col(id_col), token_ids(F.col(text_col), path).alias("ids"))

@@ -15,39 +15,40 @@ from pyspark.sql import functions as F
 BUCKETS_PER_OCTAVE = 64
 
 
-def percentiles(scores: DataFrame) -> DataFrame:
-    """Goodness in [0, 1] of each (query, item, space): the share of the query's other items that are worse, ties half.
+def misplaced(scores: DataFrame) -> DataFrame:
+    """How many items of the query are nearer in the space, ties half: query, item, space, behind.
 
-    scores: query, item, space, dist (smaller is better), items (number of items of the query). Items that the space lacks
-    count as worse than all that it has.
+    scores: query, item, space, dist (smaller is better, not null). Only distinct distances are ranked.
     """
     key = ["query", "space"]
-    values = scores.groupBy(*key, "dist", "items").agg(F.count("*").alias("c"))
+    values = scores.groupBy(*key, "dist").agg(F.count("*").alias("c"))
     values = values.withColumn("bucket", F.signum("dist") * F.floor(F.log2(1 + F.abs("dist")) * BUCKETS_PER_OCTAVE))
     before = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = values.groupBy(*key, "bucket").agg(F.sum("c").alias("n")).withColumn("nearer", F.coalesce(F.sum("n").over(before), F.lit(0)))
     inside = Window.partitionBy(*key, "bucket").orderBy("dist").rowsBetween(Window.unboundedPreceding, -1)
     ranked = values.withColumn("nearer_inside", F.coalesce(F.sum("c").over(inside), F.lit(0))).join(buckets.drop("n"), [*key, "bucket"])
-    better = F.col("nearer") + F.col("nearer_inside")
-    goodness = (F.col("items") - better - F.col("c") + (F.col("c") - 1) / 2) / F.greatest(F.col("items") - 1, F.lit(1))
-    return scores.join(ranked.select(*key, "dist", goodness.alias("goodness")), [*key, "dist"]).select("query", "item", "space", "goodness")
+    behind = F.col("nearer") + F.col("nearer_inside") + (F.col("c") - 1) / 2
+    return scores.join(ranked.select(*key, "dist", behind.alias("behind")), [*key, "dist"]).select("query", "item", "space", "behind")
 
 
 def leximin_top(results: DataFrame, *, query: str, item: str, spaces_map: str, spaces: tuple[str, ...], k: int) -> DataFrame:
     """The k items of each query that come first by leximin: query, item, goodness (array, ascending), position.
 
-    spaces_map is a MAP of space to a STRUCT with a field dist. A space that is absent, null or NaN has goodness 0. The same
-    item delivered twice counts once, with the smaller distance of each space. Ties go to the smaller item. Rows with a null
+    spaces_map is a MAP of space to a STRUCT with a field dist. The goodness of an item in a space is the share of the query's other
+    items that are worse there, ties half; a space that is absent, null or NaN is worse than all others and has goodness 0. The
+    same item delivered twice counts once, with the smaller distance of each space. Ties go to the smaller item. Rows with a null
     query or item are ignored; queries with fewer than k items give what they have; an empty table gives none.
     """
     rows = results.filter(F.col(query).isNotNull() & F.col(item).isNotNull())
     dists = [F.when(~F.isnan(x), x).alias(f"d{i}") for i, x in enumerate(F.element_at(F.col(spaces_map), F.lit(s))["dist"].cast("double") for s in spaces)]
     items = rows.select(F.col(query).alias("query"), F.col(item).alias("item"), *dists).groupBy("query", "item").agg(*[F.min(f"d{i}").alias(f"d{i}") for i in range(len(spaces))])
-    items = items.join(items.groupBy("query").agg(F.count("*").alias("items")), "query")
-    pairs = F.array(*[F.struct(F.lit(s).alias("space"), F.col(f"d{i}").alias("dist")) for i, s in enumerate(spaces)])
-    long = items.select("query", "item", "items", F.explode(pairs).alias("p")).select("query", "item", "items", "p.space", "p.dist")
-    good = percentiles(long.filter("dist is not null")).unionByName(long.filter("dist is null").select("query", "item", "space", F.lit(0.0).alias("goodness")))
-    vectors = good.groupBy("query", "item").agg(F.array(*[F.max(F.when(F.col("space") == s, F.col("goodness"))) for s in spaces]).alias("v"))
+    pairs = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("space"), F.col(f"d{i}").alias("dist")) for i in range(len(spaces))])
+    long = items.select("query", "item", F.explode(F.filter(pairs, lambda p: p["dist"].isNotNull())).alias("p")).select("query", "item", "p.*")
+    none = items.filter(F.coalesce(*[F.col(f"d{i}") for i in range(len(spaces))]).isNull()).select("query", "item", F.lit(-1).cast("tinyint").alias("space"), F.lit(0.0).alias("behind"))
+    behind = misplaced(long).unionByName(none).groupBy("query", "item").agg(F.array(*[F.max(F.when(F.col("space") == i, F.col("behind"))) for i in range(len(spaces))]).alias("v"))
+    others = items.groupBy("query").agg(F.greatest(F.count("*") - 1, F.lit(1)).alias("others"), F.count("*").alias("n"))
+    goodness = F.transform("v", lambda b: F.coalesce((F.col("n") - 1 - b) / F.col("others"), F.lit(0.0)))
+    vectors = behind.join(others, "query").select("query", "item", F.array_sort(goodness).alias("goodness"))
     order = Window.partitionBy("query").orderBy(F.desc("goodness"), "item")
-    ranked = vectors.select("query", "item", F.array_sort("v").alias("goodness")).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
+    ranked = vectors.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
     return ranked.select(F.col("query").alias(query), F.col("item").alias(item), "goodness", "position")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutloom.session import broadcast_if_small, cut_lineage
+from cutloom.session import broadcast_if_small, cut_lineage, spread
 
 #: Dimensions per four-bit code.
 SUB = 4
@@ -228,7 +228,7 @@ def similar_pairs(df: DataFrame, *, id_col: str, model_col: str, dim_col: str, v
                         home = (j == 0) & (own[at] == c)
                         yield pd.DataFrame({"space": space, "leaf": leaf[at], "chunk": c, "home": home, "id": ids[at], "vec": data[at], "code": np.where(home, codes[at], None)})
 
-    placed = base.mapInPandas(assign, "space string, leaf int, chunk int, home boolean, id bigint, vec binary, code binary")
+    placed = spread(base).mapInPandas(assign, "space string, leaf int, chunk int, home boolean, id bigint, vec binary, code binary")
 
     def scan(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         index = shared.value[key[0]]

@@ -13,6 +13,7 @@ from cutloom.llm.nearest import nearest_in_time
 from cutloom.llm.neighbours import similar_pairs
 from cutloom.llm.repetition import repetition
 from cutloom.llm.residue import residue
+from cutloom.session import spread
 from cutloom.sources import table
 
 SPACES = ("image", "text", "audio")
@@ -64,7 +65,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents").select("doc_id", "source", token_count(F.col("text")).alias("size"))
+    documents = spread(table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", token_count(F.col("text")).alias("size"))
     return mix_sources(documents, table(spark, d, "mix_targets"), id_col="doc_id", source_col="source", size="size")
 
 

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cutloom.session import spread
+
 RUN = 3
 _WORD = re.compile(r"[^\W_]+")
 
@@ -149,5 +151,5 @@ def repetition(df: DataFrame, *, id_col: str, text_col: str, slack: float = 0.15
             yield pd.DataFrame(rows, columns=["id", "words", "decoded", "share"])
 
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    out = rows.mapInPandas(run, "id bigint, words int, decoded double, share double")
+    out = spread(rows).mapInPandas(run, "id bigint, words int, decoded double, share double")
     return out.groupBy("id").agg(F.max(F.struct("share", "words", "decoded")).alias("m")).select("id", "m.words", "m.decoded", "m.share")

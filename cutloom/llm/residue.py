@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutloom.session import cut_lineage
+from cutloom.session import cut_lineage, spread
 
 NAME = r"[A-Za-z_][\w.\- ]{0,40}?"
 #: Placeholders by template language. A name stands between the marks, blanks around it are allowed.
@@ -220,7 +220,7 @@ def residue(df: DataFrame, *, id_col: str, text_col: str, host_col: str, slug_co
             yield pd.DataFrame(out, columns=["id", "host", "unfilled", "strong", "weak", "words", "skeleton"])
 
     filtered = rows.filter("id is not null and text is not null and trim(text) != ''")
-    signed = filtered.mapInPandas(run, "id bigint, host string, unfilled boolean, strong double, weak double, words int, skeleton string")
+    signed = spread(filtered).mapInPandas(run, "id bigint, host string, unfilled boolean, strong double, weak double, words int, skeleton string")
     signed = cut_lineage(signed.withColumn("skeleton", F.xxhash64("skeleton")))  # few rows; read twice below
     # Host evidence is pre-aggregated per skeleton; only low-information responses with some sign take part.
     evidence = signed.filter("weak >= {0} and words <= {1}".format(least, short)).groupBy("skeleton", "host").agg(F.count("*").alias("n")).groupBy("skeleton").agg(F.sum("n").alias("copies"), F.count("*").alias("hosts"))
