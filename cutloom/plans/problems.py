@@ -87,6 +87,30 @@ bad AS (
   WHERE tg.tk IS NULL OR tg.seen > r.arrival)
 """
 
+
+
+def _own(x: str) -> str:
+    """A JSON value, or the value that its text holds."""
+    return f"CASE WHEN json_type({x}) = 'VARCHAR' AND json_valid({x}->>'$') THEN CAST({x}->>'$' AS JSON) ELSE {x} END"
+
+
+def _items(source: str, keep: str) -> str:
+    """Objects of the lists j of a source with their positions; one object in place of a list is position 0."""
+    lists = f"SELECT {keep}, CASE json_type(j) WHEN 'OBJECT' THEN [j] WHEN 'ARRAY' THEN json_extract(j, '$[*]') END AS l FROM (SELECT {keep}, {_own('j')} AS j FROM {source})"
+    each = f"SELECT {keep}, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS ix FROM ({lists}) WHERE l IS NOT NULL"
+    return f"SELECT {keep}, ix, o FROM (SELECT {keep}, ix, {_own('e')} AS o FROM ({each})) WHERE json_type(o) = 'OBJECT'"
+
+
+_P4 = f"""
+WITH s AS (SELECT id, kind, CAST(payload AS JSON) AS p FROM segments WHERE kind IN ('speech', 'shot') AND json_valid(payload)),
+w AS ({_items("(SELECT id, p->'words' AS j FROM s WHERE kind = 'speech')", 'id')}),
+a AS (SELECT id, pos, ix, o FROM ({_items("(SELECT id, ix AS pos, o->'alts' AS j FROM w)", 'id, pos')})),
+m AS (SELECT id, {_own("j")} AS j FROM (SELECT id, p->'motion_evidence' AS j FROM s WHERE kind = 'shot')),
+e AS ({_items("(SELECT id, j->'evidence' AS j FROM m WHERE json_type(j) = 'OBJECT')", 'id')})
+SELECT DISTINCT id AS segment_id, 'words' AS path, CAST(ix AS INT) AS pos, -1 AS sub_pos FROM w
+UNION SELECT id, 'words.alts', CAST(pos AS INT), CAST(ix AS INT) FROM a
+UNION SELECT id, 'motion_evidence.evidence', CAST(ix AS INT), -1 FROM e"""
+
 SQL = {
     "p1_found": _P1 + "SELECT src_table, src_key, ref_field, ref_value, status FROM bad",
     "p1_report": _P1 + "SELECT src_table, ref_field, strftime(arrival, '%Y-%m') AS month, status, count(*) AS orphans FROM bad GROUP BY ALL",
@@ -99,4 +123,5 @@ p AS (SELECT video_id, kind, island, min(s) AS s, max(e) AS e FROM g GROUP BY AL
 n AS (SELECT *, lag(e) OVER (PARTITION BY video_id, kind ORDER BY island) AS pe FROM p)
 SELECT video_id, kind, 'period' AS item, s AS start_ms, e AS end_ms FROM n
 UNION ALL SELECT video_id, kind, 'gap', pe, s FROM n WHERE pe IS NOT NULL AND s - pe <= 300000""",
+    "p4_found": _P4,
 }
