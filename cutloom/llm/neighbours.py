@@ -60,10 +60,12 @@ class SpaceIndex:
 
     def nearest_leaves(self, x: np.ndarray, count: int) -> np.ndarray:
         """The nearest leaves of each vector, nearest first."""
-        scores = x @ self.leaves.T
-        count = min(count, scores.shape[1])
-        best = np.argpartition(-scores, count - 1, axis=1)[:, :count]
-        return np.take_along_axis(best, np.argsort(-np.take_along_axis(scores, best, 1), axis=1, kind="stable"), 1)
+        count, out = min(count, len(self.leaves)), []
+        for part in _blocks(x, len(self.leaves)):
+            scores = part @ self.leaves.T
+            best = np.argpartition(-scores, count - 1, axis=1)[:, :count]
+            out.append(np.take_along_axis(best, np.argsort(-np.take_along_axis(scores, best, 1), axis=1, kind="stable"), 1))
+        return np.concatenate(out)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Lookup tables (n, pairs, 256): the score of each pair of neighbouring four-bit codes against each query."""
@@ -80,6 +82,12 @@ class SpaceIndex:
         return (codes[:, 0::2] << 4) | codes[:, 1::2]
 
 
+def _blocks(x: np.ndarray, width: int) -> list[np.ndarray]:
+    """Rows in blocks of at most about four million scores against so many leaves."""
+    step = max(64, 4_000_000 // max(1, width))
+    return [x[i : i + step] for i in range(0, len(x), step)]
+
+
 def _unit(raw: np.ndarray) -> np.ndarray:
     norm = np.sqrt((raw.astype(np.float64) ** 2).sum(1, keepdims=True))
     return raw / norm
@@ -98,14 +106,14 @@ def train_space(sample: np.ndarray, rows: int, leaf_rows: int, max_leaves: int,
     count = int(min(max(1, ceil(rows / leaf_rows)), max_leaves, max(1, n // 8)))
     leaves = x[rng.choice(n, count, replace=False)].copy()
     for _ in range(rounds if count > 1 else 1):
-        near = np.concatenate([(x[i : i + 4096] @ leaves.T).argmax(1) for i in range(0, n, 4096)])
+        near = np.concatenate([(part @ leaves.T).argmax(1) for part in _blocks(x, count)])
         sums = np.zeros((count, d), np.float64)
         np.add.at(sums, near, x)
         size = np.bincount(near, minlength=count)
         empty = size == 0
         sums[empty] = x[rng.choice(n, int(empty.sum()))]
         leaves = (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-    near = np.concatenate([(x[i : i + 4096] @ leaves.T).argmax(1) for i in range(0, n, 4096)])
+    near = np.concatenate([(part @ leaves.T).argmax(1) for part in _blocks(x, count)])
     chunks = np.ceil(np.bincount(near, minlength=count) * (rows / n) / max_chunk).clip(1).astype(np.int64)
     parts = d // SUB
     t = SCORE_THRESHOLD**2
@@ -168,11 +176,12 @@ def usable(vector: Column, dim: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) == dim) & finite & F.exists(vector, lambda x: x != 0)
 
 
-def similar_pairs(df: DataFrame, *, id_col: str, model_col: str, dim_col: str, vector_col: str, k: int = 5, min_cos: float = 0.9, probes: int = 4, rerank: int = 32, leaf_rows: int = 1000, max_leaves: int = 4096, train_rows: int = 16_384, max_chunk: int = 8000) -> DataFrame:
+def similar_pairs(df: DataFrame, *, id_col: str, model_col: str, dim_col: str, vector_col: str, k: int = 5, min_cos: float = 0.9, probes: int = 4, rerank: int = 32, leaf_rows: int = 1000, max_leaves: int = 16_384, train_rows: int = 131_072, max_chunk: int = 8000) -> DataFrame:
     """Pairs id_a < id_b of one space with cosine >= min_cos, one of them among the k most similar of the other.
 
-    A space is a model and dimension. All usable rows are indexed and all search; train_rows bounds the sample per space that
-    fits leaves and codebooks, and nothing else. Of equal similarities the smaller ids count as more similar. Vectors of
+    A space is a model and dimension. All usable rows are indexed and all search. A space has a leaf per leaf_rows vectors, up to
+    max_leaves; its sample that fits leaves and codebooks has 16,384 vectors, or eight per leaf, but never more than train_rows,
+    and bounds nothing else. Of equal similarities the smaller ids count as more similar. Vectors of
     which more than k + 1 exact copies exist are reduced to the k + 1 smallest ids before the search; each further copy
     pairs with the k smallest. Leaves of more than max_chunk rows are searched in chunks. Repeated rows of one id count once.
     Null ids, models and unusable vectors have no pairs; an empty table gives none.
@@ -199,7 +208,10 @@ def similar_pairs(df: DataFrame, *, id_col: str, model_col: str, dim_col: str, v
         raise ValueError("more than 10,000 spaces")
     if not sizes:
         return spark.createDataFrame([], "id_a bigint, id_b bigint")
-    cuts = F.create_map(*[x for s, n in sizes.items() for x in (F.lit(s), F.lit(min(1.0, train_rows / n)))])
+    def wanted(rows: int) -> int:
+        return min(train_rows, max(16_384, 8 * min(max_leaves, ceil(rows / leaf_rows))))
+
+    cuts = F.create_map(*[x for s, n in sizes.items() for x in (F.lit(s), F.lit(min(1.0, wanted(n) / n)))])
     sampled = cut_lineage(base.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < F.element_at(cuts, F.col("space")) * (1 << 30)).select("space", "vec"))
     indexes = {}
     for space, rows in sizes.items():  # one space at a time: the driver holds about train_rows vectors

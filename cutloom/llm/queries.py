@@ -21,7 +21,7 @@ SPACES = ("image", "text", "audio")
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Each cut mark with the shot whose edge lies nearest, at most 0.5 s away."""
-    edge = F.lower(F.trim("edge"))
+    edge = F.lower(F.regexp_replace("edge", r"\s+", ""))
     marks = table(spark, d, "cut_marks").select("mark_id", "video_id", edge.alias("edge"), "mark_s").filter(F.col("edge").isin("in", "out"))
     shots = table(spark, d, "segments").filter(F.col("kind") == "shot")
     edges = shots.select(F.col("id").alias("segment_id"), "video_id", F.explode(F.create_map(F.lit("in"), "t_start_s", F.lit("out"), "t_end_s")).alias("edge", "edge_s"))
@@ -96,8 +96,16 @@ m AS (SELECT id, count(DISTINCT j) AS repeated FROM (SELECT id, unnest([i, i + 1
 """
 
 SQL = {
+    "p6_found": """
+WITH vec AS (SELECT id, any_value(model_name) AS model_name, any_value(dim) AS dim, CAST(any_value(embedding) AS DOUBLE[]) AS v FROM segments
+             WHERE embedding IS NOT NULL AND model_name IS NOT NULL AND len(embedding) = dim
+               AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY id),
+c AS (SELECT a.id AS i, b.id AS o, list_cosine_similarity(a.v, b.v) AS c FROM vec a JOIN vec b ON a.model_name = b.model_name AND a.dim = b.dim AND a.id < b.id),
+n AS (SELECT i, o, c FROM c WHERE c >= 0.9 UNION ALL SELECT o, i, c FROM c WHERE c >= 0.9),
+t AS (SELECT i, o, row_number() OVER (PARTITION BY i ORDER BY c DESC, o) AS r FROM n)
+SELECT DISTINCT least(i, o) AS id_a, greatest(i, o) AS id_b FROM t WHERE r <= 5""",
     "p2_found": """
-WITH m AS (SELECT DISTINCT mark_id, video_id, lower(trim(edge)) AS edge, mark_s FROM cut_marks WHERE mark_s IS NOT NULL),
+WITH m AS (SELECT DISTINCT mark_id, video_id, lower(regexp_replace(edge, '\\s+', '', 'g')) AS edge, mark_s FROM cut_marks WHERE mark_s IS NOT NULL),
 e AS (SELECT DISTINCT id, video_id, 'in' AS edge, t_start_s AS t FROM segments WHERE kind = 'shot' UNION ALL SELECT DISTINCT id, video_id, 'out', t_end_s FROM segments WHERE kind = 'shot'),
 j AS (SELECT mark_id, id, row_number() OVER (PARTITION BY mark_id ORDER BY abs(t - mark_s), id) AS n FROM m JOIN e USING (video_id, edge) WHERE abs(t - mark_s) <= 0.5 + 1e-9)
 SELECT mark_id, id AS segment_id FROM j WHERE n = 1""",
