@@ -11,6 +11,9 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
+from re import _constants as sre
+from re._parser import parse as sre_parse
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -95,30 +98,115 @@ _UNITS = re.compile(r"\n+|(?<=[.!?…])\s+|\s+/\s+")
 _MARKS = ("{", "$", "<", "[", "@@", "__", "%", "‹")
 _EMPTY_MARKS = ("undefined", "null", "NaN", "None", "nil", "[object", "(null)", "%s", "%d", "%i", "%f")
 
-#: Fragments one of which every error, filler or script sign contains, in lower case.
-_FRAGMENTS = """gateway|unavailable|server|reachable|traceback|exception|stack trace|timed out|timeout|time-out|error|no object under|segmentation fault|connection re|access |denied|lack the rights|forbidden
-requests|rate limit|session|in again|went wrong|thing broke|things broke|could not |couldn't |cannot be |not found|available|try again|did not answer|failed|failure|warning|http|sorry|expired|ticket|status|request|code|file "|reload the page|refresh the page
-zugriff|sitzung|erneut|schiefgelaufen|nicht gefunden|nicht verfügbar|versuchen|antwortet nicht|anfragen|konnte nicht|fehler|leider|vorgang|neu laden|accès|expiré|reconnectez|survenu|introuvable|réessayez|ne répond|requêtes|pas disponible|erreur|désolé|dossier|rechargez
-acceso|sesión|caducado|vuelva a|falló|salió mal|encontramos|se encontró|no encontrad|inténtelo|no responde|solicitudes|peticiones|está disponible|lo sentimos|caso|recargue
-lorem|dolor sit|dummy|filler|sample|placeholder|example|text to |goes here|comes here|go here|be here|appear here|text will|text follow|to be |coming soon|layout only|replace |tbd|tba|todo|to do|blindtext|platzhalter|beispiel|text folgt|hier kommt|hier steht|hier folgt|bitte ersetzen|mustertext|fülltext
-à venir|faux texte|viendra ici|d'exemple|d’exemple|à remplacer|remplissage|texto pendiente|texto de |aquí irá|párrafo de |por sustituir|de posición|javascript|scripts|scripting| script|>script|(script|\"script|'script|skript|asdf|qwer|jkl|xxx|blah|zxcv|uiop|foobar|yyy|zzz|test test|bla bla|foo bar|abc abc|aaa aaa""".replace("\n", "|").split("|")
+
+def _strings(items, most: int = 64) -> set[str] | None:
+    """All strings, in lower case, that a part of a parsed pattern can match; None if they are many or unbounded."""
+    found = {""}
+    for op, value in items:
+        if op is sre.LITERAL:
+            more = {chr(value).lower()}
+        elif op is sre.AT:
+            more = {""}
+        elif op is sre.IN and all(o is sre.LITERAL for o, _ in value):
+            more = {chr(v).lower() for _, v in value}
+        elif op is sre.SUBPATTERN:
+            more = _strings(value[3], most)
+        elif op is sre.BRANCH:
+            parts = [_strings(x, most) for x in value[1]]
+            more = None if None in parts else set().union(*parts)
+        elif op is sre.MAX_REPEAT and value[1] == 1:
+            more = _strings(value[2], most)
+            more = more if more is None or value[0] else more | {""}
+        else:
+            more = None
+        if more is None or len(found) * len(more) > most:
+            return None
+        found = {x + y for x in found for y in more}
+    return found
+
+
+def _needed(items) -> set[str]:
+    """Strings one of which every match of a part of a parsed pattern holds, the longest that can be proven; {""} if none can."""
+    runs, run = [], []
+    for item in items:
+        if _strings([*run, item]) is not None:
+            run.append(item)
+            continue
+        runs.append(_strings(run))
+        op, value = item
+        run = [item] if _strings([item]) is not None else []
+        if op is sre.SUBPATTERN:
+            runs.append(_needed(value[3]))
+        elif op is sre.BRANCH:
+            runs.append(set().union(*map(_needed, value[1])))
+        elif op is sre.MAX_REPEAT and value[0]:
+            runs.append(_needed(value[2]))
+    return max([*runs, _strings(run)], key=lambda x: min(map(len, x)))
+
+
+def _top(items) -> list:
+    """The alternatives of a parsed pattern, each as a list of its items; those of a group that is all but ends of words too."""
+    inner = [(op, value) for op, value in items if op is not sre.AT]
+    if len(inner) == 1 and inner[0][0] is sre.SUBPATTERN:
+        return _top(inner[0][1][3])
+    if len(inner) == 1 and inner[0][0] is sre.BRANCH:
+        return [x for branch in inner[0][1][1] for x in _top(branch)]
+    return [list(items)]
+
+
+#: For fragments that are too common: what holds, in lower case, where their signs do.
+_PROBES = {"at ": re.compile(r"at \w+\.\w"), "d/": re.compile(r"d/\d+\.\d")}
+
+
+@lru_cache(maxsize=1)
+def fragments() -> dict[str, re.Pattern | None]:
+    """Fragments one of which every error, filler or script sign holds, in lower case, taken from the patterns themselves.
+
+    With a fragment comes the pattern to be run where it occurs; None if the fragment is enough.
+    """
+    found: dict[str, re.Pattern | None] = {}
+    for pattern in (_ERROR_STRONG, _ERROR_WEAK, _FILLER, _SCRIPT):
+        for alternative in _top(sre_parse(pattern.pattern, pattern.flags)):
+            for x in _needed(alternative):
+                if not x:
+                    raise ValueError(f"an alternative of {pattern.pattern[:40]}... has no fragment")
+                found[x] = _PROBES.get(x, pattern if pattern is _SCRIPT else None)
+    return found
 
 
 @lru_cache(maxsize=1)
 def _automaton():
-    """Aho-Corasick automaton over the fragments and the longer pseudo-Latin words: one pass tells that a text has no sign."""
+    """Aho-Corasick automaton over the fragments: one pass tells that a text has no sign."""
     import ahocorasick
 
     automaton = ahocorasick.Automaton()
-    for word in {*_FRAGMENTS, *(w for w in _LATIN if len(w) > 4)}:
-        automaton.add_word(word, 1)
+    for word, pattern in fragments().items():
+        automaton.add_word(word, pattern)
     automaton.make_automaton()
     return automaton
 
 
 def has_sign(text: str) -> bool:
-    """Whether a text has any fragment of a sign; without one its score is 0."""
-    return next(_automaton().iter(f" {text.lower()}".replace("\n", " ")), None) is not None
+    """Whether a text may have a sign; without one its score, and that of each unit in it, is 0.
+
+    Pseudo-Latin counts from more than half of the words of a unit: two such words are then neighbours, or one word apart.
+    """
+    lowered = text.lower()
+    if not text.isascii():  # letters that patterns take for i and s in any case
+        lowered = lowered.replace("i\u0307", "i").replace("ı", "i").replace("ſ", "s")
+    tried = set()
+    for _, pattern in _automaton().iter(lowered):
+        if pattern is None:
+            return True
+        if pattern not in tried:
+            if pattern.search(lowered):
+                return True
+            tried.add(pattern)
+    tokens = _WORDS.findall(lowered)
+    if not _MASH.isdisjoint(tokens):
+        return True
+    latin = [i for i, t in enumerate(tokens) if t in _LATIN]
+    return any(j - i <= 2 for i, j in pairwise(latin))
 
 
 def _discussed(text: str, start: int, end: int) -> bool:
@@ -159,8 +247,11 @@ def body_units(text: str, slug: str | None = None, title: str | None = None) ->
 
 def unit_score(unit: str) -> int:
     """0 content, 1 a weak sign of residue, 2 residue, -1 talk about residue."""
-    if not has_sign(unit):
-        return 0
+    return full_score(unit) if has_sign(unit) else 0
+
+
+def full_score(unit: str) -> int:
+    """The score of a unit without a look at its fragments first."""
     tokens = [w.lower() for w in _WORDS.findall(unit)]
     n = len(tokens)
     if n and sum(t in _LATIN for t in tokens) * 2 > n and n > 2:

@@ -300,3 +300,45 @@ def test_automaton_passes_every_sign():
     for text in CASES[12:]:
         clean = res._FORMAT.sub("", text)
         assert res.has_sign(clean), text
+
+
+def _example(items) -> str:
+    """A text that a part of a parsed pattern matches; the last branch of inner alternatives."""
+    from re import _constants as sre
+
+    out = ""
+    for op, value in items:
+        if op is sre.LITERAL:
+            out += chr(value)
+        elif op is sre.IN:
+            out += next((chr(v) for o, v in value if o is sre.LITERAL), {sre.CATEGORY_DIGIT: "7", sre.CATEGORY_SPACE: " "}.get(value[0][1], "x"))
+        elif op in (sre.NOT_LITERAL, sre.ANY):
+            out += "x"
+        elif op is sre.SUBPATTERN:
+            out += _example(value[3])
+        elif op is sre.BRANCH:
+            out += _example(value[1][-1])
+        elif op is sre.MAX_REPEAT:
+            out += _example(value[2]) * value[0]
+    return out
+
+
+def test_every_alternative_of_every_sign_passes_the_gate():
+    from re._parser import parse
+
+    texts = []
+    for pattern in (res._ERROR_STRONG, res._ERROR_WEAK, res._FILLER, res._SCRIPT):
+        alternatives = [_example(x) for x in res._top(parse(pattern.pattern, pattern.flags))]
+        assert len(alternatives) > 2 and all(pattern.search(x) for x in alternatives)
+        texts += alternatives
+    texts += res._MASH | {" ".join([w] * 3) for w in res._LATIN} | {"elit sed do ut", "in x et", "Test", "Testing testing", "bar baz", "served by clipd/2.1", "at com.clip.Render.draw(Render.java:41)", "NOT AVAİLABLE IN YOUR"}
+    assert [x for x in texts if not res.full_score(x)] == []
+    assert [x for x in texts if res.unit_score(x) != res.full_score(x)] == []
+    assert not any(map(res.has_sign, ("The boat lies at the pier.", "A barn in the latest description.", "line")))
+
+
+def test_short_signs_are_found(spark):
+    frames = "".join(f"\n    at com.clip.Render.draw(Render.java:{n})" for n in (41, 52, 63))
+    texts = ["Test", "Testing testing", "bar baz", f"Exception: no frame{frames}", "The bar by the pier stays open late."]
+    df = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "id long, text string, source string")
+    assert {r["id"] for r in res.residue(df, id_col="id", text_col="text", host_col="source").collect()} == {0, 1, 2, 3}
