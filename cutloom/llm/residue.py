@@ -38,6 +38,20 @@ _EMPTY = r"(?:undefined|null|NaN|None|nil|\[object Object\]|\(null\))"
 _EMPTY_AFTER_LABEL = re.compile(rf"(?<![\"'\w])[^\W\d][\w ]{{0,30}}\s?[:=]\s?{_EMPTY}(?![\w\"'])")
 #: Within a sentence: a value follows a word.
 _EMPTY_WORD = re.compile(rf"(?<=[^\W\d][ ]){_EMPTY}(?![\w\"'`”»])")
+#: A single one in the place of a value: after a greeting or a preposition, and before the end of the phrase or a function word.
+_GREETING = r"(?:hello|hi|hey|dear|welcome(?: back)?|thanks|thank you|good (?:morning|evening|afternoon)|goodbye|bye|hallo|guten (?:tag|morgen|abend)|willkommen(?: zurück)?|danke|liebe[rs]?|bonjour|bonsoir|salut|bienvenue|merci|chère?|hola|buen[oa]s (?:días|tardes|noches)|bienvenid[oa]s?|gracias|querid[oa]|adiós)"
+_BEFORE = r"(?:by|on|at|from|with|for|in|of|von|vom|am|auf|mit|bei|für|aus|par|de|du|à|sur|avec|pour|dans|por|en|con|para|desde)"
+_NEXT = r"(?=\s*(?:$|[.,;:!?()\[\]|/·–—-])|\s+(?i:on|in|at|by|and|or|with|from|for|to|is|was|has|und|im|am|auf|mit|von|bei|für|aus|ist|war|et|sur|dans|avec|par|pour|le|la|à|est|y|en|con|por|para|el|es)\b)"
+_EMPTY_ALONE = re.compile(
+    rf"\b(?i:{_BEFORE}|{_GREETING},?)\s(?P<a>undefined){_NEXT}|,\s(?P<b>undefined)(?=\s?!)"
+    # Words with a reading of their own (nil in results, German null, English None) stand in few of these places.
+    rf"|\b(?i:by|from|on|par|por|von|{_GREETING},?)\s(?P<c>nil){_NEXT}|\b(?i:by|par|por|{_GREETING},?)\s(?P<d>null|None){_NEXT}"
+    r"|(?<=[^\W\d][ ])(?P<e>NaN(?!\w)|\(null\)|%[sdif](?!\w))|(?<=,[ ])(?P<f>NaN(?!\w)|\(null\)|%[sdif](?!\w))"
+)
+#: What names a value rather than being one, right before it.
+_NAMES = re.compile(r"\b(?:about|words?|values?|terms?|called|named|means?|what|says|prints?|shows?|displays?|returns?|writes?|uses?|reads?|über|wort|wert|heißt|zeigt|schreibt|liest|mot|valeur|affiche|montre|écrit|lit|palabra|valor|muestra|escribe|lee)\s+$", re.I)
+#: Verbs of discussion and quoting.
+_DISCUSSES = re.compile(r"\b(?:explain(?:s|ed)?|show(?:s|ed|n)?|quote[sd]?|says|said|asks?|asked|writes?|wrote|reads?|replaces?|replaced|means?|meant|teach(?:es)?|taught|discuss(?:es|ed)?|demonstrates?|describes?|compares?|prints?|displays?|erklärt|zeigt|liest|schreibt|bedeutet|heißt|fragt|ersetzt|explique|montre|écrit|lit|signifie|demande|remplace|explica|muestra|escribe|lee|significa|pregunta|reemplaza)\b", re.I)
 _OBJECT = re.compile(r"\[object Object\]|NaN:NaN")
 _PRINTF = re.compile(r"(?<![\w%\"'`“«])%[sdif](?![\w\"'`”»])")
 
@@ -218,6 +232,16 @@ def _discussed(text: str, start: int, end: int) -> bool:
     return _ABOUT.search(text, a + 1, min(ends, default=len(text))) is not None
 
 
+def _told(line: str, start: int, end: int) -> bool:
+    """Whether an empty value is named, quoted, or stands in a sentence that discusses such values."""
+    a = max(0, *(line.rfind(x, 0, start) + 1 for x in (". ", "! ", "? ")))
+    b = min([e for e in (line.find(x, end) for x in (". ", "! ", "? ")) if e >= 0], default=len(line))
+    before, after = line[a:start], line[end:b]
+    if _NAMES.search(before) or any(before.count(o) > before.count(c) * (o != c) and c in after and (o != c or before.count(o) % 2) for o, c in (('"', '"'), ("`", "`"), ("“", "”"), ("„", "“"), ("«", "»"), ("»", "«"))):
+        return True
+    return any(_ABOUT.search(x) for x in (before, after)) and any(_DISCUSSES.search(x) for x in (before, after))
+
+
 def unfilled(text: str) -> bool:
     """Whether a placeholder or an empty program value was left where a value belongs; quoted or discussed ones do not count."""
     if any(m in text for m in _MARKS) and any(not _discussed(text, *m.span()) for p in _PLACEHOLDER for m in p.finditer(text)):
@@ -227,6 +251,8 @@ def unfilled(text: str) -> bool:
     for line in text.split("\n"):
         if _OBJECT.search(line) or _EMPTY_AFTER_LABEL.search(line) or len(_PRINTF.findall(line)) > 1:
             return True
+        if any(not _told(line, *m.span(m.lastgroup)) for m in _EMPTY_ALONE.finditer(line)):
+            return True
         again = _EMPTY_WORD.findall(line)
         if len(again) > len(set(again)) and len(line.split()) <= 14:
             return True

@@ -342,3 +342,17 @@ def test_short_signs_are_found(spark):
     texts = ["Test", "Testing testing", "bar baz", f"Exception: no frame{frames}", "The bar by the pier stays open late."]
     df = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "id long, text string, source string")
     assert {r["id"] for r in res.residue(df, id_col="id", text_col="text", host_col="source").collect()} == {0, 1, 2, 3}
+
+
+def test_one_empty_value_in_the_place_of_a_value():
+    long = "The baker opens the blue door and the rowers carry the old map down to the boats again, "
+    cases = [
+        "Filmed by undefined on the pier.", "Filmed by undefined on null.", "Welcome back, undefined!", "Hello %s, thanks for watching", long + "filmed by undefined and cut by undefined.", long + "filmed by undefined.", "Gefilmt von undefined am Hafen.",
+        "Filmé par undefined sur le quai.", "Grabado por undefined en el muelle.", "The walk lasts NaN minutes.", "Recorded by nil.", "Written by (null), read by Ana.", "Filmed by null.", "Bonjour undefined, merci !", "It was watched by %d people.",
+    ]
+    others = [
+        "Der Zähler steht auf null.", "Es beginnt bei null.", "None of the rowers waits.", "Three goals to nil.", "They won two nil on Sunday.", "A shape of undefined length in the fog.", "The border is left undefined.", "Its edges are soft, undefined.", "The word NaN stands on the wall.", "A talk about NaN.",
+        'The caption says "Filmed by undefined" and nobody laughs.', "The tutorial shows the code with undefined, next to its output.", "What %s means is told later.", "A discount of 20 % so far.",
+    ]
+    assert [x for x in cases if not res.unfilled(x)] == []
+    assert [x for x in others if res.unfilled(x)] == []
