@@ -6,16 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def tile(spans: DataFrame, key: str, *, win_s: float = 10.0, min_s: float = 2.0) -> DataFrame:
-    """Fixed tiling of [0, span): key, s, e. A rest of at least min_s, or the only window, stands alone; a shorter one joins the last."""
+def tile_counts(spans: DataFrame, key: str, *, win_s: float = 10.0, min_s: float = 2.0) -> DataFrame:
+    """key, span, n and has_rest of the tiling of [0, span); spans without a tile are left out."""
     full = F.floor(F.col("span") / win_s)
     rest = F.col("span") - full * win_s
     alone = (rest > 1e-9) & ((rest >= min_s) | (full == 0))
-    count = full + alone.cast("int")
-    rows = spans.filter("span > 0").select(key, "span", full.alias("full"), count.alias("n"), (rest > 1e-9).alias("has_rest"))
-    rows = rows.filter("n > 0").withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-    last = F.col("j") == F.col("n") - 1
-    return rows.select(key, (F.col("j") * win_s).alias("s"), F.when(last & F.col("has_rest"), F.col("span")).otherwise((F.col("j") + 1) * win_s).alias("e"))
+    return spans.filter("span > 0").select(key, "span", (full + alone.cast("int")).alias("n"), (rest > 1e-9).alias("has_rest")).filter("n > 0")
+
+
+def tile_end(j: Column, win_s: float = 10.0) -> Column:
+    """The end of tile j (from 0) of a row of tile_counts."""
+    return F.when((j == F.col("n") - 1) & F.col("has_rest"), F.col("span")).otherwise((j + 1) * win_s)
+
+
+def tile(spans: DataFrame, key: str, *, win_s: float = 10.0, min_s: float = 2.0, position: str | None = None, block: int = 50_000) -> DataFrame:
+    """Fixed tiling of [0, span): key, s, e, and the number from 1 as ``position``. A rest of at least min_s, or the only window, stands alone; a shorter one joins the last.
+
+    A long span is cut into blocks of tiles, which are spread over the tasks.
+    """
+    blocks = tile_counts(spans, key, win_s=win_s, min_s=min_s).withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / block))))
+    rows = blocks.repartition(4 * spans.sparkSession.sparkContext.defaultParallelism, key, "b")  # a given number, as the rows look too small to be kept apart
+    rows = rows.withColumn("j", F.explode(F.sequence(F.col("b") * block, F.least(F.col("n"), (F.col("b") + 1) * block) - 1)))
+    numbers = [(F.col("j") + 1).alias(position)] if position else []
+    return rows.select(key, (F.col("j") * win_s).alias("s"), tile_end(F.col("j"), win_s).alias("e"), *numbers)
 
 
 def candidate_frames(first: Column, last: Column, rate: Column, interval_s: float = 3.0) -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cutloom import schema
+from cutloom.operators.frames import tile_counts, tile_end
+from cutloom.session import broadcast_if_small
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -21,12 +23,14 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[s
     return old.join(new.select(*keys), list(keys), "left_anti").unionByName(fresh.select(*[c for c in old.columns if c in fresh.columns]), allowMissingColumns=True)
 
 
-def minted(old: DataFrame, new: DataFrame, order: Sequence[str]) -> DataFrame:
-    """New rows with ids above all old ones, in the given order. Partitions are numbered by their sizes, not sorted into one task."""
+def minted(old: DataFrame, new: DataFrame, order: Sequence[str], position: str | None = None) -> DataFrame:
+    """New rows with ids above all old ones, in the given order, or by the numbers from 1 that they have. Partitions are numbered by their sizes, not sorted into one task."""
     top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     # Without a grouping column a window would use one task: rows are numbered per video, videos by a running count.
-    ranked = new.withColumn("_n", F.row_number().over(Window.partitionBy("video_id").orderBy(*order)))
+    ranked = new.withColumnRenamed(position, "_n") if position else new.withColumn("_n", F.row_number().over(Window.partitionBy("video_id").orderBy(*order)))
     counts = new.groupBy("video_id").agg(F.count("*").alias("_c")).withColumn("_before", F.sum("_c").over(Window.orderBy("video_id")) - F.col("_c"))
+    if position:  # a video of very many rows stays where its rows are
+        counts = broadcast_if_small(counts)
     return ranked.join(counts, "video_id").withColumn("id", F.lit(top) + F.col("_before") + F.col("_n")).drop("_n", "_c", "_before")
 
 
@@ -44,13 +48,16 @@ def patch_payloads(segments: DataFrame, patches: DataFrame) -> DataFrame:
     return joined.withColumn("payload", payload).select(*segments.columns)
 
 
-def replace_segments(old: DataFrame, new: DataFrame, kinds: Sequence[str], patches: DataFrame | None = None) -> DataFrame:
-    """Old rows without the kinds of the videos in ``new`` (or of a column video_id), the new rows with minted ids, and patches on other rows."""
+def replace_segments(old: DataFrame, new: DataFrame, kinds: Sequence[str], patches: DataFrame | None = None, position: str | None = None) -> DataFrame:
+    """Old rows without the kinds of the videos in ``new`` (or of a column video_id), the new rows with minted ids, and patches on other rows.
+
+    position: a column of ``new`` that numbers each video's rows from 1 already.
+    """
     gone = new.select("video_id").distinct().withColumn("kind", F.explode(F.array(*map(F.lit, kinds))))
     kept = old.join(gone, ["video_id", "kind"], "left_anti")
     if patches is not None:
         kept = patch_payloads(kept, patches)
-    return kept.unionByName(minted(old, new, ["t_start_s", "kind", "t_end_s"]), allowMissingColumns=True)
+    return kept.unionByName(minted(old, new, ["t_start_s", "kind", "t_end_s"], position), allowMissingColumns=True)
 
 
 def delete_segments(old: DataFrame, video_id: str, kind: str | None = None) -> DataFrame:
@@ -109,6 +116,15 @@ def tiles_match(stored: DataFrame, made: DataFrame, key: str = "video_id", win_s
     return both.groupBy(key).agg(F.bool_and(F.coalesce(same, F.lit(False))).alias("reusable"))
 
 
+def tiling_matches(stored: DataFrame, spans: DataFrame, key: str = "video_id", win_s: float = 10.0, min_s: float = 2.0) -> DataFrame:
+    """tiles_match with the tiling of spans, whose tiles are computed where a stored window is compared with them instead of being made."""
+    numbered = stored.withColumn("j", F.row_number().over(Window.partitionBy(key).orderBy("s", "e")) - 1)
+    both = numbered.join(tile_counts(spans, key, win_s=win_s, min_s=min_s), key, "full")
+    same = (F.abs(F.col("s") - F.col("j") * win_s) < 1e-6) & (F.abs(F.col("e") - tile_end(F.col("j"), win_s)) < 1e-6) & (F.col("win_s") == win_s) & F.col("embedded")
+    whole = F.max("n") == F.count("j")
+    return both.groupBy(key).agg((F.bool_and(F.coalesce(same, F.lit(False))) & F.coalesce(whole, F.lit(False))).alias("reusable"))
+
+
 def orphan_files(files: DataFrame, rows: DataFrame, name: str = "name") -> DataFrame:
     """Files on disk that no row names."""
     return files.join(rows.select(name), name, "left_anti")

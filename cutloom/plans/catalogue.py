@@ -392,14 +392,9 @@ def hamming_distance(spark, d):
 _TILES = "v AS (SELECT video_id, max(t_end_s) AS span FROM segments WHERE kind = 'audio_window' GROUP BY video_id), c AS (SELECT *, CAST(floor(span / 10) AS BIGINT) AS f, span - floor(span / 10) * 10 AS rest FROM v WHERE span > 0), nn AS (SELECT *, f + CASE WHEN rest > 1e-9 AND (rest >= 2 OR f = 0) THEN 1 ELSE 0 END AS n FROM c), jj AS (SELECT *, unnest(range(0, n)) AS j FROM nn), tiles AS (SELECT video_id, j * 10.0 AS s, CASE WHEN j = n - 1 AND rest > 1e-9 THEN span ELSE (j + 1) * 10.0 END AS e FROM jj)"
 
 
-def _extents(spark: SparkSession, d: str) -> DataFrame:
-    """How far each video's audio windows reach; the archive video's own length would make tens of millions of empty tiles."""
-    return table(spark, d, "segments").filter("kind = 'audio_window'").groupBy("video_id").agg(F.max("t_end_s").alias("span"))
-
-
 @query(f"WITH {_TILES} SELECT * FROM tiles")
 def audio_tiling(spark, d):
-    return frames.tile(_extents(spark, d), "video_id")
+    return frames.tile(spans(spark, d), "video_id")
 
 
 _SHOTS = f"sh AS (SELECT seg.id, frame_start AS a, frame_end AS b, CAST(fps_num AS DOUBLE) / fps_den AS fps FROM seg JOIN videos USING (video_id) WHERE kind = 'shot' AND frame_end >= frame_start)"
@@ -639,8 +634,8 @@ def upsert_video(spark, d):
 SELECT * FROM kept UNION ALL SELECT (SELECT max(id) FROM segments) + row_number() OVER (ORDER BY video_id, s, e), video_id, 'audio_window', s, e FROM tiles""")
 def replace_segments(spark, d):
     old = seg(spark, d, "video_id", "kind", "t_start_s", "t_end_s")
-    new = frames.tile(_extents(spark, d), "video_id").select("video_id", F.lit("audio_window").alias("kind"), F.col("s").alias("t_start_s"), F.col("e").alias("t_end_s"))
-    return store.replace_segments(old, new, ["audio_window"])
+    new = frames.tile(spans(spark, d), "video_id", position="n").select("video_id", F.lit("audio_window").alias("kind"), F.col("s").alias("t_start_s"), F.col("e").alias("t_end_s"), "n")
+    return store.replace_segments(old, new, ["audio_window"], position="n")
 
 
 @query(f"WITH {_SEG} SELECT id, video_id, kind FROM seg WHERE NOT (video_id = '{VIDEO}' AND kind = 'frame')")
@@ -686,7 +681,7 @@ SELECT coalesce(a.video_id, b.video_id) AS video_id, bool_and(coalesce(abs(a.s -
 def audio_reuse_check(spark, d):
     stored = seg(spark, d, "video_id", "t_start_s", "t_end_s", "payload", "embedding", kinds=("audio_window",))
     stored = stored.select("video_id", F.col("t_start_s").alias("s"), F.col("t_end_s").alias("e"), text_at(parsed(F.col("payload")), "$.win_s").try_cast("double").alias("win_s"), F.col("embedding").isNotNull().alias("embedded"))
-    return store.tiles_match(stored, frames.tile(_extents(spark, d), "video_id"))
+    return store.tiling_matches(stored, spans(spark, d))
 
 
 # --- scoring -----------------------------------------------------------------------------------------------------------

@@ -300,3 +300,34 @@ def test_commands(spark, data, capsys):
     capsys.readouterr()
     assert main(["--data", data, "search", "a red kite", "-k", "3"], spark) == 0
     assert len(capsys.readouterr().out.splitlines()) == 3
+
+
+def test_tiles_cover_the_whole_length_of_a_video_in_blocks(spark):
+    spans = spark.createDataFrame([("v", 101.0), ("w", 45.0), ("x", None), ("y", 30.0)], "video_id string, span double")
+    want = rows(frames.tile(spans, "video_id", position="n"))
+    assert rows(frames.tile(spans, "video_id", position="n", block=3)) == want
+    assert [(s, e, n) for v, s, e, n in want if v == "w"] == [(0, 10, 1), (10, 20, 2), (20, 30, 3), (30, 40, 4), (40, 45, 5)]
+    old = spark.createDataFrame([(7, "v", "audio_window", 0.0, 10.0), (9, "v", "shot", 0.0, 3.0)], "id long, video_id string, kind string, t_start_s double, t_end_s double")
+    new = frames.tile(spans, "video_id", position="n", block=3).selectExpr("video_id", "'audio_window' as kind", "s as t_start_s", "e as t_end_s", "n")
+    assert rows(store.replace_segments(old, new, ["audio_window"], position="n")) == rows(store.replace_segments(old, new.drop("n"), ["audio_window"]))
+
+
+def test_windows_without_the_tail_of_a_video_are_not_reusable(spark):
+    spans = spark.createDataFrame([("a", 25.0), ("b", 25.0), ("c", 25.0), ("d", 25.0), ("f", 12.0)], "video_id string, span double")
+    window = lambda v, s, e, w=10.0, emb=True: (v, float(s), float(e), w, emb)
+    stored = [window("a", 0, 10), window("a", 10, 20), window("a", 20, 25), window("b", 0, 10), window("b", 10, 20), window("c", 0, 10), window("c", 10, 20), window("c", 20, 25, emb=False), window("e", 0, 10), *[window("f", 0, 10), window("f", 10, 12), window("f", 20, 22)]]
+    df = spark.createDataFrame(stored, "video_id string, s double, e double, win_s double, embedded boolean")
+    got = store.tiling_matches(df, spans)
+    assert rows(got) == [("a", True), ("b", False), ("c", False), ("d", False), ("e", False), ("f", False)]
+    assert rows(got) == rows(store.tiles_match(df, frames.tile(spans, "video_id")))
+
+
+def test_audio_queries_tile_the_length_of_every_video(spark, data):
+    from cutloom.plans import catalogue
+
+    want = {r["video_id"]: r["span"] for r in catalogue.spans(spark, data).filter("span > 0").collect()}
+    tiles = catalogue.audio_tiling(spark, data).groupBy("video_id").agg(F.max("e").alias("e"), F.sum(F.col("e") - F.col("s")).alias("length")).collect()
+    assert {r["video_id"] for r in tiles} == set(want)
+    assert all(r["length"] == pytest.approx(r["e"]) and -1e-6 < want[r["video_id"]] - r["e"] < 2 for r in tiles)  # a rest under 2 s is no tile
+    stored = {r["video_id"] for r in catalogue.seg(spark, data, "video_id", kinds=("audio_window",)).collect()}
+    assert {r["video_id"] for r in catalogue.audio_reuse_check(spark, data).collect()} == stored | set(want)
