@@ -588,8 +588,8 @@ _SHOT_OF = """so AS (SELECT video_id, CAST(CAST(CAST(json_extract_string(payload
 @query(f"""WITH {_SEG}, {_SHOT_OF}, f AS (SELECT id, video_id, t_start_s, t_end_s, CASE WHEN json_extract_string(payload, '$.shot_index') IS NOT NULL THEN CAST(CAST(CAST(json_extract_string(payload, '$.shot_index') AS DOUBLE) AS BIGINT) AS VARCHAR) END AS si FROM seg WHERE kind = 'frame' AND id % 100 = 0)
 SELECT f.id, coalesce(s, t_start_s) AS cut_start_s, CASE WHEN s IS NULL THEN t_end_s ELSE e END AS cut_end_s FROM f LEFT JOIN so USING (video_id, si)""")
 def cut_refine_frame(spark, d):
-    """Search hits are a few rows: here the stated query set, the frames whose id is divisible by 100, against all shots."""
-    hits = table(spark, d, "segments").filter("kind = 'frame' and id % 100 = 0").select("id").distinct()
+    """All frames against all shots: an equi-join, joined by shuffle."""
+    hits = table(spark, d, "segments").filter("kind = 'frame'").select("id").distinct()
     return search.cut_ranges(hits, table(spark, d, "segments")).select("id", "cut_start_s", "cut_end_s")
 
 

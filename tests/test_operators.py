@@ -331,3 +331,10 @@ def test_audio_queries_tile_the_length_of_every_video(spark, data):
     assert all(r["length"] == pytest.approx(r["e"]) and -1e-6 < want[r["video_id"]] - r["e"] < 2 for r in tiles)  # a rest under 2 s is no tile
     stored = {r["video_id"] for r in catalogue.seg(spark, data, "video_id", kinds=("audio_window",)).collect()}
     assert {r["video_id"] for r in catalogue.audio_reuse_check(spark, data).collect()} == stored | set(want)
+
+
+def test_every_frame_gets_a_cut_range(spark, data):
+    from cutloom.plans import catalogue
+
+    got = [r["id"] for r in catalogue.cut_refine_frame(spark, data).collect()]
+    assert len(got) == len(set(got)) and set(got) == {r["id"] for r in catalogue.seg(spark, data, "id", kinds=("frame",)).collect()}
