@@ -133,7 +133,7 @@ def cascade_status(spark, d):
 @query(f"""WITH {_SEG}, t AS (SELECT id, coalesce(nullif(json_extract_string(payload, '$.text'), ''), nullif(json_extract_string(payload, '$.description'), ''), nullif(json_extract_string(payload, '$.frame_path'), ''), '') AS p FROM seg
 WHERE kind IN ('frame', 'caption', 'lyrics', 'shot') AND json_valid(payload)) SELECT id, substr(p, 1, 120) AS preview FROM t""")
 def preview_text(spark, d):
-    rows = seg(spark, d, "kind", "payload", kinds=("frame", "caption", "lyrics", "shot")).select("id", parsed(F.col("payload")).alias("v")).filter("v is not null")
+    rows = seg(spark, d, "payload").select("id", parsed(F.col("payload")).alias("v"))
     return rows.select("id", text.preview(*[text_at(F.col("v"), f"$.{k}") for k in ("text", "description", "frame_path")]).alias("preview"))
 
 
@@ -520,11 +520,6 @@ _VALID = "embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embe
 _VECS = f"vec AS (SELECT id, any_value(video_id) AS video_id, any_value(kind) AS kind, any_value(model_name) AS model_name, CAST(any_value(embedding) AS DOUBLE[]) AS v FROM segments WHERE {_VALID} GROUP BY id), q AS (SELECT unnest(['pictower-v2', 'sentenc-small-v1', 'soundtower-v1']) AS model_name, list_transform(range(64), lambda i: sin(i + 1)) AS q)"
 
 
-def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "segments").filter("embedding is not null").select("id", "video_id", "kind", "model_name", "embedding", "ingested_at")
-    return rows.dropDuplicates(["id"])
-
-
 def _knn(spark: SparkSession, d: str, k: int, **wanted) -> DataFrame:
     return search.knn(table(spark, d, "segments"), MODELS["image"], QUERY, k, **wanted).select("id", F.round("dist", 9).alias("dist"))
 
@@ -558,7 +553,7 @@ def captions_to_embed(spark, d):
 
 @query(r"SELECT DISTINCT id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS norm FROM segments WHERE kind = 'caption' AND " + _VALID)
 def vector_norms(spark, d):
-    rows = _vectors(spark, d).filter("kind = 'caption' and size(embedding) = 64")
+    rows = table(spark, d, "segments").filter("size(embedding) = dim").select("id", "embedding").dropDuplicates(["id"])
     return rows.select("id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm")).filter("norm > 0 and norm < double('Infinity')")
 
 

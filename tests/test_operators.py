@@ -338,3 +338,22 @@ def test_every_frame_gets_a_cut_range(spark, data):
 
     got = [r["id"] for r in catalogue.cut_refine_frame(spark, data).collect()]
     assert len(got) == len(set(got)) and set(got) == {r["id"] for r in catalogue.seg(spark, data, "id", kinds=("frame",)).collect()}
+
+
+def test_previews_and_norms_are_of_all_kinds(spark, data):
+    from cutloom.plans import catalogue
+
+    segments = {r["id"]: r for r in catalogue.seg(spark, data, "kind", "payload", "embedding", "dim").collect()}
+    got = {r["id"]: r["preview"] for r in catalogue.preview_text(spark, data).collect()}
+    assert set(got) == set(segments) and None not in got.values()
+    for i, r in segments.items():
+        try:
+            payload = json.loads(r["payload"] or "")
+        except ValueError:
+            assert got[i] == ""
+            continue
+        if r["kind"] in ("speech", "speech_window") and isinstance(payload.get("text"), str):
+            assert got[i] == (payload["text"] or payload.get("description") or payload.get("frame_path") or "")[:120]
+    usable = {i for i, r in segments.items() if r["embedding"] and len(r["embedding"]) == r["dim"] and None not in r["embedding"] and 0 < sum(float(x) ** 2 for x in r["embedding"]) < float("inf")}
+    assert {r["id"] for r in catalogue.vector_norms(spark, data).collect()} == usable
+    assert len({segments[i]["kind"] for i in usable}) > 1
