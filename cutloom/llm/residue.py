@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from cutloom.session import cut_lineage, spread
 
-NAME = r"[A-Za-z_][\w.\- ]{0,40}?"
-#: Placeholders by template language. A name stands between the marks, blanks around it are allowed.
+NAME = r"[^\W\d][\w.\- ]*?(?:\s\|\s[\w.\-:, |]+?)?"
+#: Placeholders by template language. Anything but their closing stands between marks that nothing else has, else a name, with filters; blanks around it are allowed.
 _PLACEHOLDERS = [
-    rf"\{{\{{\s*{NAME}\s*\}}\}}", rf"\$\{{\s*{NAME}\s*\}}", rf"#\{{\s*{NAME}\s*\}}", rf"<%[=\-]?\s*{NAME}\s*%>", rf"\{{%\s*{NAME}\s*%\}}",
+    r"\{\{[^{}\n]*[^{}\s][^{}\n]*\}\}", r"\$\{[^{}\n]*[^{}\s][^{}\n]*\}", r"#\{[^{}\n]*[^{}\s][^{}\n]*\}", r"<%(?:(?!%>)[^\n])*[^\s%](?:(?!%>)[^\n])*%>", r"\{%(?:(?!%\})[^\n])*[^\s%](?:(?!%\})[^\n])*%\}",
     rf"\[\[\s*{NAME}\s*\]\]", rf"<<\s*{NAME}\s*>>", rf"‹\s*{NAME}\s*›", r"@@[A-Za-z_][\w.\-]*@@", r"(?<!\w)__[A-Za-z][\w.\-]*?__(?!\w)",
     r"(?<![\w%])%[A-Za-z_][\w.\-]+%(?![\w%])", r"(?<![\w$])\$[A-Za-z_][\w.\-]+\$(?![\w$])", r"%\([\w.\-]+\)[sdifrx]", r"(?<![{$#\w%])\{[A-Za-z_][\w.\-]*\}(?!\})",
     r"\[(?:your|insert|add|enter|falta|inserte|insertar|insérer|votre|ihr|su|tu)\s+[^\[\]\n]{1,50}\]", r"\[[^\[\]\n]{1,50}\s(?:here|à compléter|à remplir|hier eintragen|einfügen|por completar|aquí)\]",
@@ -224,12 +224,13 @@ def has_sign(text: str) -> bool:
 
 
 def _discussed(text: str, start: int, end: int) -> bool:
-    """Whether a placeholder is quoted, or stands in a sentence about templates."""
+    """Whether a placeholder is quoted, or stands in a sentence whose other words name templates and have a verb of discussion."""
     if start and text[start - 1] in _OPEN and text[end : end + 1] and text[end] in _CLOSE:
         return True
     a = max(text.rfind("\n", 0, start), *(text.rfind(x, 0, start) for x in (". ", "! ", "? ")))
     ends = [e for e in (text.find(x, end) for x in ("\n", ". ", "! ", "? ")) if e >= 0]
-    return _ABOUT.search(text, a + 1, min(ends, default=len(text))) is not None
+    around = (text[a + 1 : start], text[end : min(ends, default=len(text))])
+    return any(map(_ABOUT.search, around)) and any(map(_DISCUSSES.search, around))
 
 
 def _told(line: str, start: int, end: int) -> bool:

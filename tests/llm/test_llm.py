@@ -356,3 +356,10 @@ def test_one_empty_value_in_the_place_of_a_value():
     ]
     assert [x for x in cases if not res.unfilled(x)] == []
     assert [x for x in others if res.unfilled(x)] == []
+
+
+def test_placeholders_of_any_content_and_names_like_template():
+    cases = ["Hello {{template}}", "Saved as ${output}", "Use code {{promo}} today", "Dear {{ user.name | upper }}, welcome.", "Ort: {{Überschrift}}", "Clip {{ 1st_name }}", "Seen by <%= user['name'] %>", "{% if a == 1 %}Hello", "By [[ user.name | upper ]]", "By {{" + "long_name_" * 9 + "}}"]
+    others = ["The tutorial shows the code ${output} next to its picture.", "Die Dozentin erklärt, wofür {{Ort}} in der Vorlage steht.", "She writes `{{template}}` on the board.", "An empty {{ }} pair."]
+    assert [x for x in cases if not res.unfilled(x)] == []
+    assert [x for x in others if res.unfilled(x)] == []
