@@ -1,6 +1,7 @@
 """Interval algebra on rows (key, s, e) in seconds: union, complement, padding, overlap share.
 
-Windows run per key; for keys with unbounded numbers of intervals use operators.periods, which splits keys by time.
+Every key is cut into blocks of time by the start of its intervals, so one with a third of all rows is spread over many tasks; only one
+row per block goes on to the window over a whole key.
 """
 
 from __future__ import annotations
@@ -8,15 +9,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cutloom.session import cut_lineage
+
+#: Seconds per block.
+BLOCK_S = 3600.0
+
+
+def _reached(rows: DataFrame, key: str, *keep: str) -> DataFrame:
+    """key, block, s, e, keep, ``reach``: the largest e of all rows of the key before this one by (s, e), null for the first; and ``final``, the largest of all."""
+    rows = rows.select(key, F.floor(F.col("s") / BLOCK_S).alias("block"), "s", "e", *keep).repartition(key, "block")
+    inside = Window.partitionBy(key, "block").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(key, "block").agg(F.max("e").alias("most"))
+    earlier = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = blocks.select(key, "block", F.max("most").over(earlier).alias("carry"), F.max("most").over(Window.partitionBy(key)).alias("final"))
+    return rows.withColumn("own", F.max("e").over(inside)).join(carry, [key, "block"]).withColumn("reach", F.greatest("own", "carry")).drop("own", "carry")
+
 
 def merge(intervals: DataFrame, key: str) -> DataFrame:
-    """Union of intervals per key; touching ones join. Rows with a null bound are ignored."""
-    rows = intervals.filter("s is not null and e is not null").select(key, "s", "e")
-    order = Window.partitionBy(key).orderBy("s", "e")
-    reach = rows.withColumn("reach", F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    begins = (F.col("reach").isNull() | (F.col("s") > F.col("reach"))).cast("int")
-    islands = reach.withColumn("island", F.sum(begins).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(key, "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
+    """Union of intervals per key; touching ones join. Rows with a null bound or key are ignored; one that runs backwards and meets no other stays as it is."""
+    rows = _reached(intervals.filter(F.col("s").isNotNull() & F.col("e").isNotNull() & F.col(key).isNotNull()), key)
+    # A row beyond the reach of all before it begins an island; the island ends at the reach that the next beginning finds.
+    begins = cut_lineage(rows.filter("reach is null or s > reach"))  # read twice, by each of several merges that may follow one another
+    following = F.lead("reach").over(Window.partitionBy(key, "block").orderBy("s"))
+    blocks = begins.groupBy(key, "block").agg(F.min_by("reach", "s").alias("first_reach"))
+    later = blocks.select(key, "block", F.lead("first_reach").over(Window.partitionBy(key).orderBy("block")).alias("later"))
+    end = F.when(F.col("e") < F.col("s"), F.col("e")).otherwise(F.coalesce("following", "later", "final"))
+    return begins.withColumn("following", following).join(later, [key, "block"]).select(key, "s", end.alias("e"))
 
 
 def complement(intervals: DataFrame, spans: DataFrame, key: str) -> DataFrame:
@@ -24,11 +42,9 @@ def complement(intervals: DataFrame, spans: DataFrame, key: str) -> DataFrame:
 
     Intervals may overlap or run backwards; gaps are cut to the span.
     """
-    rows = intervals.filter("s is not null and e is not null").select(key, "s", "e").join(spans.select(key), key, "left_semi")
-    rows = rows.unionByName(spans.select(key, F.col("span").alias("s"), F.col("span").alias("e"))).join(spans.select(key, "span"), key)
-    order = Window.partitionBy(key).orderBy("s", "e")
-    cursor = F.greatest(F.lit(0.0), F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    gaps = rows.select(key, cursor.alias("s"), F.least("s", "span").alias("e"))
+    inner = intervals.filter("s is not null and e is not null").select(key, "s", "e").join(spans.select(key, "span"), key)
+    rows = inner.unionByName(spans.select(key, F.col("span").alias("s"), F.col("span").alias("e"), "span"))
+    gaps = _reached(rows, key, "span").select(key, F.greatest(F.lit(0.0), "reach").alias("s"), F.least("s", "span").alias("e"))
     return gaps.filter("s < e").distinct()
 
 

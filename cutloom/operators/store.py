@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cutloom import schema
 from cutloom.operators.frames import tile_counts, tile_end
-from cutloom.session import broadcast_if_small
+from cutloom.session import broadcast_if_small, cut_lineage
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -24,14 +24,24 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[s
 
 
 def minted(old: DataFrame, new: DataFrame, order: Sequence[str], position: str | None = None) -> DataFrame:
-    """New rows with ids above all old ones, in the given order, or by the numbers from 1 that they have. Partitions are numbered by their sizes, not sorted into one task."""
+    """New rows with ids above all old ones, in the given order, or by the numbers from 1 that they have.
+
+    Rows are numbered per video, and videos by ranges of their ids: the sizes of the ranges, one per partition, are added up.
+    """
     top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    # Without a grouping column a window would use one task: rows are numbered per video, videos by a running count.
     ranked = new.withColumnRenamed(position, "_n") if position else new.withColumn("_n", F.row_number().over(Window.partitionBy("video_id").orderBy(*order)))
-    counts = new.groupBy("video_id").agg(F.count("*").alias("_c")).withColumn("_before", F.sum("_c").over(Window.orderBy("video_id")) - F.col("_c"))
+    counts = new.groupBy("video_id").agg(F.count("*").alias("_c")).repartitionByRange("video_id").withColumn("_p", F.spark_partition_id())
+    counts = cut_lineage(counts)
+    sizes, starts, total = sorted(counts.groupBy("_p").agg(F.sum("_c")).collect()), [], 0
+    for part, size in sizes:
+        starts.append((part, total))
+        total += size
+    offsets = F.broadcast(old.sparkSession.createDataFrame(starts, "_p int, _start long"))
+    before = F.col("_start") + F.sum("_c").over(Window.partitionBy("_p").orderBy("video_id")) - F.col("_c")
+    counts = counts.join(offsets, "_p").select("video_id", before.alias("_before"))
     if position:  # a video of very many rows stays where its rows are
         counts = broadcast_if_small(counts)
-    return ranked.join(counts, "video_id").withColumn("id", F.lit(top) + F.col("_before") + F.col("_n")).drop("_n", "_c", "_before")
+    return ranked.join(counts, "video_id").withColumn("id", F.lit(top) + F.col("_before") + F.col("_n")).drop("_n", "_before")
 
 
 def merge_payload(payload: Column, updates: Column) -> Column:
@@ -41,8 +51,16 @@ def merge_payload(payload: Column, updates: Column) -> Column:
     return F.to_json(merged)
 
 
+def checked_patches(segments: DataFrame, patches: DataFrame) -> DataFrame:
+    """The patches; KeyError if one names an id that no segment has."""
+    unknown = patches.join(segments.select("id"), "id", "left_anti").limit(1).collect()
+    if unknown:
+        raise KeyError(unknown[0]["id"])
+    return patches
+
+
 def patch_payloads(segments: DataFrame, patches: DataFrame) -> DataFrame:
-    """Segments with the payload updates of patches (id, updates) merged in."""
+    """Segments with the payload updates of patches (id, updates) merged in. Unknown ids do nothing here: see checked_patches."""
     joined = segments.join(patches.select("id", "updates"), "id", "left")
     payload = F.when(F.col("updates").isNotNull(), merge_payload(F.col("payload"), F.col("updates"))).otherwise(F.col("payload"))
     return joined.withColumn("payload", payload).select(*segments.columns)
@@ -96,33 +114,33 @@ def unembedded(segments: DataFrame, kind: str, model: str | None = None, video_i
 
 
 def windows_match(stored: DataFrame, made: DataFrame, key: str = "video_id") -> DataFrame:
-    """Per key whether stored windows (s, e, text, source_ids) equal the recomputed ones in number, order, bounds, text and ids."""
-    def numbered(df: DataFrame, prefix: str) -> DataFrame:
-        n = F.row_number().over(Window.partitionBy(key).orderBy("s", "e"))
-        return df.select(key, n.alias("n"), *[F.col(c).alias(prefix + c) for c in ("s", "e", "text", "source_ids")])
-
-    both = numbered(stored, "a_").join(numbered(made, "b_"), [key, "n"], "full")
-    near = lambda c: F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) < 1e-6
-    same = near("s") & near("e") & F.col("a_text").eqNullSafe(F.col("b_text")) & F.col("a_source_ids").eqNullSafe(F.col("b_source_ids"))
-    return both.groupBy(key).agg(F.bool_and(F.coalesce(same, F.lit(False))).alias("matches"))
+    """Per key whether stored windows (s, e, text, source_ids) equal the recomputed ones in number, bounds, text and ids, and so in order.
 
+    Windows meet by a hash of their text and ids; no key is sorted in one task.
+    """
+    def side(df: DataFrame, prefix: str) -> DataFrame:
+        h = [F.xxhash64("text", "source_ids").alias("h"), F.hash("text", "source_ids", F.size("source_ids")).alias("g")]
+        bounds = [f(c).alias(f"{prefix}{n}_{c}") for c in ("s", "e") for n, f in (("least", F.min), ("most", F.max))]
+        return df.select(key, *h, "s", "e").groupBy(key, "h", "g").agg(F.count("*").alias(f"{prefix}n"), *bounds)
+
+    both = side(stored, "a_").join(side(made, "b_"), [key, "h", "g"], "full")
+    same = F.col("a_n") == F.col("b_n")
+    for c in ("least_s", "most_s", "least_e", "most_e"):
+        same = same & (F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) < 1e-6)
+    return both.groupBy(key).agg(F.bool_and(F.coalesce(same, F.lit(False))).alias("matches"))
 
-def tiles_match(stored: DataFrame, made: DataFrame, key: str = "video_id", win_s: float = 10.0) -> DataFrame:
-    """Per key whether stored audio windows (s, e, win_s, embedded) equal the tiling, all with vectors."""
-    n = lambda: F.row_number().over(Window.partitionBy(key).orderBy("s", "e"))
-    a = stored.select(key, n().alias("n"), F.col("s").alias("a_s"), F.col("e").alias("a_e"), "win_s", "embedded")
-    both = a.join(made.select(key, n().alias("n"), F.col("s").alias("b_s"), F.col("e").alias("b_e")), [key, "n"], "full")
-    same = (F.abs(F.col("a_s") - F.col("b_s")) < 1e-6) & (F.abs(F.col("a_e") - F.col("b_e")) < 1e-6) & (F.col("win_s") == win_s) & F.col("embedded")
-    return both.groupBy(key).agg(F.bool_and(F.coalesce(same, F.lit(False))).alias("reusable"))
 
+def tiling_matches(stored: DataFrame, spans: DataFrame, key: str = "video_id", *, model: str, win_s: float = 10.0, min_s: float = 2.0) -> DataFrame:
+    """Per key whether stored audio windows (s, e, win_s, model_name: that of their vector, null without one) equal the tiling of spans, all with vectors of the model.
 
-def tiling_matches(stored: DataFrame, spans: DataFrame, key: str = "video_id", win_s: float = 10.0, min_s: float = 2.0) -> DataFrame:
-    """tiles_match with the tiling of spans, whose tiles are computed where a stored window is compared with them instead of being made."""
-    numbered = stored.withColumn("j", F.row_number().over(Window.partitionBy(key).orderBy("s", "e")) - 1)
-    both = numbered.join(tile_counts(spans, key, win_s=win_s, min_s=min_s), key, "full")
-    same = (F.abs(F.col("s") - F.col("j") * win_s) < 1e-6) & (F.abs(F.col("e") - tile_end(F.col("j"), win_s)) < 1e-6) & (F.col("win_s") == win_s) & F.col("embedded")
+    A window says by its start which tile it must be, and that tile is computed where the two are compared: no tile is made, and no key is sorted in one task.
+    """
+    both = stored.withColumn("j", F.round(F.col("s") / win_s)).join(tile_counts(spans, key, win_s=win_s, min_s=min_s), key, "full")
+    inside = (F.col("j") >= 0) & (F.col("j") < F.col("n"))
+    same = inside & (F.abs(F.col("s") - F.col("j") * win_s) < 1e-6) & (F.abs(F.col("e") - tile_end(F.col("j"), win_s)) < 1e-6) & (F.col("win_s") == win_s) & (F.col("model_name") == model)
+    per_tile = both.groupBy(key, "j").agg(F.count("*").alias("times"), F.bool_and(F.coalesce(same, F.lit(False))).alias("same"), F.max("n").alias("n"))
     whole = F.max("n") == F.count("j")
-    return both.groupBy(key).agg((F.bool_and(F.coalesce(same, F.lit(False))) & F.coalesce(whole, F.lit(False))).alias("reusable"))
+    return per_tile.groupBy(key).agg((F.bool_and(F.col("same") & (F.col("times") == 1)) & F.coalesce(whole, F.lit(False))).alias("reusable"))
 
 
 def orphan_files(files: DataFrame, rows: DataFrame, name: str = "name") -> DataFrame:

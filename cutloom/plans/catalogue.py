@@ -124,14 +124,13 @@ def failed_stages(spark, d):
 
 
 @query("""WITH j AS (SELECT * FROM jobs QUALIFY row_number() OVER (PARTITION BY video_id, stage ORDER BY updated_at DESC) = 1),
-e(stage, consumer) AS (VALUES ('ingest','shots'),('ingest','frames'),('ingest','transcribe'),('ingest','caption'),('ingest','embed'),('shots','frames'),('shots','caption'),('shots','embed'),('frames','caption'),('frames','embed'),('transcribe','embed'),('caption','embed'))
+e(stage, consumer) AS (VALUES ('shots','frames'),('shots','caption'),('shots','embed'),('frames','caption'),('frames','embed'),('transcribe','embed'),('caption','embed'))
 SELECT DISTINCT video_id, consumer AS stage FROM j JOIN e USING (stage) WHERE status <> 'done'""")
 def cascade_status(spark, d):
     return jobs.cascade(jobs.latest(table(spark, d, "jobs")).filter("status <> 'done'"))
 
 
-@query(f"""WITH {_SEG}, t AS (SELECT id, coalesce(nullif(json_extract_string(payload, '$.text'), ''), nullif(json_extract_string(payload, '$.description'), ''), nullif(json_extract_string(payload, '$.frame_path'), ''), '') AS p FROM seg
-WHERE kind IN ('frame', 'caption', 'lyrics', 'shot') AND json_valid(payload)) SELECT id, substr(p, 1, 120) AS preview FROM t""")
+@query(f"""WITH {_SEG}, t AS (SELECT id, CASE WHEN json_valid(payload) THEN coalesce(nullif(json_extract_string(payload, '$.text'), ''), nullif(json_extract_string(payload, '$.description'), ''), nullif(json_extract_string(payload, '$.frame_path'), ''), '') ELSE '' END AS p FROM seg) SELECT id, substr(p, 1, 120) AS preview FROM t""")
 def preview_text(spark, d):
     rows = seg(spark, d, "payload").select("id", parsed(F.col("payload")).alias("v"))
     return rows.select("id", text.preview(*[text_at(F.col("v"), f"$.{k}") for k in ("text", "description", "frame_path")]).alias("preview"))
@@ -389,12 +388,16 @@ def hamming_distance(spark, d):
     return rows.select("id", vectors.hash_distance(F.col("dhash"), F.col("before")).cast("int").alias("bits"))
 
 
-_TILES = "v AS (SELECT video_id, max(t_end_s) AS span FROM segments WHERE kind = 'audio_window' GROUP BY video_id), c AS (SELECT *, CAST(floor(span / 10) AS BIGINT) AS f, span - floor(span / 10) * 10 AS rest FROM v WHERE span > 0), nn AS (SELECT *, f + CASE WHEN rest > 1e-9 AND (rest >= 2 OR f = 0) THEN 1 ELSE 0 END AS n FROM c), jj AS (SELECT *, unnest(range(0, n)) AS j FROM nn), tiles AS (SELECT video_id, j * 10.0 AS s, CASE WHEN j = n - 1 AND rest > 1e-9 THEN span ELSE (j + 1) * 10.0 END AS e FROM jj)"
+_TILES = f"{_SPANS}, c AS (SELECT *, CAST(floor(span / 10) AS BIGINT) AS f, span - floor(span / 10) * 10 AS rest FROM spans WHERE span > 0), nn AS (SELECT *, f + CASE WHEN rest > 1e-9 AND (rest >= 2 OR f = 0) THEN 1 ELSE 0 END AS n FROM c), tl AS (SELECT video_id, span, rest, n FROM nn WHERE n > 0)"
+_TILE_END = "CASE WHEN j = n - 1 AND rest > 1e-9 THEN span ELSE (j + 1) * 10.0 END"
 
 
-@query(f"WITH {_TILES} SELECT * FROM tiles")
+@query(f"""WITH {_TILES}, jj AS (SELECT *, unnest(range(0, n)) AS j FROM tl), tiles AS (SELECT video_id, j * 10.0 AS s, {_TILE_END} AS e FROM jj)
+SELECT video_id, count(*) AS tiles, min(s) AS first_s, max(s) AS last_s, max(e) AS last_e, count(*) FILTER (e - s <> 10) AS odd FROM tiles GROUP BY video_id""")
 def audio_tiling(spark, d):
-    return frames.tile(spans(spark, d), "video_id")
+    """All tiles of all videos are made; they are told per video, as one video alone has tens of millions."""
+    tiles = frames.tile(spans(spark, d), "video_id")
+    return tiles.groupBy("video_id").agg(F.count("*").alias("tiles"), F.min("s").alias("first_s"), F.max("s").alias("last_s"), F.max("e").alias("last_e"), F.count_if(F.col("e") - F.col("s") != 10).alias("odd"))
 
 
 _SHOTS = f"sh AS (SELECT seg.id, frame_start AS a, frame_end AS b, CAST(fps_num AS DOUBLE) / fps_den AS fps FROM seg JOIN videos USING (video_id) WHERE kind = 'shot' AND frame_end >= frame_start)"
@@ -551,7 +554,7 @@ def captions_to_embed(spark, d):
     return rows.join(todo, "id", "left_semi").select("id", (text.stripped(text_at(parsed(F.col("payload")), "$.description")) != "").alias("has_text"))
 
 
-@query(r"SELECT DISTINCT id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS norm FROM segments WHERE kind = 'caption' AND " + _VALID)
+@query("WITH n AS (SELECT DISTINCT id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS norm FROM segments WHERE len(embedding) = dim AND len(list_filter(embedding, lambda x: x IS NULL)) = 0) SELECT * FROM n WHERE norm > 0 AND NOT isnan(norm) AND NOT isinf(norm)")
 def vector_norms(spark, d):
     rows = table(spark, d, "segments").filter("size(embedding) = dim").select("id", "embedding").dropDuplicates(["id"])
     return rows.select("id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm")).filter("norm > 0 and norm < double('Infinity')")
@@ -580,7 +583,7 @@ def rrf_kind_restricted(spark, d):
 _SHOT_OF = """so AS (SELECT video_id, CAST(CAST(CAST(json_extract_string(payload, '$.shot_index') AS DOUBLE) AS BIGINT) AS VARCHAR) AS si, arg_min(t_start_s, (t_start_s, id)) AS s, arg_min(t_end_s, (t_start_s, id)) AS e FROM seg WHERE kind = 'shot' GROUP BY ALL)"""
 
 
-@query(f"""WITH {_SEG}, {_SHOT_OF}, f AS (SELECT id, video_id, t_start_s, t_end_s, CASE WHEN json_extract_string(payload, '$.shot_index') IS NOT NULL THEN CAST(CAST(CAST(json_extract_string(payload, '$.shot_index') AS DOUBLE) AS BIGINT) AS VARCHAR) END AS si FROM seg WHERE kind = 'frame' AND id % 100 = 0)
+@query(f"""WITH {_SEG}, {_SHOT_OF}, f AS (SELECT id, video_id, t_start_s, t_end_s, CASE WHEN json_extract_string(payload, '$.shot_index') IS NOT NULL THEN CAST(CAST(CAST(json_extract_string(payload, '$.shot_index') AS DOUBLE) AS BIGINT) AS VARCHAR) END AS si FROM seg WHERE kind = 'frame')
 SELECT f.id, coalesce(s, t_start_s) AS cut_start_s, CASE WHEN s IS NULL THEN t_end_s ELSE e END AS cut_end_s FROM f LEFT JOIN so USING (video_id, si)""")
 def cut_refine_frame(spark, d):
     """All frames against all shots: an equi-join, joined by shuffle."""
@@ -623,14 +626,16 @@ def upsert_video(spark, d):
     return store.upsert(old, new.unionByName(fresh), ["video_id"], keep=["has_speech"])
 
 
-
-
-@query(f"""WITH {_SEG}, {_TILES}, kept AS (SELECT id, video_id, kind, t_start_s, t_end_s FROM seg WHERE NOT (kind = 'audio_window' AND video_id IN (SELECT video_id FROM tiles)))
-SELECT * FROM kept UNION ALL SELECT (SELECT max(id) FROM segments) + row_number() OVER (ORDER BY video_id, s, e), video_id, 'audio_window', s, e FROM tiles""")
+@query(f"""WITH {_SEG}, {_TILES}, kept AS (SELECT id, video_id, kind, t_start_s AS s, t_end_s AS e FROM seg WHERE NOT (kind = 'audio_window' AND video_id IN (SELECT video_id FROM tl))),
+top AS (SELECT max(id) AS top FROM segments), made AS (SELECT video_id, n, span, rest, top + sum(n) OVER (ORDER BY video_id) - n AS below FROM tl, top)
+SELECT video_id, kind, count(*) AS n, min(id) AS first_id, max(id) AS last_id, min(s) AS first_s, max(e) AS last_e FROM kept GROUP BY video_id, kind
+UNION ALL SELECT video_id, 'audio_window', n, CAST(below + 1 AS BIGINT), CAST(below + n AS BIGINT), 0.0, CASE WHEN rest > 1e-9 THEN span ELSE n * 10.0 END FROM made""")
 def replace_segments(spark, d):
+    """All rows after the replacement, told per video and kind, as one video alone gets tens of millions."""
     old = seg(spark, d, "video_id", "kind", "t_start_s", "t_end_s")
     new = frames.tile(spans(spark, d), "video_id", position="n").select("video_id", F.lit("audio_window").alias("kind"), F.col("s").alias("t_start_s"), F.col("e").alias("t_end_s"), "n")
-    return store.replace_segments(old, new, ["audio_window"], position="n")
+    rows = store.replace_segments(old, new, ["audio_window"], position="n")
+    return rows.groupBy("video_id", "kind").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.min("t_start_s").alias("first_s"), F.max("t_end_s").alias("last_e"))
 
 
 @query(f"WITH {_SEG} SELECT id, video_id, kind FROM seg WHERE NOT (video_id = '{VIDEO}' AND kind = 'frame')")
@@ -670,13 +675,13 @@ def windows_match(spark, d):
     return store.windows_match(stored, folds.pack_windows(_speech_text(spark, d), "video_id"))
 
 
-@query(f"""WITH {_SEG}, {_TILES}, st AS (SELECT video_id, t_start_s AS s, t_end_s AS e, CASE WHEN json_valid(payload) THEN CAST(json_extract_string(payload, '$.win_s') AS DOUBLE) END AS w, embedding IS NOT NULL AS emb FROM seg WHERE kind = 'audio_window'),
-a AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY s, e) AS n FROM st), b AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY s, e) AS n FROM tiles)
-SELECT coalesce(a.video_id, b.video_id) AS video_id, bool_and(coalesce(abs(a.s - b.s) < 1e-6 AND abs(a.e - b.e) < 1e-6 AND w = 10 AND emb, false)) AS reusable FROM a FULL JOIN b ON a.video_id = b.video_id AND a.n = b.n GROUP BY 1""")
+@query(f"""WITH {_SEG}, {_TILES}, st AS (SELECT video_id, t_start_s AS s, t_end_s AS e, CASE WHEN json_valid(payload) THEN CAST(json_extract_string(payload, '$.win_s') AS DOUBLE) END AS w, CASE WHEN embedding IS NOT NULL THEN model_name END AS m FROM seg WHERE kind = 'audio_window'),
+a AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY s, e) - 1 AS j FROM st), x AS (SELECT coalesce(a.video_id, tl.video_id) AS video_id, j, n, abs(s - j * 10) < 1e-6 AND abs(e - {_TILE_END}) < 1e-6 AND w = 10 AND m = '{MODELS["audio"]}' AS same FROM a FULL JOIN tl ON a.video_id = tl.video_id)
+SELECT video_id, bool_and(coalesce(same, false)) AND coalesce(max(n) = count(j), false) AS reusable FROM x GROUP BY 1""")
 def audio_reuse_check(spark, d):
-    stored = seg(spark, d, "video_id", "t_start_s", "t_end_s", "payload", "embedding", kinds=("audio_window",))
-    stored = stored.select("video_id", F.col("t_start_s").alias("s"), F.col("t_end_s").alias("e"), text_at(parsed(F.col("payload")), "$.win_s").try_cast("double").alias("win_s"), F.col("embedding").isNotNull().alias("embedded"))
-    return store.tiling_matches(stored, spans(spark, d))
+    stored = seg(spark, d, "video_id", "t_start_s", "t_end_s", "payload", "embedding", "model_name", kinds=("audio_window",))
+    stored = stored.select("video_id", F.col("t_start_s").alias("s"), F.col("t_end_s").alias("e"), text_at(parsed(F.col("payload")), "$.win_s").try_cast("double").alias("win_s"), F.when(F.col("embedding").isNotNull(), F.col("model_name")).alias("model_name"))
+    return store.tiling_matches(stored, spans(spark, d), model=MODELS["audio"])
 
 
 # --- scoring -----------------------------------------------------------------------------------------------------------

@@ -2,17 +2,50 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """A folder of this process for local runs, removed at its end."""
+    folder = tempfile.mkdtemp(prefix="cutloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` of the session names; where it is unset, one of our own on a local master.
+
+    RuntimeError on any other master: a folder of one machine would be lost with it.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or _own_folder()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir`` of the session; only where it is unset, a folder of our own (local tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cutloom-"))
+    """Have checkpoints in the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder for a written table, in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -50,6 +83,8 @@ def local_session(cpus: int | str = "*", name: str = "cutloom", **conf: str) ->
         "spark.driver.memory": "8g",
         "spark.sql.adaptive.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        "spark.checkpoint.dir": _own_folder(),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)

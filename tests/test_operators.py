@@ -314,21 +314,22 @@ def test_tiles_cover_the_whole_length_of_a_video_in_blocks(spark):
 
 def test_windows_without_the_tail_of_a_video_are_not_reusable(spark):
     spans = spark.createDataFrame([("a", 25.0), ("b", 25.0), ("c", 25.0), ("d", 25.0), ("f", 12.0)], "video_id string, span double")
-    window = lambda v, s, e, w=10.0, emb=True: (v, float(s), float(e), w, emb)
-    stored = [window("a", 0, 10), window("a", 10, 20), window("a", 20, 25), window("b", 0, 10), window("b", 10, 20), window("c", 0, 10), window("c", 10, 20), window("c", 20, 25, emb=False), window("e", 0, 10), *[window("f", 0, 10), window("f", 10, 12), window("f", 20, 22)]]
-    df = spark.createDataFrame(stored, "video_id string, s double, e double, win_s double, embedded boolean")
-    got = store.tiling_matches(df, spans)
+    window = lambda v, s, e, w=10.0, emb="m": (v, float(s), float(e), w, emb)
+    stored = [window("a", 0, 10), window("a", 10, 20), window("a", 20, 25), window("b", 0, 10), window("b", 10, 20), window("c", 0, 10), window("c", 10, 20), window("c", 20, 25, emb=None), window("d", 0, 10), window("d", 10, 20), window("d", 20, 25, emb="older"), window("e", 0, 10), *[window("f", 0, 10), window("f", 10, 12), window("f", 20, 22)]]
+    df = spark.createDataFrame(stored, "video_id string, s double, e double, win_s double, model_name string")
+    got = store.tiling_matches(df, spans, model="m")
     assert rows(got) == [("a", True), ("b", False), ("c", False), ("d", False), ("e", False), ("f", False)]
-    assert rows(got) == rows(store.tiles_match(df, frames.tile(spans, "video_id")))
+    twice = df.unionByName(df.filter("video_id = 'a' and s = 0"))
+    assert rows(store.tiling_matches(twice, spans, model="m")) == [(v, False) for v in "abcdef"]
 
 
 def test_audio_queries_tile_the_length_of_every_video(spark, data):
     from cutloom.plans import catalogue
 
     want = {r["video_id"]: r["span"] for r in catalogue.spans(spark, data).filter("span > 0").collect()}
-    tiles = catalogue.audio_tiling(spark, data).groupBy("video_id").agg(F.max("e").alias("e"), F.sum(F.col("e") - F.col("s")).alias("length")).collect()
+    tiles = catalogue.audio_tiling(spark, data).collect()
     assert {r["video_id"] for r in tiles} == set(want)
-    assert all(r["length"] == pytest.approx(r["e"]) and -1e-6 < want[r["video_id"]] - r["e"] < 2 for r in tiles)  # a rest under 2 s is no tile
+    assert all(r["first_s"] == 0 and r["last_e"] == want[r["video_id"]] and abs(r["tiles"] - r["last_e"] / 10) < 1 and r["odd"] <= 1 for r in tiles)
     stored = {r["video_id"] for r in catalogue.seg(spark, data, "video_id", kinds=("audio_window",)).collect()}
     assert {r["video_id"] for r in catalogue.audio_reuse_check(spark, data).collect()} == stored | set(want)
 
@@ -357,3 +358,34 @@ def test_previews_and_norms_are_of_all_kinds(spark, data):
     usable = {i for i, r in segments.items() if r["embedding"] and len(r["embedding"]) == r["dim"] and None not in r["embedding"] and 0 < sum(float(x) ** 2 for x in r["embedding"]) < float("inf")}
     assert {r["id"] for r in catalogue.vector_norms(spark, data).collect()} == usable
     assert len({segments[i]["kind"] for i in usable}) > 1
+
+
+def test_merge_and_complement_over_blocks_against_brute_force(spark):
+    import random
+
+    rng, made = random.Random(8), []
+    for v in ("hot", "hot", "hot", "b"):
+        for _ in range(120):
+            s = rng.uniform(0, 40_000)
+            made.append((v, s, s + rng.choice([rng.uniform(0, 90), rng.uniform(0, 9000), -5.0, 0.0])))
+    made += [("hot", 3600.0, 7200.0), ("hot", 7200.0, 7300.0), ("c", 5.0, 1.0), ("c", None, 1.0), (None, 1.0, 2.0)]
+    df = spark.createDataFrame(made + made[:30], "v string, s double, e double").withColumn("block", F.lit(1)).repartition(3)
+    islands, gaps = set(), set()
+    spans = {"hot": 50_000.0, "b": 30_000.0, "none": 10.0}
+    for v in {x for x, *_ in made if x} | set(spans):
+        own, at = sorted({(s, e) for x, s, e in made if x == v and s is not None}), []
+        for s, e in own:
+            if at and s <= at[-1][1]:
+                at[-1][1] = max(at[-1][1], e)
+            else:
+                at.append([s, e])
+        islands |= {(v, s, e) for s, e in at}
+        cursor = 0.0
+        for s, e in [*own, (spans.get(v, 0.0),) * 2]:
+            if v in spans and min(s, spans[v]) > cursor:
+                gaps.add((v, cursor, min(s, spans[v])))
+            cursor = max(cursor, e)
+    assert {tuple(r) for r in intervals.merge(df, "v").collect()} == islands
+    totals = spark.createDataFrame(list(spans.items()), "v string, span double")
+    assert {tuple(r) for r in intervals.complement(df, totals, "v").collect()} == gaps
+    assert intervals.merge(df.limit(0), "v").count() == 0
