@@ -55,7 +55,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     """The share of repeated words of every spoken, sung or described text."""
-    shares = repetition(_spoken(spark, d), id_col="id", text_col="text", slack=1.0)
+    shares = repetition(_spoken(spark, d), id_col="id", text_col="text")
     return shares.select(F.col("id").alias("segment_id"), "words", F.round("share", 6).alias("share"))
 
 
@@ -121,5 +121,7 @@ p AS (SELECT query_id, segment_id, CASE WHEN d IS NULL THEN 0 ELSE
 v AS (SELECT query_id, segment_id, list_sort(list(CAST(g AS DOUBLE))) AS v FROM p GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, segment_id) AS n FROM v)
 SELECT query_id, segment_id FROM k WHERE n <= 3""",
+    "p7_shares": _P7 + """SELECT s.id AS segment_id, CAST(coalesce(len(w), 0) AS INT) AS words, round(coalesce(repeated / CAST(len(w) AS DOUBLE), 0), 6) AS share
+FROM (SELECT DISTINCT id FROM segments WHERE kind IN ('speech', 'speech_window', 'lyrics', 'caption')) s LEFT JOIN t ON t.id = s.id LEFT JOIN m ON m.id = s.id""",
     "p7_found": _P7 + "SELECT t.id AS segment_id FROM t JOIN m ON t.id = m.id WHERE len(w) >= 8 AND repeated > len(w) / 2.0",
 }
