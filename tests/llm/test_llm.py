@@ -7,6 +7,8 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,7 +146,7 @@ def test_similar_pairs_recall(spark):
     rows += rows[:50]
     rows += [(90_001, "m", 24, None, ""), (90_002, "m", 24, [0.0] * 24, ""), (90_003, "m", 24, [1.0] * 23, ""), (90_004, "m", 24, [math.nan] * 24, ""), (90_005, None, 24, [1.0] * 24, ""), (None, "m", 24, [1.0] * 24, ""), (90_006, "m", 24, [1.0] * 23 + [None], ""), (90_007, "m", 24, [math.inf] * 24, "")]
     df = spark.createDataFrame(rows, "id long, model_name string, dim int, embedding array<float>, space string").repartition(6)
-    got = similar_pairs(df, id_col="id", model_col="model_name", dim_col="dim", vector_col="embedding", leaf_rows=100, train_rows=800, max_chunk=60).collect()
+    got = similar_pairs(df, id_col="id", model_col="model_name", dim_col="dim", vector_col="embedding", leaf_rows=100, train_rows=800, max_leaf=150, max_chunk=60).collect()
     assert len(got) == len(set(got)) and all(a < b for a, b in got)
     got, want = {tuple(r) for r in got}, brute_pairs(vectors)
     assert len(got & want) >= 0.97 * len(want) and len(got & want) >= 0.97 * len(got)
@@ -153,6 +155,32 @@ def test_similar_pairs_recall(spark):
     assert similar_pairs(df.limit(0), id_col="id", model_col="model_name", dim_col="dim", vector_col="embedding").count() == 0
 
 
+def test_many_near_equal_vectors(spark, tmp_path):
+    """50,000 vectors of one direction but for a thousandth, and in it groups of five: leaves, codes and tasks follow the density."""
+    rng, size = np.random.default_rng(12), 24
+    groups = 1 + rng.normal(size=(10_000, size)) * 1e-3
+    x = np.concatenate([(groups[:, None] + rng.normal(size=(10_000, 5, size)) * 2e-5).reshape(-1, size), rng.normal(size=(2000, size))]).astype(np.float32)
+    table = pa.table({"id": np.arange(len(x)), "m": ["m"] * len(x), "dim": pa.array([size] * len(x), pa.int32()), "v": pa.array(list(x), pa.list_(pa.float32()))})
+    pq.write_table(table, tmp_path / "x.parquet", row_group_size=8000)
+    df = spark.read.parquet(str(tmp_path / "x.parquet"))
+    names = {"id_col": "id", "model_col": "m", "dim_col": "dim", "vector_col": "v"}
+    pairs = {tuple(r) for r in similar_pairs(df, **names).collect()}
+    within = [(5 * g + a, 5 * g + b) for g in range(10_000) for a in range(5) for b in range(a + 1, 5)]
+    assert sum(p in pairs for p in within) >= 0.95 * len(within) and len(pairs) < 6 * len(x)
+    few = df.filter("id < 5000")  # the leaves of a space that are spaces of their own, twice over
+    deep = {tuple(r) for r in similar_pairs(few, **names, leaf_rows=50, train_rows=64, max_leaf=400).collect()}
+    assert sum(p in deep for p in within[:10_000]) >= 0.9 * 10_000
+
+
+def test_scaled_copies_of_one_vector_are_reduced(spark):
+    rng = np.random.default_rng(13)
+    v = rng.normal(size=16)
+    x = [(i, "m", 16, [float(a) for a in np.float32(v * s)]) for i, s in enumerate(rng.uniform(0.1, 9, 400))]
+    df = spark.createDataFrame(x, "id long, m string, dim int, v array<float>")
+    got = {tuple(r) for r in similar_pairs(df, id_col="id", model_col="m", dim_col="dim", vector_col="v", leaf_rows=50, max_leaf=100, max_chunk=60).collect()}
+    assert all(sum(i in p for p in got) >= 5 for i in range(400)) and len(got) <= 5 * 400
+
+
 # --- repetition
 
 
