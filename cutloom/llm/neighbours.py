@@ -20,7 +20,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutloom.functions.vectors import norm
 from cutloom.session import broadcast_if_small, cut_lineage, spread
 
 #: Dimensions per four-bit code.
@@ -196,6 +195,18 @@ def search_leaf(index: SpaceIndex, leaf: int, q_ids: np.ndarray, q: np.ndarray,
     return np.concatenate(out_q), np.concatenate(out_o), np.concatenate(out_c)
 
 
+def _direction_hash(vectors: pd.Series) -> pd.Series:
+    """A hash of the direction of each vector, to five digits: equal for vectors that differ in length only."""
+    out = np.zeros(len(vectors), np.int64)
+    sizes = vectors.map(len).to_numpy()
+    for d in np.unique(sizes):
+        at = np.flatnonzero(sizes == d)
+        digits = np.rint(_unit(np.stack(vectors.iloc[at].to_numpy())) * 1e5).astype(np.int64)
+        factors = np.random.default_rng(int(d)).integers(-(1 << 62), 1 << 62, d) * 2 + 1
+        out[at] = (digits * factors).sum(1)
+    return pd.Series(out)
+
+
 def usable(vector: Column, dim: Column) -> Column:
     """Not null, length equal to dim, all values finite, not all zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
@@ -292,9 +303,7 @@ def similar_pairs(df: DataFrame, *, id_col: str, model_col: str, dim_col: str, v
     spark = df.sparkSession
     base = df.filter(F.col(id_col).isNotNull() & F.col(model_col).isNotNull() & usable(F.col(vector_col), F.col(dim_col)))
     base = base.select(F.concat_ws("/", F.col(dim_col).cast("string"), F.col(model_col)).alias("space"), F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<float>").alias("vec"))
-    length = norm(F.col("vec"))
-    direction = F.transform(F.col("vec"), lambda x: F.round(x / F.col("length") * 1e5).cast("int"))
-    hashed = base.withColumn("length", length).withColumn("u", direction).select("space", "id", "vec", F.xxhash64("space", "u").alias("h"), F.hash("u", F.lit(1)).alias("g"))
+    hashed = base.withColumn("u", F.pandas_udf(_direction_hash, "bigint")("vec")).select("space", "id", "vec", F.xxhash64("space", "u").alias("h"), F.hash("space", F.size("vec"), "u").alias("g"))
 
     # Copies: only hashes are shuffled, and only groups beyond k + 1 are looked at again.
     groups = cut_lineage(hashed.groupBy("h", "g").agg(F.count("*").alias("n")).filter(F.col("n") > k + 1).select("h", "g"))
