@@ -13,7 +13,7 @@ from cutloom.llm.nearest import nearest_in_time
 from cutloom.llm.neighbours import similar_pairs
 from cutloom.llm.repetition import repetition
 from cutloom.llm.residue import residue
-from cutloom.session import spread
+from cutloom.session import broadcast_if_small, spread
 from cutloom.sources import table
 
 SPACES = ("image", "text", "audio")
@@ -80,8 +80,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with unfilled templates, or that consist of filler, an error message or a script notice."""
-    return residue(table(spark, d, "documents"), id_col="doc_id", text_col="text", host_col="source").select(F.col("id").alias("doc_id"))
+    """Documents with unfilled templates, or that consist of filler, an error message or a script notice. The slug is the last part of their video's address."""
+    slug = F.replace(F.regexp_extract("source_url", "([^/?#]+)/*(?:[?#].*)?$", 1), F.lit("-"), F.lit(" "))
+    slugs = table(spark, d, "videos").filter("source_url is not null").groupBy("video_id").agg(F.min(slug).alias("slug"))
+    documents = table(spark, d, "documents").select("doc_id", "text", "source", "video_id").filter("text is not null")
+    placed = documents.join(broadcast_if_small(slugs), "video_id", "left")
+    return residue(placed, id_col="doc_id", text_col="text", host_col="source", slug_col="slug").select(F.col("id").alias("doc_id"))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p5_found, p6_found, p7_found, p7_shares, p8_ids, p9_mix, p9_shares, p10_found)}
