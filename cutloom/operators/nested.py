@@ -1,41 +1,32 @@
 """Nested semi-structured payloads as flat child tables with parent links: structural-variant tables.
 
-A bottom-up tree automaton gives every JSON node a state: null, scalar, text, list, or an object shape found from the
-states of its children. Each object under a path goes to the variant table of its shape; the columns that all shapes share
-(their common supertype) are kept under one name, with the link to segment, path and position.
+A bottom-up tree automaton gives every JSON node a state from the states of its children: null, number, text, a list, or for an object
+its variant, which is the set of its keys that hold something. Nothing is known of the keys beforehand. Each object under a path is
+routed to the typed table of its path and variant; the type of a column is the least one that all states seen in it fit. The columns
+that variants share under different names (their common supertype) are kept under one name, with the link to segment, path and position.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.session import spread
+from cutloom.session import drop_folder, new_folder, spread
 
-#: States of the automaton for leaves and lists.
-NULL, SCALAR, TEXT, LIST, OBJECT = "null", "scalar", "text", "list", "object"
+#: States of the automaton for nodes that are no objects.
+NULL, TRUTH, NUMBER, TEXT, LIST = "null", "truth", "number", "text", "list"
 
-#: Shapes of objects: name -> keys that must be there (the first shape whose keys are all there is taken).
-SHAPES: dict[str, frozenset[str]] = {
-    "word": frozenset({"w", "t0", "t1"}),
-    "word_long": frozenset({"word", "start", "end"}),
-    "evidence_affine": frozenset({"scale", "dx", "dy"}),
-    "evidence_tracked": frozenset({"features", "tracked"}),
-    "evidence_flat": frozenset({"features", "mean_abs_diff"}),
-    "evidence_unfitted": frozenset({"affine"}),
-    "alternative": frozenset({"w", "prob"}),
-    "alternative_long": frozenset({"word", "prob"}),
-}
-
-#: Columns of the common supertype: name -> keys of the shapes that hold it.
+#: Columns of the common supertype: name -> keys that hold it.
 SUPERTYPE: dict[str, tuple[str, ...]] = {"label": ("w", "word"), "t0": ("t0", "start"), "t1": ("t1", "end"), "prob": ("prob",)}
 
-CHILD_SCHEMA = "segment_id bigint, path string, pos int, sub_pos int, variant string, label string, t0 double, t1 double, prob double, rest string"
+LINKS = "segment_id bigint, path string, pos int, sub_pos int"
+OBJECT_SCHEMA = f"{LINKS}, variant string, states string, body string, kind string"
 
 
 class _Node:
@@ -48,9 +39,13 @@ class _Node:
 
 
 def classify(value: Any) -> _Node:
-    """Run the automaton over one value, children first. An array or object kept as JSON text counts like the value itself."""
+    """Run the automaton over one value, children first. An array or object kept as JSON text counts like the value itself, a number kept as text like the number."""
     if value is None:
         return _Node(NULL)
+    if isinstance(value, bool):
+        return _Node(TRUTH, value)
+    if isinstance(value, (int, float)):
+        return _Node(NUMBER, value)
     if isinstance(value, str):
         head = value.lstrip()[:1]
         if head in ("[", "{"):
@@ -59,14 +54,30 @@ def classify(value: Any) -> _Node:
             except (ValueError, RecursionError):
                 return _Node(TEXT, value)
             return classify(inner)
-        return _Node(TEXT, value)
+        return _Node(NUMBER if _reads_as_number(value) else TEXT, value)
     if isinstance(value, list):
         return _Node(LIST, value, [classify(x) for x in value])
-    if isinstance(value, dict):
-        items = {k: classify(x) for k, x in value.items()}
-        shape = next((name for name, needed in SHAPES.items() if needed <= items.keys()), OBJECT)
-        return _Node(shape, value, items)
-    return _Node(SCALAR, value)
+    items = {k: classify(x) for k, x in value.items()}
+    return _Node(variant_of(items), value, items)
+
+
+def variant_of(items: Mapping[str, _Node]) -> str:
+    """The state of an object: its keys that are not null, in order."""
+    return _text(sorted(k for k, x in items.items() if x.state != NULL))
+
+
+def _text(value: Any) -> str:
+    """JSON text, without the halves of characters that no encoding has."""
+    text = json.dumps(value, ensure_ascii=False)
+    return text if text.isascii() else text.encode("utf-8", "replace").decode()
+
+
+def _reads_as_number(text: str) -> bool:
+    try:
+        float(text)
+    except ValueError:
+        return False
+    return text.strip()[-1:].isdigit() and "_" not in text
 
 
 def _objects(node: _Node | None) -> list[tuple[int, _Node]]:
@@ -103,48 +114,84 @@ def children(payload: str | None, paths: tuple[str, ...]) -> list[tuple[str, int
     return out
 
 
-def _number(node: _Node | None) -> float | None:
-    try:
-        return None if node is None or node.value is None or isinstance(node.value, (bool, list, dict)) else float(node.value)
-    except (ValueError, OverflowError):
-        return None
+def variant_id(path: str, variant: str) -> str:
+    """The name of the folder of a path and variant, whatever its keys are."""
+    return "v" + hashlib.md5(f"{path}\n{variant}".encode()).hexdigest()[:12]
 
 
-def flatten_payloads(df: DataFrame, paths_by_kind: dict[str, tuple[str, ...]], *, id_col: str = "id", kind_col: str = "kind", payload_col: str = "payload", values: bool = True) -> DataFrame:
-    """One row per object under the paths of the row's kind: segment_id, path, pos, sub_pos, variant and the supertype's columns.
+def flatten_payloads(df: DataFrame, paths_by_kind: dict[str, tuple[str, ...]], *, id_col: str = "id", kind_col: str = "kind", payload_col: str = "payload") -> DataFrame:
+    """One row per object under the paths of the row's kind: segment_id, path, pos, sub_pos, variant, states (by key), body, kind (the variant's id).
 
     pos is the 0-based position, sub_pos that in the inner array, -1 if there is none. Null elements and elements that are no
-    objects are no rows but keep their position. Payloads that are null or not valid JSON have no children. Redelivered
-    segments (the same id, other layout) count once. With values=False only the links and the variant are made.
-    rest holds what the supertype lacks, as JSON text.
+    objects are no rows but keep their position. Payloads that are null or not valid JSON have no children. body is the object as JSON without
+    the keys that are listed as paths of their own. Redelivered segments (the same id, other layout) come twice here.
     """
-    taken = {k for keys in SUPERTYPE.values() for k in keys}
-    columns = ["segment_id", "path", "pos", "sub_pos", "variant", *(["label", "t0", "t1", "prob", "rest"] if values else [])]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        named: dict[tuple[str, str], str] = {}
         for batch in batches:
             rows = []
             for sid, kind, payload in batch.itertuples(index=False, name=None):
-                for path, pos, sub, node in children(payload, paths_by_kind[kind]):
-                    if values:
-                        get = lambda name: next((node.items[k] for k in SUPERTYPE[name] if k in node.items and node.items[k].state != NULL), None)  # noqa: E731, B023
-                        label = get("label")
-                        rest = {k: v for k, v in node.value.items() if k not in taken and f"{path}.{k}" not in paths_by_kind[kind]}
-                        text = None if label is None else label.value if isinstance(label.value, str) else json.dumps(label.value, ensure_ascii=False)
-                        rows.append((sid, path, pos, sub, node.state, text, _number(get("t0")), _number(get("t1")), _number(get("prob")), json.dumps(rest, ensure_ascii=False, sort_keys=True) if rest else None))
-                    else:
-                        rows.append((sid, path, pos, sub, node.state))
-            yield pd.DataFrame(rows, columns=columns)
+                paths = paths_by_kind[kind]
+                for path, pos, sub, node in children(payload, paths):
+                    states = {k: "object" if isinstance(x.items, dict) else x.state for k, x in sorted(node.items.items()) if x.state != NULL}
+                    body = {k: v for k, v in node.value.items() if f"{path}.{k}" not in paths}
+                    if (path, node.state) not in named:
+                        named[path, node.state] = variant_id(path, node.state)
+                    rows.append((sid, path, pos, sub, node.state, _text(states), _text(body), named[path, node.state]))
+            yield pd.DataFrame(rows, columns=["segment_id", "path", "pos", "sub_pos", "variant", "states", "body", "kind"])
 
     wanted = df.filter(F.col(kind_col).isin(*paths_by_kind) & F.col(payload_col).isNotNull() & F.col(id_col).isNotNull())
     wanted = wanted.select(F.col(id_col).cast("bigint").alias("id"), F.col(kind_col).alias("kind"), F.col(payload_col).alias("payload"))
-    schema = CHILD_SCHEMA if values else CHILD_SCHEMA.split(", label")[0]
-    return spread(wanted).mapInPandas(run, schema).dropDuplicates(["segment_id", "path", "pos", "sub_pos"])
+    return spread(wanted).mapInPandas(run, OBJECT_SCHEMA)
 
 
-def variant_table(children_df: DataFrame, variant: str) -> DataFrame:
-    """The typed subtype table of one shape: links, the supertype's columns, and the shape's own keys as typed columns."""
-    own = sorted(SHAPES.get(variant, frozenset()) - {k for keys in SUPERTYPE.values() for k in keys})
-    rows = children_df.filter(F.col("variant") == variant)
-    parsed = F.try_parse_json("rest")
-    return rows.select("segment_id", "path", "pos", "sub_pos", "label", "t0", "t1", "prob", *[F.try_variant_get(parsed, f"$.{k}", "double").alias(k) for k in own])
+class VariantTables:
+    """Objects routed to one table per path and variant: folders of a written table in the shared folder.
+
+    Routing shuffles nothing; each reader gets only its folders and columns. Tables are whole: rare variants, and objects without any
+    key, have theirs too. Objects of a redelivered segment are dropped when a table is read.
+    """
+
+    KEY = ("segment_id", "path", "pos", "sub_pos")
+
+    def __init__(self, objects: DataFrame) -> None:
+        self.spark: SparkSession = objects.sparkSession
+        self.folder = new_folder(self.spark, "variants")
+        objects.write.partitionBy("kind").parquet(self.folder)
+        self.rows = self.spark.read.schema(OBJECT_SCHEMA).parquet(self.folder)
+
+    def drop(self) -> None:
+        """Delete the tables."""
+        drop_folder(self.spark, self.folder)
+
+    def links(self) -> DataFrame:
+        """The links of the objects of all tables, once each."""
+        return self.rows.select(*self.KEY).distinct()
+
+    def variants(self) -> DataFrame:
+        """path, variant, objects, and the type of each of its keys: the one state that was seen in it, else text."""
+        once = self.rows.select(*self.KEY, "variant", "states").dropDuplicates(list(self.KEY))
+        shapes = once.groupBy("path", "variant", "states").agg(F.count("*").alias("n"))  # few rows, whatever the number of objects
+        counted = shapes.groupBy("path", "variant").agg(F.sum("n").alias("objects"))
+        keys = shapes.select("path", "variant", F.explode(F.from_json("states", "map<string,string>")).alias("key", "state")).groupBy("path", "variant", "key").agg(F.min("state").alias("least"), F.max("state").alias("most"))
+        column = F.struct("key", F.when(F.col("least") == F.col("most"), F.col("least")).otherwise(TEXT).alias("type"))
+        types = keys.groupBy("path", "variant").agg(F.map_from_entries(F.array_sort(F.collect_list(column))).alias("types"))
+        none = F.expr("cast(map() as map<string,string>)")
+        return counted.join(types, ["path", "variant"], "left").withColumn("types", F.coalesce("types", none))
+
+    def table(self, path: str, types: Mapping[str, str], lists: tuple[str, ...] = ()) -> DataFrame:
+        """The typed table of the variant with these keys: links, and each key with its type (number as double, truth as boolean, all else as text).
+
+        lists: further keys of the variant that are paths, and so tables, of their own.
+        """
+        variant = _text(sorted([*types, *lists]))
+        own = self.rows.filter((F.col("kind") == variant_id(path, variant)) & (F.col("path") == path) & (F.col("variant") == variant))
+        own = own.dropDuplicates(list(self.KEY)).withColumn("fields", F.from_json("body", "map<string,string>"))
+        as_type = {NUMBER: "double", TRUTH: "boolean"}
+        return own.select(*self.KEY, *[F.element_at("fields", F.lit(k)).try_cast(as_type.get(types[k], "string")).alias(k) for k in sorted(types)])
+
+    def supertype(self) -> DataFrame:
+        """All objects with the supertype's columns: links, variant, label, t0, t1, prob, and their body as JSON."""
+        once = self.rows.dropDuplicates(list(self.KEY)).withColumn("fields", F.from_json("body", "map<string,string>"))
+        first = lambda name: F.coalesce(*[F.element_at("fields", F.lit(k)) for k in SUPERTYPE[name]])
+        return once.select(*self.KEY, "variant", first("label").alias("label"), *[first(c).try_cast("double").alias(c) for c in ("t0", "t1", "prob")], "body")

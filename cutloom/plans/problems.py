@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.operators.nested import flatten_payloads
+from cutloom.operators.nested import VariantTables, flatten_payloads
 from cutloom.operators.periods import millis, periods_and_gaps
 from cutloom.operators.references import media_deleted, media_references, media_targets, orphan_references
 from cutloom.sources import table
@@ -41,17 +41,42 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return periods_and_gaps(rows, ["video_id", "kind"], "s_ms", "e_ms", max_gap_ms=MAX_GAP_MS)
 
 
+def _routed(spark: SparkSession, d: str) -> VariantTables:
+    """The objects of speech and shot payloads, routed to a table per path and variant."""
+    return VariantTables(flatten_payloads(table(spark, d, "segments"), CHILD_PATHS))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Objects in the arrays of speech and shot payloads, with their links."""
-    return flatten_payloads(table(spark, d, "segments"), CHILD_PATHS, values=False).drop("variant")
+    """Objects in the arrays of speech and shot payloads, with their links: those of all variants' tables."""
+    return _routed(spark, d).links()
 
 
 def p4_children(spark: SparkSession, d: str) -> DataFrame:
-    """The same objects with their variant and the values of the common supertype."""
-    return flatten_payloads(table(spark, d, "segments"), CHILD_PATHS)
+    """The same objects with the columns of the common supertype."""
+    return _routed(spark, d).supertype().drop("variant", "body")
+
+
+def p4_variants(spark: SparkSession, d: str) -> DataFrame:
+    """The variants that were found under each path, with their keys."""
+    return _routed(spark, d).variants().select("path", F.array_sort(F.map_keys("types")).alias("keys"), "objects")
+
+
+def p4_words(spark: SparkSession, d: str) -> DataFrame:
+    """The typed table of the usual variant of words."""
+    return _routed(spark, d).table("words", {"w": "text", "t0": "number", "t1": "number", "prob": "number"})
+
 
+def p4_fits(spark: SparkSession, d: str) -> DataFrame:
+    """The typed table of motion evidence with a fitted move."""
+    return _routed(spark, d).table("motion_evidence.evidence", {"scale": "number", "dx": "number", "dy": "number"})
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p4_found": p4_found, "p4_children": p4_children}
+
+def p4_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """The typed table of motion evidence that tells how many features were kept."""
+    return _routed(spark, d).table("motion_evidence.evidence", {"features": "number", "tracked": "number"})
+
+
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p4_found": p4_found, "p4_children": p4_children, "p4_variants": p4_variants, "p4_words": p4_words, "p4_fits": p4_fits, "p4_tracks": p4_tracks}
 
 _P1 = r"""
 WITH norm AS (
@@ -102,14 +127,23 @@ def _items(source: str, keep: str) -> str:
 
 
 _P4 = f"""
-WITH s AS (SELECT id, kind, CAST(payload AS JSON) AS p FROM segments WHERE kind IN ('speech', 'shot') AND json_valid(payload)),
+WITH s AS (SELECT DISTINCT ON (id) id, kind, CAST(payload AS JSON) AS p FROM segments WHERE kind IN ('speech', 'shot') AND json_valid(payload)),
 w AS ({_items("(SELECT id, p->'words' AS j FROM s WHERE kind = 'speech')", 'id')}),
 a AS (SELECT id, pos, ix, o FROM ({_items("(SELECT id, ix AS pos, o->'alts' AS j FROM w)", 'id, pos')})),
 m AS (SELECT id, {_own("j")} AS j FROM (SELECT id, p->'motion_evidence' AS j FROM s WHERE kind = 'shot')),
-e AS ({_items("(SELECT id, j->'evidence' AS j FROM m WHERE json_type(j) = 'OBJECT')", 'id')})
-SELECT DISTINCT id AS segment_id, 'words' AS path, CAST(ix AS INT) AS pos, -1 AS sub_pos FROM w
-UNION SELECT id, 'words.alts', CAST(pos AS INT), CAST(ix AS INT) FROM a
-UNION SELECT id, 'motion_evidence.evidence', CAST(ix AS INT), -1 FROM e"""
+e AS ({_items("(SELECT id, j->'evidence' AS j FROM m WHERE json_type(j) = 'OBJECT')", 'id')}),
+c AS (SELECT id AS segment_id, 'words' AS path, CAST(ix AS INT) AS pos, -1 AS sub_pos, o FROM w
+  UNION ALL SELECT id, 'words.alts', CAST(pos AS INT), CAST(ix AS INT), o FROM a
+  UNION ALL SELECT id, 'motion_evidence.evidence', CAST(ix AS INT), -1, o FROM e),
+k AS (SELECT *, list_sort(list_filter(json_keys(o), lambda x: json_type(o, '$."' || x || '"') <> 'NULL')) AS keys FROM c)
+"""
+
+
+def _typed(path: str, keys: list[str]) -> str:
+    """The typed table of a variant: all keys but w are numbers."""
+    columns = ", ".join(f"o->>'{k}' AS {k}" if k == "w" else f"TRY_CAST(o->>'{k}' AS DOUBLE) AS {k}" for k in keys)
+    return f"{_P4} SELECT segment_id, path, pos, sub_pos, {columns} FROM k WHERE path = '{path}' AND keys = {sorted(keys)}"
+
 
 SQL = {
     "p1_found": _P1 + "SELECT src_table, src_key, ref_field, ref_value, status FROM bad",
@@ -123,5 +157,10 @@ p AS (SELECT video_id, kind, island, min(s) AS s, max(e) AS e FROM g GROUP BY AL
 n AS (SELECT *, lag(e) OVER (PARTITION BY video_id, kind ORDER BY island) AS pe FROM p)
 SELECT video_id, kind, 'period' AS item, s AS start_ms, e AS end_ms FROM n
 UNION ALL SELECT video_id, kind, 'gap', pe, s FROM n WHERE pe IS NOT NULL AND s - pe <= 300000""",
-    "p4_found": _P4,
+    "p4_found": _P4 + "SELECT segment_id, path, pos, sub_pos FROM c",
+    "p4_children": _P4 + """SELECT segment_id, path, pos, sub_pos, coalesce(o->>'w', o->>'word') AS label, TRY_CAST(coalesce(o->>'t0', o->>'start') AS DOUBLE) AS t0, TRY_CAST(coalesce(o->>'t1', o->>'end') AS DOUBLE) AS t1, TRY_CAST(o->>'prob' AS DOUBLE) AS prob FROM c""",
+    "p4_variants": _P4 + "SELECT path, keys, count(*) AS objects FROM k GROUP BY path, keys",
+    "p4_words": _typed("words", ["prob", "t0", "t1", "w"]),
+    "p4_fits": _typed("motion_evidence.evidence", ["dx", "dy", "scale"]),
+    "p4_tracks": _typed("motion_evidence.evidence", ["features", "tracked"]),
 }

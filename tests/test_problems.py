@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from cutloom.operators.nested import children, classify, flatten_payloads, variant_table
+from cutloom.operators.nested import VariantTables, children, classify, flatten_payloads
 from cutloom.operators.periods import IntervalMap, periods_and_gaps
 from cutloom.operators.references import orphan_references
 
@@ -109,21 +109,26 @@ def test_nested_children():
     assert find("speech", "[" * 5000) == []
 
 
-def test_nested_variants():
-    assert classify({"w": "a", "t0": 1, "t1": 2, "prob": 0.5}).state == "word"
-    assert classify({"word": "a", "start": 1, "end": 2}).state == "word_long"
-    assert classify({"features": 0, "mean_abs_diff": 1}).state == "evidence_flat"
-    assert classify({"w": "a", "prob": 0.1}).state == "alternative"
-    assert classify({"odd": 1}).state == "object"
-    assert classify('{"affine": null}').state == "evidence_unfitted"
+def test_nested_states():
+    assert classify({"w": "a", "t0": 1, "prob": None}).state == '["t0", "w"]' == classify('{"t0": "2.5", "w": null, "w": "b"}').state
+    assert [classify(x).state for x in (None, True, 1, 2.5, "3", " 7 ", "1_0", "nan", "x", "", [], "[1]", "[", {})] == ["null", "truth", *["number"] * 4, *["text"] * 4, "list", "list", "text", "[]"]
 
 
 def test_nested_tables(spark):
-    good = json.dumps({"words": [{"w": "a", "t0": 1, "t1": "2.5", "prob": 0.5, "note": "n"}, {"word": "b", "start": 3, "end": 4}]})
-    shot = json.dumps({"motion_evidence": {"evidence": [{"features": 9, "tracked": 5}]}})
+    good = json.dumps({"words": [{"w": "a", "t0": 1, "t1": "2.5", "prob": 0.5, "alts": [{"w": "\ud800"}, {}]}, {"word": "b", "start": 3, "end": 4}, {"w": "c", "t0": 7, "t1": 8, "prob": None, "alts": None}]})
+    shot = json.dumps({"motion_evidence": {"evidence": [{"features": 9, "tracked": "5"}, {"features": 1, "tracked": True}, {"x" * 400: {"y": [1]}, "'": 1, "$.z": None}]}})
     rows = [(1, "speech", good, "x"), (1, "speech", json.dumps(json.loads(good), indent=1), "y"), (2, "speech", None, None), (3, "speech", good[:-4], None), (4, "shot", shot, None), (None, "shot", shot, None), (5, "frame", good, None)]
-    out = flatten_payloads(spark.createDataFrame(rows, "id long, kind string, payload string, path string"), PATHS)
-    got = {(r["segment_id"], r["path"], r["pos"], r["sub_pos"], r["variant"], r["label"], r["t0"], r["t1"]) for r in out.collect()}
-    assert got == {(1, "words", 0, -1, "word", "a", 1.0, 2.5), (1, "words", 1, -1, "word_long", "b", 3.0, 4.0), (4, "motion_evidence.evidence", 0, -1, "evidence_tracked", None, None, None)}
-    assert [(r["features"], r["tracked"]) for r in variant_table(out, "evidence_tracked").collect()] == [(9.0, 5.0)]
-    assert flatten_payloads(spark.createDataFrame([], "id long, kind string, payload string"), PATHS).count() == 0
+    names = "id long, kind string, payload string, path string"
+    tables = VariantTables(flatten_payloads(spark.createDataFrame(rows, names), PATHS))
+    links = {(1, "words", 0, -1), (1, "words", 1, -1), (1, "words", 2, -1), (1, "words.alts", 0, 0), (1, "words.alts", 0, 1), *((4, "motion_evidence.evidence", i, -1) for i in range(3))}
+    got = tables.links().collect()
+    assert len(got) == len(links) and {tuple(r) for r in got} == links
+    assert {tuple(r)[1:] for r in tables.table("words", {"w": "text", "t0": "number", "t1": "number"}).select("pos", "pos", "t0", "t1", "w").collect()} == {(2, 7.0, 8.0, "c")}
+    assert [tuple(r) for r in tables.table("words", {"w": "text", "t0": "number", "t1": "number", "prob": "number"}, lists=("alts",)).select("pos", "prob", "t0", "t1", "w").collect()] == [(0, 0.5, 1.0, 2.5, "a")]
+    found = {(r["path"], tuple(sorted((r["types"] or {}).items()))): r["objects"] for r in tables.variants().collect()}
+    assert found[("motion_evidence.evidence", (("features", "number"), ("tracked", "text")))] == 2 and found[("words.alts", ())] == 1 and len(found) == 7
+    assert sum(found.values()) == len(links)
+    assert {(r["segment_id"], r["pos"], r["label"], r["t0"], r["t1"]) for r in tables.supertype().filter("path = 'words'").collect()} == {(1, 0, "a", 1.0, 2.5), (1, 1, "b", 3.0, 4.0), (1, 2, "c", 7.0, 8.0)}
+    tables.drop()
+    empty = VariantTables(flatten_payloads(spark.createDataFrame([], names), PATHS))
+    assert empty.links().count() == empty.variants().count() == empty.supertype().count() == 0
