@@ -22,15 +22,15 @@ from pyspark.sql import functions as F
 from cutloom.session import cut_lineage, spread
 
 NAME = r"[^\W\d][\w.\- ]*?(?:\s\|\s[\w.\-:, |]+?)?"
-#: Placeholders by template language. Anything but their closing stands between marks that nothing else has, else a name, with filters; blanks around it are allowed.
-_PLACEHOLDERS = [
-    r"\{\{[^{}\n]*[^{}\s][^{}\n]*\}\}", r"\$\{[^{}\n]*[^{}\s][^{}\n]*\}", r"#\{[^{}\n]*[^{}\s][^{}\n]*\}", r"<%(?:(?!%>)[^\n])*[^\s%](?:(?!%>)[^\n])*%>", r"\{%(?:(?!%\})[^\n])*[^\s%](?:(?!%\})[^\n])*%\}",
-    rf"\[\[\s*{NAME}\s*\]\]", rf"<<\s*{NAME}\s*>>", rf"‹\s*{NAME}\s*›", r"@@[A-Za-z_][\w.\-]*@@", r"(?<!\w)__[A-Za-z][\w.\-]*?__(?!\w)",
-    r"(?<![\w%])%[A-Za-z_][\w.\-]+%(?![\w%])", r"(?<![\w$])\$[A-Za-z_][\w.\-]+\$(?![\w$])", r"%\([\w.\-]+\)[sdifrx]", r"(?<![{$#\w%])\{[A-Za-z_][\w.\-]*\}(?!\})",
-    r"\[(?:your|insert|add|enter|falta|inserte|insertar|insérer|votre|ihr|su|tu)\s+[^\[\]\n]{1,50}\]", r"\[[^\[\]\n]{1,50}\s(?:here|à compléter|à remplir|hier eintragen|einfügen|por completar|aquí)\]",
-    r"(?<![\w{$#%])\{\d{1,2}\}(?!\})", r"%%[A-Za-z_][\w.\-]*%%", r"\*\|[^|\n]{1,40}\|\*", r"(?<![A-Za-z0-9_])__+[A-Za-z][A-Za-z0-9 ]*__+(?![A-Za-z0-9_])",
-    r"<(?:your|insert|enter)\s+[^<>\n]{1,50}>", r"<[^<>\n/]{1,50}\s(?:here|hier eintragen|einfügen|à compléter|aquí)>",
-]
+#: Placeholders by template language, each under a mark that it holds. Anything but their closing stands between marks that nothing else has, else a name, with filters; blanks around it are allowed.
+_PLACEHOLDERS = {
+    "{{": [r"\{\{[^{}\n]*[^{}\s][^{}\n]*\}\}"], "${": [r"\$\{[^{}\n]*[^{}\s][^{}\n]*\}"], "#{": [r"#\{[^{}\n]*[^{}\s][^{}\n]*\}"], "<%": [r"<%(?:(?!%>)[^\n])*[^\s%](?:(?!%>)[^\n])*%>"], "{%": [r"\{%(?:(?!%\})[^\n])*[^\s%](?:(?!%\})[^\n])*%\}"],
+    "[[": [rf"\[\[\s*{NAME}\s*\]\]"], "<<": [rf"<<\s*{NAME}\s*>>"], "‹": [rf"‹\s*{NAME}\s*›"], "@@": [r"@@[A-Za-z_][\w.\-]*@@"], "%(": [r"%\([\w.\-]+\)[sdifrx]"], "%%": [r"%%[A-Za-z_][\w.\-]*%%"], "*|": [r"\*\|[^|\n]{1,40}\|\*"],
+    "__": [r"(?<!\w)__[A-Za-z][\w.\-]*?__(?!\w)", r"(?<![A-Za-z0-9_])__+[A-Za-z][A-Za-z0-9 ]*__+(?![A-Za-z0-9_])"],
+    "%": [r"(?<![\w%])%[A-Za-z_][\w.\-]+%(?![\w%])"], "$": [r"(?<![\w$])\$[A-Za-z_][\w.\-]+\$(?![\w$])"], "{": [r"(?<![{$#\w%])\{[A-Za-z_][\w.\-]*\}(?!\})", r"(?<![\w{$#%])\{\d{1,2}\}(?!\})"],
+    "[": [r"\[(?:your|insert|add|enter|falta|inserte|insertar|insérer|votre|ihr|su|tu)\s+[^\[\]\n]{1,50}\]", r"\[[^\[\]\n]{1,50}\s(?:here|à compléter|à remplir|hier eintragen|einfügen|por completar|aquí)\]"],
+    "<": [r"<(?:your|insert|enter)\s+[^<>\n]{1,50}>", r"<[^<>\n/]{1,50}\s(?:here|hier eintragen|einfügen|à compléter|aquí)>"],
+}
 _ABOUT = re.compile(r"\b(?:code|templates?|placeholders?|renderer|replaces|output|vorlagen?|platzhalter|modèles?|plantillas?|syntax|formatting|variables?|lesson|tutorial)\b", re.I)
 _OPEN, _CLOSE = "`\"'“”«»„‘’‹›", "`\"'“”«»‘’‹›"
 
@@ -40,9 +40,10 @@ _EMPTY_AFTER_LABEL = re.compile(rf"(?<![\"'\w])[^\W\d][\w ]{{0,30}}\s?[:=]\s?{_E
 _EMPTY_WORD = re.compile(rf"(?<=[^\W\d][ ]){_EMPTY}(?![\w\"'`”»])")
 #: A single one in the place of a value: after a greeting or a preposition, and before the end of the phrase or a function word.
 _GREETING = r"(?:hello|hi|hey|dear|welcome(?: back)?|thanks|thank you|good (?:morning|evening|afternoon)|goodbye|bye|hallo|guten (?:tag|morgen|abend)|willkommen(?: zurück)?|danke|liebe[rs]?|bonjour|bonsoir|salut|bienvenue|merci|chère?|hola|buen[oa]s (?:días|tardes|noches)|bienvenid[oa]s?|gracias|querid[oa]|adiós)"
-#: What stands where a greeting wants a name.
-_PLACEHOLDERS.append(rf"\b{_GREETING},?\s(?:\[[^\[\]\n\d]{{1,40}}\]|<[^<>\n/\d]{{1,40}}>|\([A-Z_]{{3,40}}\)|%\w{{2,40}})")
-_PLACEHOLDER = [re.compile(p, re.I) for p in _PLACEHOLDERS] + [re.compile(r"(?<![\w%])%[A-Z][A-Z_]{2,}\b(?!%)")]
+#: What stands where a greeting wants a name, and the greeting right before it.
+_SLOT = re.compile(r"\[[^\[\]\n\d]{1,40}\]|<[^<>\n/\d]{1,40}>|\([A-Z_]{3,40}\)|%\w{2,40}")
+_GREETS = re.compile(rf"\b{_GREETING},?\s$", re.I)
+_PLACEHOLDER = [(mark, re.compile(p, re.I)) for mark, patterns in _PLACEHOLDERS.items() for p in patterns] + [("%", re.compile(r"(?<![\w%])%[A-Z][A-Z_]{2,}\b(?!%)"))]
 _BEFORE = r"(?:by|on|at|from|with|for|in|of|von|vom|am|auf|mit|bei|für|aus|par|de|du|à|sur|avec|pour|dans|por|en|con|para|desde)"
 _NEXT = r"(?=\s*(?:$|[.,;:!?()\[\]|/·–—-])|\s+(?i:on|in|at|by|and|or|with|from|for|to|is|was|has|und|im|am|auf|mit|von|bei|für|aus|ist|war|et|sur|dans|avec|par|pour|le|la|à|est|y|en|con|por|para|el|es)\b)"
 _EMPTY_ALONE = re.compile(
@@ -151,8 +152,7 @@ _NUMBERED = re.compile(r"\w*\d\w*")
 _UNITS = re.compile(r"\n+|(?<=[.!?…])\s+|\s+/\s+")
 
 
-#: Without any of these marks in a text none of its placeholders, respectively empty values, can match.
-_MARKS = ("{", "$", "<", "[", "@@", "__", "%", "‹", "*|")
+#: Without any of these marks in a text none of its empty values can match.
 _EMPTY_MARKS = ("undefined", "null", "NaN", "None", "nil", "[object", "(null)", "%s", "%d", "%i", "%f")
 
 
@@ -212,7 +212,7 @@ def _top(items) -> list:
 
 
 #: For fragments that are too common: what holds, in lower case, where their signs do.
-_PROBES = {"at ": re.compile(r"at \w+\.\w"), "d/": re.compile(r"d/\d+\.\d")}
+_PROBES = {" moment": _ACT, "noch einmal ": _ACT, "at ": re.compile(r"at \w+\.\w"), "d/": re.compile(r"d/\d+\.\d")}
 
 
 @lru_cache(maxsize=1)
@@ -289,7 +289,9 @@ def _told(line: str, start: int, end: int) -> bool:
 
 def unfilled(text: str) -> bool:
     """Whether a placeholder or an empty program value was left where a value belongs; quoted or discussed ones do not count."""
-    if any(m in text for m in _MARKS) and any(not _discussed(text, *m.span()) for p in _PLACEHOLDER for m in p.finditer(text)):
+    if any(not _discussed(text, *m.span()) for mark, p in _PLACEHOLDER if mark in text for m in p.finditer(text)):
+        return True
+    if any(_GREETS.search(text, max(0, m.start() - 40), m.start()) and not _discussed(text, *m.span()) for m in _SLOT.finditer(text)):
         return True
     if not any(m in text for m in _EMPTY_MARKS):
         return False
