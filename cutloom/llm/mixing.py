@@ -7,8 +7,6 @@ sets of growing budgets are nested.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,35 +20,30 @@ def _prefix(levels: int):
     return F.shiftrightunsigned("h", 64 - BITS * levels)
 
 
-def _thresholds(sized: DataFrame, budgets: dict[str, int]) -> dict[str, int]:
-    """For each source the hash prefix below which documents are taken, so that their tokens come nearest to its budget."""
+def _histogram(rows: DataFrame, level: int) -> DataFrame:
+    """source, bucket, tokens, and the tokens up to and with the bucket: at most sources x 2^BITS rows, whatever the number of documents."""
+    sums = rows.groupBy("source", _prefix(level).alias("bucket")).agg(F.sum("n_tokens").alias("tokens"))
+    return sums.withColumn("upto", F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket")))
+
+
+def _thresholds(sized: DataFrame, histogram: DataFrame, budgets: dict[str, int]) -> dict[str, int]:
+    """For each source the hash prefix below which documents are taken, so that their tokens come nearest to its budget. One row per source comes to the driver at each level."""
     spark = sized.sparkSession
     known = {s: (0, 0) for s in budgets}  # the boundary bucket's prefix, and the tokens below it
+    rows = sized
     for level in range(1, LEVELS + 1):
+        wanted = F.broadcast(spark.createDataFrame([(s, budgets[s] - below) for s, (_, below) in known.items()], "source string, room long"))
+        over = histogram.join(wanted, "source").filter(F.col("upto") > F.col("room"))
+        for source, found in over.groupBy("source").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("tokens")).alias("below")), "bucket")).collect():
+            known[source] = (found["bucket"], known[source][1] + found["below"])
+        # Only the documents of the boundary buckets, one in 2^BITS at each level, are looked at again.
         at = F.broadcast(spark.createDataFrame([(s, p) for s, (p, _) in known.items()], "source string, boundary long"))
-        rows = sized.join(at, "source")
-        if level > 1:
-            rows = rows.filter(_prefix(level - 1) == F.col("boundary"))
-        histogram: dict[str, list] = defaultdict(list)
-        # At most sources x 2^BITS rows, whatever the number of documents.
-        for source, bucket, tokens in rows.groupBy("source", _prefix(level).alias("bucket")).agg(F.sum("n_tokens")).collect():
-            histogram[source].append((bucket, tokens))
-        for source, buckets in histogram.items():
-            below = known[source][1]
-            for bucket, tokens in sorted(buckets):
-                if below + tokens > budgets[source]:
-                    known[source] = (bucket, below)
-                    break
-                below += tokens
-            else:
-                known[source] = (max(buckets)[0] + 1, below)
-    out = {}
-    rows = sized.join(F.broadcast(spark.createDataFrame([(s, p) for s, (p, _) in known.items()], "source string, boundary long")), "source")
-    left = dict(rows.filter(_prefix(LEVELS) == F.col("boundary")).groupBy("source").agg(F.sum("n_tokens")).collect())
-    for source, (prefix, below) in known.items():
-        nearer = source in left and below + left[source] - budgets[source] < budgets[source] - below
-        out[source] = prefix + int(nearer)
-    return out
+        rows = cut_lineage(rows.join(at, "source").filter(_prefix(level) == F.col("boundary")).drop("boundary"))
+        if level < LEVELS:
+            histogram = _histogram(rows, level + 1)
+    left = dict(rows.groupBy("source").agg(F.sum("n_tokens")).collect())
+    # The documents of the last boundary are few, mostly one: all are taken if that comes nearer.
+    return {s: prefix + int(below + left[s] - budgets[s] < budgets[s] - below) for s, (prefix, below) in known.items()}
 
 
 def plan_mix(totals: dict[str, int], targets: dict[str, tuple[float, int]], total: int | None = None) -> dict[str, tuple[int, int]]:
@@ -88,22 +81,27 @@ def mix_sources(documents: DataFrame, targets: DataFrame, *, id_col: str, source
     named = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(size).cast("bigint").alias("n_tokens"))
     names = F.broadcast(spark.createDataFrame([(s,) for s in wanted], "source string"))
     sized = cut_lineage(named.join(names, "source", "left_semi").filter("n_tokens > 0").withColumn("h", F.xxhash64("doc_id")))
-    totals = dict(sized.groupBy("source").agg(F.sum("n_tokens")).collect())
+    histogram = cut_lineage(_histogram(sized, 1))
+    totals = dict(histogram.groupBy("source").agg(F.sum("tokens")).collect())
     plan = plan_mix(totals, wanted, total)
-    limits = _thresholds(sized, {s: rest for s, (_, rest) in plan.items() if rest > 0}) if plan else {}
+    partial = {s: rest for s, (_, rest) in plan.items() if rest > 0}
+    limits = _thresholds(sized, histogram, partial) if partial else {}
     chosen = F.broadcast(spark.createDataFrame([(s, passes, limits.get(s, 0)) for s, (passes, _) in plan.items()], "source string, passes int, below long"))
     repeats = (F.col("passes") + (_prefix(LEVELS) < F.col("below")).cast("int")).alias("repeats")
     return sized.join(chosen, "source").select("doc_id", "source", "n_tokens", repeats).filter("repeats > 0")
 
 
 def mix_shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
-    """Actual shares per target source: source, weight, target_share, documents, tokens (with repeats), actual_share.
+    """Actual shares per target source: source, weight, target_share, planned_share, documents, tokens (with repeats), actual_share.
 
-    target_share is relative to all weights, also of sources without documents; these have 0 documents and a share of 0.
+    target_share is relative to all weights; planned_share, which actual_share is to meet, only to those of sources that gave documents,
+    as mix_sources shares out the weights of the others. Sources without documents have shares of 0 but for the target.
     """
     used = mix.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"))
     goals = targets.filter("source is not null").groupBy("source").agg(F.max("weight").alias("weight"))
     everything = Window.partitionBy(F.lit(0))  # over one row per target source
-    out = goals.join(used, "source", "left").withColumn("all_weights", F.sum("weight").over(everything)).withColumn("all_tokens", F.sum("tokens").over(everything))
-    share = F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0))
-    return out.select("source", "weight", (F.col("weight") / F.col("all_weights")).alias("target_share"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), share.alias("actual_share"))
+    out = goals.join(used, "source", "left").withColumn("own", F.when(F.col("tokens") > 0, F.col("weight")))
+    for name in ("weight", "own", "tokens"):
+        out = out.withColumn(f"all_{name}", F.sum(name).over(everything))
+    share = lambda part, whole: F.coalesce(F.try_divide(F.col(part).cast("double"), F.col(whole)), F.lit(0.0))
+    return out.select("source", "weight", share("weight", "all_weight").alias("target_share"), share("own", "all_own").alias("planned_share"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), share("tokens", "all_tokens").alias("actual_share"))

@@ -82,7 +82,9 @@ def test_leximin_against_brute_force(spark):
             n += 1
     rows += [(n + i, *rows[i][1:]) for i in range(30)] + [(-1, None, 1, {}), (-2, "a", None, {})]
     df = spark.createDataFrame(rows, "rid long, q string, item long, m map<string, struct<rank: int, dist: double>>").withColumn("goodness", F.lit(1)).withColumn("space", F.lit("x"))
-    got = leximin_top(df, query="q", item="item", spaces_map="m", spaces=("x", "y"), k=3)
+    top = lambda **bounds: leximin_top(df, query="q", item="item", spaces_map="m", spaces=("x", "y"), k=3, **bounds)
+    got = top()
+    assert sorted(map(repr, top(window_rows=50).collect())) == sorted(map(repr, got.collect()))
     best = {}
     for _, q, i, m in rows:
         if q is None or i is None:
@@ -300,6 +302,7 @@ def test_mix_meets_shares_and_budgets_nest(spark):
         want.add(i)
     assert {i for i, r in some.items() if r["source"] == "big"} == want
     shares = {r["source"]: r for r in mixing.mix_shares(spark.createDataFrame(list(full.values())), targets).collect()}
+    assert all(abs(r["actual_share"] - r["planned_share"]) < 0.02 for r in shares.values()) and shares["absent"]["target_share"] > 0 == shares["absent"]["planned_share"]
     assert shares["absent"]["documents"] == 0 and sum(r["actual_share"] for r in shares.values()) == pytest.approx(1)
     assert mixing.mix_sources(df.limit(0), targets, id_col="id", source_col="src", size="size").count() == 0
     assert mixing.mix_sources(df, targets.limit(0), id_col="id", source_col="src", size="size").count() == 0
