@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutloom.functions.values import parsed, text_at, text_list, whole_text
-from cutloom.session import broadcast_if_small, cut_lineage
+from cutloom.session import broadcast_if_small, cut_lineage, written
 
 SEP = "\x01"
 
@@ -34,6 +34,7 @@ def orphan_references(refs: DataFrame, targets: DataFrame, deleted: DataFrame, *
     refs = refs.filter(F.col("key").isNotNull() & F.col("ref_value").isNotNull()).select(
         "src_table", "src_key", "ref_field", "ref_value", "key", "arrival", F.date_trunc(period, "arrival").alias("period")
     )
+    refs = written(refs, "references")  # parsed once: keys are counted in it, and those of heavy and of light suspects are picked out
     targets = targets.filter(F.col("key").isNotNull()).select("key", "seen")
     deleted = deleted.filter(F.col("key").isNotNull()).select("key")
 

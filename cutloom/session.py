@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import suppress
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,8 +45,22 @@ def drop_folder(spark: SparkSession, path: str) -> None:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """The path of a new folder for a written table, in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """The path of a new folder for a written table, in the shared folder; it is deleted when this process ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_drop_quietly, spark, path)
+    return path
+
+
+def _drop_quietly(spark: SparkSession, path: str) -> None:
+    with suppress(Exception):  # the session may have ended before
+        drop_folder(spark, path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows as a Parquet table in the shared folder: for what is read more than once, with other columns or filters each time."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
