@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +26,45 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
+def _stacked(series: pd.Series) -> np.ndarray:
+    return np.stack(series.to_numpy()).astype(np.float64)
+
+
+def distances(space: Column, vector: Column, queries: Mapping[int, Sequence[float]]) -> Column:
+    """Cosine distance of vectors to the query of their space (a number), one matrix product per Arrow batch and space; null for vectors without a direction.
+
+    Vectors must have the length of their query.
+    """
+    known = {s: np.asarray(q, np.float64) / np.linalg.norm(q) for s, q in queries.items()}
+
+    def run(spaces: pd.Series, vectors: pd.Series) -> pd.Series:
+        out = np.full(len(vectors), np.nan)
+        for s, q in known.items():
+            at = np.flatnonzero(spaces.to_numpy() == s)
+            if len(at):
+                x = _stacked(vectors.iloc[at])
+                with np.errstate(all="ignore"):
+                    out[at] = 1 - (x @ q) / np.sqrt((x * x).sum(1))
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "double")(space, vector)
+
+
+def pair_distance(a: Column, b: Column) -> Column:
+    """Cosine distance of two columns of vectors of one length per row, in Arrow batches; null where one has no direction."""
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = np.full(len(left), np.nan)
+        sizes = left.map(len).to_numpy()
+        for n in np.unique(sizes):
+            at = np.flatnonzero(sizes == n)
+            x, y = _stacked(left.iloc[at]), _stacked(right.iloc[at])
+            with np.errstate(all="ignore"):
+                out[at] = 1 - (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "double")(a, b)
+
+
 def unit(v: Column) -> Column:
     """The vector at length one, as floats; null if it is all zero."""
     length = norm(v)

@@ -6,6 +6,7 @@ The models themselves are not part of this library. A model is loaded once per e
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import Protocol
@@ -32,20 +33,23 @@ class RowModel(Protocol):
 
 
 class HashEncoder:
-    """A stand-in text encoder: words hash to signed positions; equal texts get equal unit vectors."""
+    """A stand-in text encoder: words hash to signed positions; equal texts get equal unit vectors.
+
+    The position is the first 8 hex digits of a word's MD5 modulo the length, the sign is that of the ninth digit (below 8 is positive).
+    """
 
     def __init__(self, name: str = "hash-v1", dim: int = 64) -> None:
         self.name, self.dim = name, dim
 
     def encode(self, inputs: list) -> np.ndarray:
-        out = np.zeros((len(inputs), self.dim), np.float32)
+        out = np.zeros((len(inputs), self.dim), np.float64)
         for i, text in enumerate(inputs):
-            for word in (text or "").lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                out[i, h % self.dim] += 1 if h >> 63 else -1
+            for word in re.findall(r"\S+", (text or "").lower(), re.ASCII):
+                h = hashlib.md5(word.encode("utf-8", "replace")).hexdigest()
+                out[i, int(h[:8], 16) % self.dim] += 1 if h[8] < "8" else -1
             size = np.linalg.norm(out[i])
-            out[i] = out[i] / size if size else np.eye(1, self.dim, dtype=np.float32)[0]
-        return out
+            out[i] = out[i] / size if size else np.eye(1, self.dim)[0]
+        return out.astype(np.float32)
 
 
 @lru_cache(maxsize=8)
@@ -54,6 +58,11 @@ def loaded(factory: Callable[[], object]) -> object:
     return factory()
 
 
+def release() -> None:
+    """Drop the models of this process, before another stage loads its own."""
+    loaded.cache_clear()
+
+
 def embed(inputs: Column, factory: Callable[[], Encoder], batch: int = 32) -> Column:
     """Vectors of a column of inputs, in batches, with a model that is loaded once per worker."""
     @F.pandas_udf("array<float>")

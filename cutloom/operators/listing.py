@@ -7,6 +7,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cutloom.functions.text import preview
 from cutloom.schema import CONTRACT
 
 
@@ -56,6 +57,16 @@ def list_segments(segments: DataFrame, video_id: str, kind: str | None = None, f
     return rows.select(*[c for c in CONTRACT if c in rows.columns]).orderBy("t_start_s", "id")
 
 
+def list_delivered(segments: DataFrame, video_id: str, kind: str | None = None, filters: dict[str, Any] | None = None, between: tuple[float, float] | None = None) -> DataFrame:
+    """list_segments of a table that may hold a row twice (with ingested_at): video, kind and range are filtered in the scan, the first delivery per id is taken, payloads are compared last."""
+    rows = segments.filter(F.col("video_id") == video_id)
+    if kind is not None:
+        rows = rows.filter(F.col("kind") == kind)
+    if between is not None:
+        rows = rows.filter(overlaps(*between))
+    return list_segments(first_delivery(rows.select(*CONTRACT, "ingested_at"), ["id"], "ingested_at"), video_id, filters=filters)
+
+
 def segments_by_ids(segments: DataFrame, ids: list[int] | DataFrame) -> DataFrame:
     """Segments with these ids (a list, or a DataFrame with a column id), ordered by start and id; none for an empty list."""
     rows = segments.join(ids.select("id").distinct(), "id", "left_semi") if isinstance(ids, DataFrame) else segments.filter(F.col("id").isin(list(ids)) if ids else F.lit(False))
@@ -72,7 +83,24 @@ def has_speech(videos: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(videos.select("video_id", "has_speech"), "video_id", "left")
 
 
-def rounded_output(hits: DataFrame) -> DataFrame:
-    """One JSON object per row, seconds with three places: the form of the list and search commands."""
-    seconds = {c: F.round(c, 3) for c in ("t_start_s", "t_end_s", "cut_start_s", "cut_end_s") if c in hits.columns}
-    return hits.withColumns(seconds).select(F.to_json(F.struct("*")).alias("line"))
+def _seconds(*columns: str) -> Column:
+    return F.array(*[F.round(c, 3) for c in columns])
+
+
+def list_lines(rows: DataFrame) -> DataFrame:
+    """The list command's lines: kind, seconds to three places, frames and the payload as JSON, in order."""
+    payload = F.coalesce(F.try_parse_json("payload"), F.parse_json(F.lit("{}")))
+    shown = F.struct("kind", _seconds("t_start_s", "t_end_s").alias("t"), F.array("frame_start", "frame_end").alias("frames"), payload.alias("payload"))
+    return rows.orderBy("t_start_s", "id").select(F.to_json(shown, {"ignoreNullFields": "false"}).alias("line"))
+
+
+def search_lines(hits: DataFrame) -> DataFrame:
+    """The search command's lines: video, kind, own and cut range, score to five places, rank and distance (four places) per space, and a preview, by position."""
+    v = F.try_parse_json("payload")
+    spaces = F.transform_values("per_space", lambda k, x: F.struct(x["rank"].alias("rank"), F.round(x["dist"], 4).alias("dist")))
+    texts = [F.try_variant_get(v, f"$.{k}", "string") for k in ("text", "description", "frame_path")]
+    shown = F.struct(
+        F.col("video_id").alias("video"), "kind", _seconds("t_start_s", "t_end_s").alias("t"), F.array("frame_start", "frame_end").alias("frames"), _seconds("cut_start_s", "cut_end_s").alias("cut_t"),
+        F.array("cut_frame_start", "cut_frame_end").alias("cut_frames"), F.round("rrf_score", 5).alias("rrf"), spaces.alias("spaces"), preview(*texts).alias("preview"),
+    )
+    return hits.orderBy("position").select(F.to_json(shown, {"ignoreNullFields": "false"}).alias("line"))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutloom.config import SPACE_KINDS
 from cutloom.functions.values import parsed, text_at, text_list, whole_text
-from cutloom.functions.vectors import cosine_distance, vector_literal
-from cutloom.session import broadcast_if_small
+from cutloom.functions.vectors import distances, pair_distance
+from cutloom.models import Encoder, embed
+from cutloom.schema import CONTRACT
+from cutloom.session import broadcast_if_small, settled
 
 SEARCHABLE = tuple(k for kinds in SPACE_KINDS.values() for k in kinds)
 
@@ -27,7 +29,7 @@ def knn(segments: DataFrame, model: str, query: Sequence[float], k: int, *, vide
         rows = rows.filter(F.col("video_id") == video_id)
     if kinds:
         rows = rows.filter(F.col("kind").isin(*kinds))
-    scored = rows.select(*keep, cosine_distance(F.col("embedding"), vector_literal(query)).alias("dist")).filter("dist is not null and not isnan(dist)")
+    scored = rows.select(*keep, distances(F.lit(0), F.col("embedding"), {0: query}).alias("dist")).filter("dist is not null and not isnan(dist)")
     return _nearest(scored, k, F.lit(0)).drop("rank")
 
 
@@ -42,7 +44,7 @@ def knn_many(queries: DataFrame, segments: DataFrame, k: int) -> DataFrame:
     """The same for many queries (query_id, model_name, embedding): query_id, id, dist, rank. Up to 10,000 queries are broadcast, segments stay in place, and each query keeps k rows per task before the shuffle; more are joined by model."""
     q = broadcast_if_small(queries.select("query_id", "model_name", F.col("embedding").alias("q")), 10_000)
     rows = segments.filter(F.col("embedding").isNotNull()).join(q, "model_name").filter(F.size("embedding") == F.size("q"))
-    scored = rows.select("query_id", "id", cosine_distance(F.col("embedding"), F.col("q")).alias("dist")).filter("dist is not null and not isnan(dist)")
+    scored = rows.select("query_id", "id", pair_distance(F.col("embedding"), F.col("q")).alias("dist")).filter("dist is not null and not isnan(dist)")
     return _nearest(scored, k, "query_id")
 
 
@@ -97,13 +99,14 @@ def search(segments: DataFrame, queries: Mapping[str, Sequence[float]], models:
         require_spaces(segments, models, spaces, video_id)
     rows = segments.filter(F.col("embedding").isNotNull() & F.col("kind").isin(*[x for own in spaces.values() for x in own]))
     rows = rows if video_id is None else rows.filter(F.col("video_id") == video_id)
-    space = dist = number = F.lit(None)
-    for at, name in enumerate(SPACE_KINDS):
-        if name in spaces:
-            mine = F.col("kind").isin(*spaces[name]) & (F.col("model_name") == models[name]) & (F.size("embedding") == len(queries[name]))
-            space, number = F.when(mine, name).otherwise(space), F.when(mine, at).otherwise(number)
-            dist = F.when(mine, cosine_distance(F.col("embedding"), vector_literal(queries[name]))).otherwise(dist)
-    scored = rows.select("id", space.alias("space"), number.alias("space_ord"), dist.alias("dist")).filter("space is not null and dist is not null and not isnan(dist)")
+    names, number = list(SPACE_KINDS), F.lit(None).cast("int")
+    for name in spaces:
+        mine = F.col("kind").isin(*spaces[name]) & (F.col("model_name") == models[name]) & (F.size("embedding") == len(queries[name]))
+        number = F.when(mine, names.index(name)).otherwise(number)
+    placed = rows.select("id", number.alias("space_ord"), "embedding").filter("space_ord is not null")
+    space = F.element_at(F.array(*map(F.lit, names)), F.col("space_ord") + 1)
+    dist = distances(F.col("space_ord"), F.col("embedding"), {names.index(s): queries[s] for s in spaces})
+    scored = placed.select("id", space.alias("space"), "space_ord", dist.alias("dist")).filter("dist is not null and not isnan(dist)")
     return fuse(_nearest(scored, k, "space"), k)
 
 
@@ -151,3 +154,34 @@ def best_sentences(parts: DataFrame) -> DataFrame:
 def window_source_ids(payload: Column) -> Column:
     """The list of speech ids that a window's payload holds, as texts."""
     return text_list(parsed(payload), "$.source_speech_ids")
+
+
+def most_similar_sentences(parts: DataFrame, query: Sequence[float], factory: Callable[[], Encoder]) -> DataFrame:
+    """For each window (id, sid, text, s, e, ...) the sentence whose vector comes nearest to the query's, to six places; the first by start and id of equals."""
+    embedded = parts.withColumn("v", embed(F.col("text"), factory))
+    return best_sentences(embedded.withColumn("sim", F.round(1 - distances(F.lit(0), F.col("v"), {0: query}), 6)).drop("v"))
+
+
+def refined(hits: DataFrame, segments: DataFrame, query: Sequence[float] | None = None, factory: Callable[[], Encoder] | None = None) -> DataFrame:
+    """The k hits of a search (a local relation with an id) with their rows and the range to cut.
+
+    A frame gives its shot; a speech window that of its sentences which is most similar to the text query; all else, and what finds none, itself. Ids and videos
+    of the hits are literals, so every scan is pruned by them: one for the hits, one for shots if there are frames, one for speech if there are windows.
+    Columns added: those of the list contract, cut_start_s, cut_end_s, cut_frame_start, cut_frame_end.
+    """
+    ids = [r["id"] for r in hits.select("id").collect()]
+    own = settled(segments.filter(F.col("id").isin(ids) if ids else F.lit(False)).select(*[c for c in CONTRACT if c in segments.columns]).dropDuplicates(["id"]))
+    frames = settled(own.filter("kind = 'frame'").select("id", "video_id", whole_text(text_at(parsed(F.col("payload")), "$.shot_index")).alias("shot_index")).filter("shot_index is not null"))
+    windows = settled(own.filter("kind = 'speech_window'").select("id", window_source_ids(F.col("payload")).alias("source_ids")))
+    spark = hits.sparkSession
+    finer = spark.createDataFrame([], "id bigint, s double, e double, fs bigint, fe bigint")
+    if videos := {r["video_id"] for r in frames.collect()}:
+        finer = finer.unionByName(enclosing_shots(frames, segments.filter(F.col("video_id").isin(sorted(videos))), True))
+    sids = {int(x) for r in windows.collect() for x in r["source_ids"] or [] if x is not None and x.strip().isdecimal()}
+    if query is not None and factory is not None and sids:
+        parts = constituent_speech(windows, segments.filter(F.col("id").isin(sorted(sids))), True)
+        finer = finer.unionByName(most_similar_sentences(parts, query, factory).select("id", "s", "e", "fs", "fe"))
+    joined = hits.join(own, "id").join(F.broadcast(finer), "id", "left")
+    pick = lambda a, b, name: F.when(F.col("s").isNotNull(), F.col(a)).otherwise(F.col(b)).alias(name)
+    cut = [pick("s", "t_start_s", "cut_start_s"), pick("e", "t_end_s", "cut_end_s"), pick("fs", "frame_start", "cut_frame_start"), pick("fe", "frame_end", "cut_frame_end")]
+    return joined.select(*hits.columns, *[c for c in own.columns if c != "id"], *cut)

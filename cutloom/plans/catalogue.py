@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from cutloom.config import FPS_RATES, SPACE_KINDS
 from cutloom.functions import captions, media, text, vectors
 from cutloom.functions.values import parsed, text_at, whole_text
+from cutloom.models import HashEncoder
 from cutloom.operators import acceptance, folds, frames, intervals, jobs, listing, search, store, words
-from cutloom.schema import CONTRACT
 from cutloom.session import settled
 from cutloom.sources import table
 
@@ -59,13 +59,7 @@ _LIST = "SELECT id, video_id, kind, t_start_s, t_end_s, frame_start, frame_end,
 
 
 def _listed(spark: SparkSession, d: str, **wanted) -> DataFrame:
-    rows = table(spark, d, "segments").filter(F.col("video_id") == VIDEO)
-    if wanted.get("kind"):
-        rows = rows.filter(F.col("kind") == wanted["kind"])
-    if wanted.get("between"):
-        rows = rows.filter(listing.overlaps(*wanted["between"]))
-    rows = listing.first_delivery(rows.select(*CONTRACT, "ingested_at"), ["id"], "ingested_at")
-    return listing.list_segments(rows, VIDEO, **wanted)
+    return listing.list_delivered(table(spark, d, "segments"), VIDEO, **wanted)
 
 
 @query(f"WITH {_SEG} {_LIST} WHERE video_id = '{VIDEO}' AND kind = 'shot' ORDER BY t_start_s, id")
@@ -591,28 +585,44 @@ def cut_refine_frame(spark, d):
     return search.cut_ranges(hits, table(spark, d, "segments")).select("id", "cut_start_s", "cut_end_s")
 
 
-@query(f"""WITH {_SEG}, w AS (SELECT id, unnest(json_extract(payload, '$.source_speech_ids[*]')) AS j FROM seg WHERE kind = 'speech_window'), i AS (SELECT DISTINCT id, CAST(CAST(j->>'$' AS DOUBLE) AS BIGINT) AS sid FROM w WHERE j->>'$' IS NOT NULL AND CAST(j->>'$' AS DOUBLE) > 0),
-p AS (SELECT i.id, s.id AS sid, t_start_s AS s, t_end_s AS e, length(trim(json_extract_string(s.payload, '$.text'))) AS sim FROM i JOIN seg s ON s.id = sid WHERE json_valid(s.payload) AND trim(coalesce(json_extract_string(s.payload, '$.text'), '')) <> ''),
-b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY sim DESC, s, sid) = 1) SELECT g.id, coalesce(b.s, t_start_s) AS cut_start_s, coalesce(b.e, t_end_s) AS cut_end_s FROM seg g LEFT JOIN b USING (id) WHERE kind = 'speech_window'""")
+def _sql_best(windows: str) -> str:
+    """The sentence of each window (id, payload) whose hashed vector comes nearest to the query's, as bs (id, s, e)."""
+    return f"""ww AS (SELECT id, unnest(json_extract(payload, '$.source_speech_ids[*]')) AS j FROM {windows}), wi AS (SELECT DISTINCT id, CAST(CAST(j->>'$' AS DOUBLE) AS BIGINT) AS sid FROM ww WHERE j->>'$' IS NOT NULL AND CAST(j->>'$' AS DOUBLE) > 0),
+ps AS (SELECT wi.id, g.id AS sid, t_start_s AS s, t_end_s AS e, json_extract_string(g.payload, '$.text') AS text FROM wi JOIN seg g ON g.id = sid WHERE json_valid(g.payload) AND trim(coalesce(json_extract_string(g.payload, '$.text'), ''), ' \t\n\r') <> ''),
+pw AS (SELECT id, sid, s, e, md5(unnest(string_split_regex(trim(lower(text), ' \t\n\r'), '\\s+'))) AS h FROM ps), pv AS (SELECT id, sid, s, e, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 64 AS pos, sum(CASE WHEN substr(h, 9, 1) < '8' THEN 1 ELSE -1 END) AS n FROM pw GROUP BY ALL),
+sm AS (SELECT id, sid, s, e, round(CASE WHEN sum(n * n) = 0 THEN sin(1) ELSE sum(n * sin(pos + 1)) / sqrt(sum(n * n)) END / sqrt((SELECT sum(sin(i + 1) ** 2) FROM range(64) r(i))), 6) AS sim FROM pv GROUP BY ALL),
+bs AS (SELECT * FROM sm QUALIFY row_number() OVER (PARTITION BY id ORDER BY sim DESC, s, sid) = 1)"""
+
+
+@query(f"""WITH {_SEG}, sw AS (SELECT * FROM seg WHERE kind = 'speech_window'), {_sql_best("sw")} SELECT g.id, coalesce(bs.s, t_start_s) AS cut_start_s, coalesce(bs.e, t_end_s) AS cut_end_s FROM sw g LEFT JOIN bs USING (id)""")
 def cut_refine_speech(spark, d):
-    """The longest sentence stands in for the most similar one, which needs an encoder."""
+    """All windows and their sentences, with the stand-in encoder."""
     all_rows = seg(spark, d, "video_id", "kind", "t_start_s", "t_end_s", "frame_start", "frame_end", "payload", kinds=("speech", "speech_window"))
     windows = all_rows.filter("kind = 'speech_window'")
     parts = search.constituent_speech(windows.select("id", search.window_source_ids(F.col("payload")).alias("source_ids")), all_rows)
-    best = search.best_sentences(parts.withColumn("sim", F.length("text")))
+    best = search.most_similar_sentences(parts, QUERY, HashEncoder)
     return windows.join(best.select("id", "s", "e"), "id", "left").select("id", F.coalesce("s", "t_start_s").alias("cut_start_s"), F.coalesce("e", "t_end_s").alias("cut_end_s"))
 
 
 _HITS = f"h AS ({_FUSED.format(k=10)})"
+_REFINED = """f AS (SELECT h.id, h.position, g.kind, g.video_id, t_start_s, t_end_s, payload, CASE WHEN g.kind = 'frame' THEN CAST(CAST(CAST(json_extract_string(payload, '$.shot_index') AS DOUBLE) AS BIGINT) AS VARCHAR) END AS si FROM h JOIN seg g ON g.id = h.id), fw AS (SELECT * FROM f WHERE kind = 'speech_window')"""
 
 
-@query(f"""WITH {_RANKED.format(where='')}, {_HITS}, {_SEG}, {_SHOT_OF}, f AS (SELECT h.id, h.position, g.kind, g.video_id, t_start_s, t_end_s, CASE WHEN g.kind = 'frame' THEN CAST(CAST(CAST(json_extract_string(payload, '$.shot_index') AS DOUBLE) AS BIGINT) AS VARCHAR) END AS si FROM h JOIN seg g ON g.id = h.id)
-SELECT f.id, position, kind, coalesce(s, t_start_s) AS cut_start_s, CASE WHEN s IS NULL THEN t_end_s ELSE e END AS cut_end_s FROM f LEFT JOIN so USING (video_id, si)""")
+@query(f"""WITH {_RANKED.format(where='')}, {_HITS}, {_SEG}, {_SHOT_OF}, {_REFINED}, {_sql_best("fw")}
+SELECT f.id, position, kind, coalesce(so.s, bs.s, t_start_s) AS cut_start_s, coalesce(so.e, bs.e, t_end_s) AS cut_end_s FROM f LEFT JOIN so USING (video_id, si) LEFT JOIN bs ON bs.id = f.id""")
 def search_end_to_end(spark, d):
     hits = settled(_search(spark, d, 10))
-    rows = table(spark, d, "segments")
-    kinds = rows.join(F.broadcast(hits.select("id")), "id", "left_semi").select("id", "kind").distinct()
-    return hits.join(search.cut_ranges(hits, rows, bounded=True), "id").join(kinds, "id").select("id", "position", "kind", "cut_start_s", "cut_end_s")
+    return search.refined(hits, table(spark, d, "segments"), QUERY, HashEncoder).select("id", "position", "kind", "cut_start_s", "cut_end_s")
+
+
+_SPOKEN = _RANKED.format(where="WHERE kind = 'speech_window'")
+
+
+@query(f"""WITH {_SPOKEN}, h AS ({_FUSED.format(k=5)}), {_SEG}, {_REFINED}, {_sql_best("fw")}
+SELECT f.id, position, coalesce(bs.s, t_start_s) AS cut_start_s, coalesce(bs.e, t_end_s) AS cut_end_s FROM f LEFT JOIN bs ON bs.id = f.id""")
+def search_speech_windows(spark, d):
+    hits = settled(_search(spark, d, 5, kinds=("speech_window",)))
+    return search.refined(hits, table(spark, d, "segments"), QUERY, HashEncoder).select("id", "position", "cut_start_s", "cut_end_s")
 
 
 # --- writes ------------------------------------------------------------------------------------------------------------
