@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -94,6 +94,14 @@ def merge_micro_shots(scenes: DataFrame, key: str, *, min_frames: int = 8) -> Da
     return streaming_fold(rows, [key], ["s", "e"], f"{key} string, s bigint, e bigint", lambda: _Shots(min_frames))
 
 
+def reconciled(scenes: DataFrame, videos: DataFrame) -> DataFrame:
+    """Scenes (video_id, s, e) of all videos (video_id, usable: the frames that both decoders have): the last one ends there, and a video without scenes is one scene."""
+    last = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("s"), F.desc("e"))) == 1
+    joined = videos.select("video_id", "usable").join(scenes.filter("s is not null and e is not null").withColumn("last", last), "video_id", "left")
+    end = F.when(F.coalesce("last", F.lit(True)), F.col("usable")).otherwise(F.col("e"))
+    return joined.select("video_id", F.coalesce("s", F.lit(0)).cast("bigint").alias("s"), end.cast("bigint").alias("e"))
+
+
 class _Dedup:
     """Near-duplicates of the last kept frame or of the representative; the representative is joined to every row."""
 

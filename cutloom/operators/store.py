@@ -7,6 +7,7 @@ import os
 import uuid
 from collections.abc import Callable, Sequence
 from pathlib import Path
+from threading import RLock
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -66,12 +67,12 @@ def patch_payloads(segments: DataFrame, patches: DataFrame) -> DataFrame:
     return joined.withColumn("payload", payload).select(*segments.columns)
 
 
-def replace_segments(old: DataFrame, new: DataFrame, kinds: Sequence[str], patches: DataFrame | None = None, position: str | None = None) -> DataFrame:
-    """Old rows without the kinds of the videos in ``new`` (or of a column video_id), the new rows with minted ids, and patches on other rows.
+def replace_segments(old: DataFrame, new: DataFrame, kinds: Sequence[str], patches: DataFrame | None = None, position: str | None = None, videos: DataFrame | None = None) -> DataFrame:
+    """Old rows without the kinds of the videos in ``new``, or of ``videos`` (video_id) if some of them have no new rows; the new rows with minted ids, and patches on other rows.
 
     position: a column of ``new`` that numbers each video's rows from 1 already.
     """
-    gone = new.select("video_id").distinct().withColumn("kind", F.explode(F.array(*map(F.lit, kinds))))
+    gone = (new if videos is None else videos).select("video_id").distinct().withColumn("kind", F.explode(F.array(*map(F.lit, kinds))))
     kept = old.join(gone, ["video_id", "kind"], "left_anti")
     if patches is not None:
         kept = patch_payloads(kept, patches)
@@ -84,6 +85,16 @@ def delete_segments(old: DataFrame, video_id: str, kind: str | None = None) -> D
     return old.filter(~(gone if kind is None else gone & F.col("kind").eqNullSafe(kind)))
 
 
+def set_has_speech(videos: DataFrame, video_id: str, spoken: bool) -> DataFrame:
+    """Videos with the speech flag of one of them set."""
+    return videos.withColumn("has_speech", F.when(F.col("video_id").eqNullSafe(video_id), F.lit(spoken)).otherwise(F.col("has_speech")))
+
+
+def append(old: DataFrame, new: DataFrame, order: Sequence[str] = ("t_start_s", "kind", "t_end_s")) -> DataFrame:
+    """Old rows and new ones with ids above them; vectors of new rows are kept."""
+    return old.unionByName(minted(old, new, list(order)), allowMissingColumns=True)
+
+
 def set_embeddings(segments: DataFrame, vectors: DataFrame) -> DataFrame:
     """Segments with the vectors of (id, embedding, model_name, dim) attached, all in one join. KeyError if an id is unknown, ValueError if one comes twice."""
     if vectors.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
@@ -151,12 +162,12 @@ def orphan_files(files: DataFrame, rows: DataFrame, name: str = "name") -> DataF
 class SnapshotStore:
     """Tables as generations of Parquet under a root; a pointer file, replaced atomically, names the current one of each table.
 
-    A commit writes all its tables first and then moves the pointer once, so readers see all of a change or nothing. One writer
-    at a time; the root must be a file system that all executors share.
+    A commit writes all its tables first and then moves the pointer once, so readers see all of a change or nothing. Changes by several threads of one
+    process follow one another (a change of several tables takes ``lock`` from its first read to its commit); there may be one such process at a time. The root must be a file system that all executors share.
     """
 
     def __init__(self, spark: SparkSession, root: str | Path) -> None:
-        self.spark, self.root = spark, Path(root)
+        self.spark, self.root, self.lock = spark, Path(root), RLock()
         self.root.mkdir(parents=True, exist_ok=True)
         if not self._pointer().exists():
             self.commit({name: schema.empty(spark, name) for name in schema.TABLES})
@@ -188,4 +199,5 @@ class SnapshotStore:
 
     def update(self, name: str, change: Callable[[DataFrame], DataFrame]) -> None:
         """Commit a change of one table."""
-        self.commit({name: change(self.read(name))})
+        with self.lock:
+            self.commit({name: change(self.read(name))})

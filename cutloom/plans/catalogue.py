@@ -489,7 +489,7 @@ def word_tokenize(spark, d):
 
 
 @query(f"""WITH {_SEG}, c AS (SELECT id, payload AS p FROM seg WHERE kind = 'caption')
-SELECT id, CASE WHEN p->>'shot_type' IN ('CU', 'MS', 'WS') THEN p->>'shot_type' END AS shot_type, CAST(p->>'people_count' AS INT) AS people_count, coalesce(p->>'setting', '') AS setting, coalesce(p->>'on_screen_text', '') AS on_screen_text,
+SELECT id, CASE WHEN p->>'shot_type' IN ('CU', 'MS', 'WS') THEN p->>'shot_type' END AS shot_type, coalesce(CAST(trunc(CAST(p->>'people_count' AS DOUBLE)) AS INT), 0) AS people_count, coalesce(p->>'setting', '') AS setting, coalesce(p->>'on_screen_text', '') AS on_screen_text,
 list_slice(CAST(json_extract(p, '$.objects') AS VARCHAR[]), 1, 8) AS objects, trim(p->>'description') AS description FROM c""")
 def caption_typing(spark, d):
     rows = seg(spark, d, "payload", kinds=("caption",)).select("id", captions.typed_reply(F.col("payload")).alias("c")).filter("c.error is null")
