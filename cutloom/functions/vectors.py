@@ -31,7 +31,7 @@ def _stacked(series: pd.Series) -> np.ndarray:
 
 
 def distances(space: Column, vector: Column, queries: Mapping[int, Sequence[float]]) -> Column:
-    """Cosine distance of vectors to the query of their space (a number), one matrix product per Arrow batch and space; null for vectors without a direction.
+    """Cosine distance of vectors to the query of their space (a number), in Arrow batches; equal vectors have equal distances in any batch, which a matrix product does not give; null for vectors without a direction.
 
     Vectors must have the length of their query.
     """
@@ -44,7 +44,7 @@ def distances(space: Column, vector: Column, queries: Mapping[int, Sequence[floa
             if len(at):
                 x = _stacked(vectors.iloc[at])
                 with np.errstate(all="ignore"):
-                    out[at] = 1 - (x @ q) / np.sqrt((x * x).sum(1))
+                    out[at] = 1 - (x * q).sum(1) / np.sqrt((x * x).sum(1))
         return pd.Series(out)
 
     return F.pandas_udf(run, "double")(space, vector)

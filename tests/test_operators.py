@@ -161,7 +161,9 @@ def test_caption_replies(spark):
     good = {"shot_type": "XX", "people_count": 2.5, "setting": 3, "on_screen_text": None, "objects": [str(i) for i in range(12)], "description": " d "}
     df = spark.createDataFrame([(json.dumps(good),), (json.dumps(dict(good, description=" ")),), ("[1]",), ("{",), (json.dumps({"description": "x"}),), (None,)], "r string")
     got = [r[0] for r in df.select(captions.typed_reply(F.col("r"))).collect()]
-    assert (got[0]["error"], got[0]["shot_type"], got[0]["people_count"], got[0]["setting"], len(got[0]["objects"]), got[0]["description"]) == (None, None, None, "3", 8, "d")
+    assert (got[0]["error"], got[0]["shot_type"], got[0]["people_count"], got[0]["setting"], len(got[0]["objects"]), got[0]["description"]) == (None, None, 2, "3", 8, "d")
+    count = lambda x: df.limit(1).select(captions.typed_reply(F.lit(json.dumps(dict(good, people_count=x))))["people_count"]).first()[0]
+    assert [count(x) for x in (None, 0, 3, "4", "many", [1], False)] == [0, 0, 3, 4, None, None, 0]
     assert [g["error"] is not None for g in got[1:]] == [True] * 5
 
 
