@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cutloom.config import FPS_RATES, HDR_TRANSFERS
+from cutloom.config import FPS_RATES, HDR_TRANSFERS, WIDE_PRIMARIES
 
 FRAME_EPS = 1e-6
 
@@ -64,7 +64,7 @@ def bit_depth(pix_fmt: Column) -> Column:
 def needs_color_work(transfer: Column, primaries: Column, depth: Column) -> Column:
     """HDR transfer, wide primaries, or an unknown transfer with at least 10 bits."""
     kind, wide = F.lower(F.coalesce(transfer, F.lit(""))), F.lower(F.coalesce(primaries, F.lit("")))
-    return kind.isin(*HDR_TRANSFERS) | wide.startswith("bt2020") | (kind.isin("", "unknown") & (F.coalesce(depth, F.lit(8)) >= 10))
+    return kind.isin(*HDR_TRANSFERS) | wide.isin(*WIDE_PRIMARIES) | (kind.isin("", "unknown") & (F.coalesce(depth, F.lit(8)) >= 10))
 
 
 def is_url(source: Column) -> Column:

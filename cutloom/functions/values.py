@@ -33,3 +33,11 @@ def text_list(variant: Column, path: str) -> Column:
     single = text_at(variant, path)
     nested = F.try_variant_get(F.try_parse_json(single), "$", "array<string>")
     return F.coalesce(direct, nested, F.when(single.isNotNull(), F.array(single)))
+
+
+def truthy(variant: Column, path: str) -> Column:
+    """Whether the value at a JSON path counts as true: not absent, null, false, zero or empty."""
+    kind = F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
+    text = text_at(variant, path)
+    held = F.when(kind == "BOOLEAN", text == "true").when(kind == "STRING", text != "").when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), ~text.isin("[]", "{}")).otherwise(text.try_cast("double") != 0)
+    return F.coalesce(held, F.lit(False))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cutloom.config import FPS_RATES, SPACE_KINDS
 from cutloom.functions import captions, media, text, vectors
-from cutloom.functions.values import parsed, text_at, whole_text
+from cutloom.functions.values import parsed, text_at, truthy, whole_text
 from cutloom.models import HashEncoder
 from cutloom.operators import acceptance, folds, frames, intervals, jobs, listing, search, store, words
 from cutloom.session import settled
@@ -182,7 +182,7 @@ def bit_depth(spark, d):
 _TRANSFERS = "('smpte2084','bt709'), ('bt709','bt2020nc'), (NULL,'bt709'), ('unknown',NULL), ('bt709','bt709')"
 
 
-@query(f"""SELECT v.video_id, t.a AS transfer, t.b AS primaries, coalesce(lower(t.a), '') IN ('smpte2084', 'arib-std-b67') OR coalesce(lower(t.b), '') LIKE 'bt2020%' OR (coalesce(lower(t.a), '') IN ('', 'unknown') AND coalesce(source_bit_depth, 8) >= 10) AS needed
+@query(f"""SELECT v.video_id, t.a AS transfer, t.b AS primaries, coalesce(lower(t.a), '') IN ('smpte2084', 'arib-std-b67') OR coalesce(lower(t.b), '') IN ('bt2020', 'bt2020nc', 'bt2020c') OR (coalesce(lower(t.a), '') IN ('', 'unknown') AND coalesce(source_bit_depth, 8) >= 10) AS needed
 FROM videos v, (VALUES {_TRANSFERS}) t(a, b)""")
 def color_guard(spark, d):
     n = F.lit(None).cast("string")
@@ -338,26 +338,26 @@ def greedy_windows(spark, d):
 @query(f"""WITH RECURSIVE {_SEG}, sh AS (SELECT video_id, frame_start AS s, frame_end + 1 AS e FROM seg WHERE kind = 'shot' AND frame_start IS NOT NULL),
 n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY s, e) AS rn, count(*) OVER (PARTITION BY video_id) AS c FROM sh),
 f AS (SELECT video_id, rn, c, s AS gs, e AS ge, 1 AS g FROM n WHERE rn = 1
-UNION ALL SELECT n.video_id, n.rn, n.c, CASE WHEN f.ge - f.gs < 48 THEN f.gs ELSE n.s END, n.e, CASE WHEN f.ge - f.gs < 48 THEN f.g ELSE f.g + 1 END FROM f JOIN n ON n.video_id = f.video_id AND n.rn = f.rn + 1),
+UNION ALL SELECT n.video_id, n.rn, n.c, CASE WHEN f.ge - f.gs < 8 THEN f.gs ELSE n.s END, n.e, CASE WHEN f.ge - f.gs < 8 THEN f.g ELSE f.g + 1 END FROM f JOIN n ON n.video_id = f.video_id AND n.rn = f.rn + 1),
 m AS (SELECT video_id, g, arg_max(gs, rn) AS s, arg_max(ge, rn) AS e FROM f GROUP BY video_id, g),
 t AS (SELECT *, max(g) OVER (PARTITION BY video_id) AS last FROM m),
-x AS (SELECT video_id, CASE WHEN g = last AND g > 1 AND e - s < 48 THEN g - 1 ELSE g END AS g, s, e FROM t)
+x AS (SELECT video_id, CASE WHEN g = last AND g > 1 AND e - s < 8 THEN g - 1 ELSE g END AS g, s, e FROM t)
 SELECT video_id, min(s) AS s, arg_max(e, s) AS e FROM x GROUP BY video_id, g""")
 def micro_shot_merge(spark, d):
     rows = seg(spark, d, "video_id", "frame_start", "frame_end", kinds=("shot",))
-    return folds.merge_micro_shots(rows.select("video_id", F.col("frame_start").alias("s"), (F.col("frame_end") + 1).alias("e")), "video_id", min_frames=48)
+    return folds.merge_micro_shots(rows.select("video_id", F.col("frame_start").alias("s"), (F.col("frame_end") + 1).alias("e")), "video_id")
 
 
 def _frames(spark: SparkSession, d: str) -> DataFrame:
     rows = seg(spark, d, "video_id", "frame_start", "payload", kinds=("frame",)).withColumn("v", parsed(F.col("payload")))
     return rows.select(
         "video_id", whole_text(text_at(F.col("v"), "$.shot_index")).alias("shot_index"), "id", F.col("frame_start").alias("frame"), text_at(F.col("v"), "$.dhash").alias("dhash"),
-        text_at(F.col("v"), "$.person_count").try_cast("int").alias("people"), (text_at(F.col("v"), "$.is_representative") == "true").alias("is_rep"),
+        text_at(F.col("v"), "$.person_count").try_cast("int").alias("people"), truthy(F.col("v"), "$.is_representative").alias("is_rep"),
     ).filter("shot_index is not null")
 
 
 _FRAMES = """fr AS (SELECT video_id, CAST(CAST(CAST(json_extract_string(payload, '$.shot_index') AS DOUBLE) AS BIGINT) AS VARCHAR) AS si, id, frame_start AS frame, json_extract_string(payload, '$.dhash') AS h,
-CAST(json_extract_string(payload, '$.person_count') AS INT) AS pc, json_extract_string(payload, '$.is_representative') = 'true' AS is_rep FROM seg WHERE kind = 'frame' AND json_extract_string(payload, '$.shot_index') IS NOT NULL)"""
+CAST(json_extract_string(payload, '$.person_count') AS INT) AS pc, json_valid(payload) AND coalesce(json_type(payload, '$.is_representative'), 'NULL') <> 'NULL' AND json_extract_string(payload, '$.is_representative') NOT IN ('', '[]', '{}') AND NOT (json_type(payload, '$.is_representative') = 'BOOLEAN' AND json_extract_string(payload, '$.is_representative') = 'false') AND NOT (json_type(payload, '$.is_representative') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND TRY_CAST(json_extract_string(payload, '$.is_representative') AS DOUBLE) = 0) AS is_rep FROM seg WHERE kind = 'frame' AND json_extract_string(payload, '$.shot_index') IS NOT NULL)"""
 
 
 def _sql_bits(a: str, b: str) -> str:
@@ -436,11 +436,11 @@ def motion_label(spark, d):
 
 @query(f"""WITH {_SEG}, o AS (SELECT video_id, frame_start AS pos, id, json_extract_string(payload, '$.caption_error') IS NOT NULL AS failed FROM seg WHERE kind = 'shot'),
 p AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY pos, id) AS position, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY pos, id ROWS UNBOUNDED PRECEDING) AS ok FROM o),
-r AS (SELECT *, row_number() OVER (PARTITION BY video_id, ok ORDER BY pos, id) AS run FROM p WHERE failed), s AS (SELECT video_id, max(run) AS longest, min(position) FILTER (run >= 2) AS trips_at FROM r GROUP BY video_id)
+r AS (SELECT *, row_number() OVER (PARTITION BY video_id, ok ORDER BY pos, id) AS run FROM p WHERE failed), s AS (SELECT video_id, max(run) AS longest, min(position) FILTER (run >= 5) AS trips_at FROM r GROUP BY video_id)
 SELECT v.video_id, coalesce(longest, 0) AS longest, trips_at FROM (SELECT DISTINCT video_id FROM o) v LEFT JOIN s USING (video_id)""")
 def breaker_runs(spark, d):
     rows = seg(spark, d, "video_id", "frame_start", "payload", kinds=("shot",)).select("video_id", F.struct("frame_start", "id").alias("at"), text_at(parsed(F.col("payload")), "$.caption_error").isNotNull().alias("failed"))
-    return frames.failure_runs(rows, "video_id", limit=2)
+    return frames.failure_runs(rows, "video_id")
 
 
 @query("""WITH b AS (SELECT l_orderkey, count(*) FILTER (l_linenumber % 3 = 1 AND l_discount * 10 >= 0.5) AS n, max(CASE WHEN l_linenumber % 3 = 1 AND l_discount * 10 >= 0.5 THEN l_quantity * l_linenumber END) AS area FROM lineitem GROUP BY l_orderkey)
@@ -474,10 +474,35 @@ def word_clamp(spark, d):
     return _words(spark, d).select("id", "pos", t0.alias("t0"), t1.alias("t1"))
 
 
-@query(f"WITH {_SEG}, {_WORDS} SELECT id, upper(substr(w, 1, 1)) AS word, min(t0) AS t0, max(t1) AS t1 FROM wt GROUP BY id, upper(substr(w, 1, 1))")
+_LETTERS = "regexp_replace(upper(replace(trim(w), 'ß', 'ss')), '[^A-Z'']', '', 'g')"
+
+
+@query(f"""WITH {_SEG}, {_WORDS}, lt AS (SELECT id, pos, t0, t1, length({_LETTERS}) AS n FROM wt), tk AS (SELECT id, pos, t0 + i * (t1 - t0) / n AS a, t0 + (i + 1) * (t1 - t0) / n AS b FROM (SELECT *, unnest(range(0, n)) AS i FROM lt WHERE n > 0))
+SELECT id, pos AS word, round(min(a), 6) AS t0, round(max(b), 6) AS t1 FROM tk GROUP BY id, pos""")
 def word_bounds(spark, d):
-    tokens = _words(spark, d).select("id", F.upper(F.substring("w", 1, 1)).alias("word"), F.col("t0").alias("start"), F.col("t1").alias("end"))
-    return words.word_bounds(tokens, ["id"])
+    """Spans of the letters of each word, evenly over its time, and the bounds of the word from them."""
+    n = F.size(text.spoken_letters(F.col("w")))
+    letters = _words(spark, d).withColumn("n", n).filter("n > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    at = lambda i: F.col("t0") + i * (F.col("t1") - F.col("t0")) / F.col("n")
+    tokens = letters.select("id", F.col("pos").alias("word"), at(F.col("i")).alias("start"), at(F.col("i") + 1).alias("end"))
+    return words.word_bounds(tokens, ["id"]).select("id", "word", F.round("t0", 6).alias("t0"), F.round("t1", 6).alias("t1"))
+
+
+@query(f"""WITH {_SEG}, {_WORDS}, lt AS (SELECT id, pos, length({_LETTERS}) AS n FROM wt) SELECT id, CAST(sum(n) AS BIGINT) AS tokens, count(*) FILTER (n > 0) - 1 AS separators FROM lt GROUP BY id HAVING sum(n) > 0""")
+def token_owners(spark, d):
+    """Tokens of all words of a sentence, joined by separators that own no word."""
+    sentences = _words(spark, d).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("l"))  # the words of one sentence
+    owned = words.token_owners(F.transform("l", lambda x: text.spoken_letters(x["w"])))
+    rows = sentences.select("id", F.explode(owned).alias("t")).select("id", "t.*")
+    return rows.groupBy("id").agg(F.count("word").alias("tokens"), F.count_if(F.col("word").isNull()).alias("separators"))
+
+
+@query(f"WITH {_SEG}, {_WORDS} SELECT id, pos, CASE WHEN t1 <= t0 THEN {_CLAMP.format(a='t0')} ELSE t0 END AS t0, CASE WHEN t1 <= t0 THEN round(least(greatest(t1, least(greatest(t0, s), e - 0.02) + 0.02), e), 3) ELSE t1 END AS t1 FROM wt")
+def word_repair(spark, d):
+    """Words that end no later than they begin are given their least length, the others stay."""
+    word = F.struct("w", "t0", "t1", F.lit(None).cast("double").alias("prob"))
+    fixed = words.repair_words(F.array(word), F.col("s"), F.col("e"))[0]
+    return _words(spark, d).select("id", "pos", fixed["t0"].alias("t0"), fixed["t1"].alias("t1"))
 
 
 @query(f"""WITH {_SEG}, {_WORDS} SELECT id, pos, list_filter(list_transform(regexp_extract_all(upper(replace(trim(w), 'ß', 'ss')), '(?s).'), lambda c: CAST(instr('ABCDEFGHIJKLMNOPQRSTUVWXYZ''', c) AS INT)), lambda p: p > 0) AS tokens FROM wt""")
@@ -668,11 +693,15 @@ def set_embedding_bulk(spark, d):
     return store.attach(rows, new).select("id", "model_name", "dim", F.size("embedding").cast("bigint").alias("n"))
 
 
-@query(f"WITH {_SEG} SELECT DISTINCT json_extract_string(payload, '$.frame_path') AS name FROM seg WHERE kind = 'frame' EXCEPT SELECT DISTINCT json_extract_string(payload, '$.frame_path') FROM seg WHERE kind = 'caption'")
+@query("""WITH n AS (SELECT kind, CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.frame_path') END AS name FROM segments), g AS (SELECT CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.frame_path') END AS name FROM segment_deletes WHERE kind = 'frame')
+SELECT name FROM (SELECT name FROM n WHERE kind = 'frame' UNION SELECT name FROM g) WHERE name IS NOT NULL EXCEPT SELECT name FROM n WHERE kind = 'frame'""")
 def orphan_prune(spark, d):
+    """The files that were written for frames, also for those that a re-run has deleted, and that no frame names any more."""
     path = text_at(parsed(F.col("payload")), "$.frame_path").alias("name")
-    rows = table(spark, d, "segments")
-    return store.orphan_files(rows.filter("kind = 'frame'").select(path).distinct(), rows.filter("kind = 'caption'").select(path).distinct())
+    rows = table(spark, d, "segments").filter("kind = 'frame'").select(path)
+    gone = table(spark, d, "segment_deletes").filter("kind = 'frame'").select(path)
+    files = rows.unionByName(gone).filter("name is not null").distinct()
+    return store.orphan_files(files, rows.distinct())
 
 
 @query(_WINDOWS + """, ex AS (SELECT video_id, t_start_s AS s, t_end_s AS e, json_extract_string(payload, '$.text') AS text, list_transform(json_extract(payload, '$.source_speech_ids[*]'), lambda j: try_cast(j->>'$' AS DOUBLE)) AS ids FROM seg WHERE kind = 'speech_window'),
@@ -694,6 +723,46 @@ def audio_reuse_check(spark, d):
     return store.tiling_matches(stored, spans(spark, d), model=MODELS["audio"])
 
 
+@query("""WITH k(kind, space) AS (VALUES ('frame', 'image'), ('speech_window', 'text'), ('caption', 'text'), ('audio_window', 'audio'))
+SELECT space, model_name, count(DISTINCT id) AS vectors FROM segments JOIN k USING (kind) WHERE embedding IS NOT NULL GROUP BY ALL""")
+def stored_spaces(spark, d):
+    """The models of each space with their vectors, as the check before a search sees them."""
+    rows = table(spark, d, "segments").filter("embedding is not null").select("id", "kind", "model_name")
+    own = F.create_map(*[F.lit(x) for space, kinds in SPACE_KINDS.items() for kind in kinds for x in (kind, space)])
+    return rows.withColumn("space", own[F.col("kind")]).filter("space is not null").groupBy("space", "model_name").agg(F.countDistinct("id").alias("vectors"))
+
+
+@query("""WITH v AS (SELECT DISTINCT id, dim, CAST(embedding AS DOUBLE[]) AS e FROM segments WHERE len(embedding) = dim AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0), n AS (SELECT id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v)
+SELECT id, round(CAST(CAST(e[1] / n AS FLOAT) AS DOUBLE), 5) AS first, round(CAST(CAST(e[-1] / n AS FLOAT) AS DOUBLE), 5) AS last FROM n WHERE n > 0""")
+def unit_vectors(spark, d):
+    """First and last value of each vector at length one."""
+    rows = table(spark, d, "segments").filter("size(embedding) = dim").select("id", "embedding").dropDuplicates(["id"]).select("id", vectors.unit(F.col("embedding")).alias("u"))
+    finite = F.forall("u", lambda x: F.abs(x) <= 1.001)
+    return rows.filter(F.col("u").isNotNull() & finite).select("id", F.round(F.col("u")[0].cast("double"), 5).alias("first"), F.round(F.element_at("u", -1).cast("double"), 5).alias("last"))
+
+
+@query("SELECT j.video_id, coalesce(bool_or(status = 'failed'), false) AS unfinished, count(*) FILTER (status = 'done') AS done FROM (SELECT * FROM jobs QUALIFY row_number() OVER (PARTITION BY video_id, stage ORDER BY updated_at DESC) = 1) j GROUP BY 1")
+def video_progress(spark, d):
+    """Stages done per video, and whether one has failed."""
+    rows = jobs.latest(table(spark, d, "jobs"))
+    return rows.groupBy("video_id").agg(F.coalesce(F.bool_or(F.col("status") == jobs.FAILED), F.lit(False)).alias("unfinished"), F.count_if(F.col("status") == jobs.DONE).alias("done"))
+
+
+@query(f"""WITH {_SEG}, ix AS (SELECT *, CASE WHEN json_valid(payload) THEN payload END AS p FROM seg WHERE kind = 'shot'), n AS (SELECT id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY frame_start, id) - 1 AS INT) AS shot_index FROM ix WHERE frame_start IS NOT NULL) SELECT * FROM n""")
+def shot_numbers(spark, d):
+    """Shots numbered by their start in each video."""
+    n = F.row_number().over(Window.partitionBy("video_id").orderBy("frame_start", "id")) - 1
+    return seg(spark, d, "video_id", "frame_start", kinds=("shot",)).filter("frame_start is not null").select("id", n.alias("shot_index"))
+
+
+@query(f"""WITH {_SEG}, sh AS (SELECT video_id, frame_start AS s, frame_end + 1 AS e FROM seg WHERE kind = 'shot' AND frame_start IS NOT NULL AND frame_end IS NOT NULL), u AS (SELECT video_id, frame_count - 3 AS usable FROM videos),
+n AS (SELECT u.video_id, s, e, usable, row_number() OVER (PARTITION BY u.video_id ORDER BY s DESC, e DESC) AS r FROM u LEFT JOIN sh USING (video_id)) SELECT video_id, coalesce(s, 0) AS s, CASE WHEN r = 1 THEN usable ELSE e END AS e FROM n""")
+def scenes_reconciled(spark, d):
+    """Scenes of all videos, the last one up to the frames that can be decoded, and one scene for a video without any."""
+    scenes = seg(spark, d, "video_id", "frame_start", "frame_end", kinds=("shot",)).select("video_id", F.col("frame_start").alias("s"), (F.col("frame_end") + 1).alias("e"))
+    return folds.reconciled(scenes, table(spark, d, "videos").select("video_id", (F.col("frame_count") - 3).alias("usable")))
+
+
 # --- scoring -----------------------------------------------------------------------------------------------------------
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import subprocess
+import uuid
 import wave
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -27,8 +29,6 @@ def file_hashes(spark: SparkSession, pattern: str) -> DataFrame:
 
 def hash_file(path: str | Path, chunk: int = 1 << 20) -> str:
     """SHA-256 of one file, read in chunks; for files too large for a row."""
-    import hashlib
-
     digest = hashlib.sha256()
     with open(path, "rb") as file:
         while block := file.read(chunk):
@@ -50,12 +50,39 @@ def wav_seconds(content: bytes) -> float:
         return w.getnframes() / w.getframerate()
 
 
-def wav_duration(content: Column | str) -> Column:
-    """Seconds of WAV files from the first bytes of each."""
-    def run(series: pd.Series) -> pd.Series:
-        return series.map(lambda c: wav_seconds(bytes(c)))
+def header_seconds(head: bytes, size: int) -> float:
+    """Length of a PCM WAV from its first bytes and the size of its file; ValueError if they hold no format and data chunk. A data size that was never filled in counts to the end of the file."""
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
+        raise ValueError("not a WAV file")
+    at, rate = 12, 0
+    while at + 8 <= len(head):
+        name, length = head[at : at + 4], int.from_bytes(head[at + 4 : at + 8], "little")
+        if name == b"fmt ":
+            rate = int.from_bytes(head[at + 16 : at + 20], "little")  # bytes per second
+        if name == b"data":
+            if not rate:
+                break
+            there = size - at - 8
+            return (there if length in (0, 0xFFFFFFFF) else min(length, there)) / rate
+        at += 8 + length + length % 2
+    raise ValueError("no format and data chunk in the first bytes")
+
+
+def wav_durations(paths: DataFrame, first: int = 4096) -> DataFrame:
+    """path, seconds and error of WAV files in a shared folder: only their first bytes are read, whatever their length."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path in batch["path"]:
+                try:
+                    with open(path.removeprefix("file:"), "rb") as file:
+                        head = file.read(first)
+                        out.append((path, header_seconds(head, file.seek(0, io.SEEK_END)), None))
+                except (OSError, ValueError) as error:
+                    out.append((path, None, str(error)[:300]))
+            yield pd.DataFrame(out, columns=["path", "seconds", "error"])
 
-    return F.pandas_udf(run, "double")(content)
+    return paths.select("path").mapInPandas(run, "path string, seconds double, error string")
 
 
 def wav_16k(content: Column | str) -> Column:
@@ -77,6 +104,11 @@ def probe_fields(output: Column) -> Column:
     return F.struct(number(p["format"]["duration"]).alias("duration"), streams.alias("streams"))
 
 
+def counted_frames(stream: Column) -> Column:
+    """The frames that a probe has counted; an error if it did not, as the length of a video must not be guessed."""
+    return F.coalesce(stream["frames"], F.raise_error(F.lit("the probe counted no frames")).cast("bigint"))
+
+
 def first_stream(probe: Column, codec_type: str) -> Column:
     """The first stream of a type; null without one."""
     return F.get(F.filter(probe["streams"], lambda s: s["codec_type"] == codec_type), F.lit(0))
@@ -98,6 +130,88 @@ def run_tool(paths: DataFrame, command: Callable[[str], list[str]], timeout: flo
     return paths.select("path").mapInPandas(run, "path string, output string, error string")
 
 
+def made_once(files: DataFrame, command: Callable[[str, str], list[str]], timeout: float = 3600.0) -> DataFrame:
+    """source, target, made and error for files (source, target) in a shared folder: a target that is there is kept, else a tool writes it aside, and it is renamed when whole.
+
+    command(source, part) is the tool's command line: extraction of an audio track at some rate, an encoder, and the like. A tool that was stopped leaves no target.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for source, target in batch[["source", "target"]].itertuples(index=False, name=None):
+                path = Path(target)
+                if path.exists():
+                    out.append((source, target, False, None))
+                    continue
+                path.parent.mkdir(parents=True, exist_ok=True)
+                part = path.with_name(f".{uuid.uuid4().hex}-{path.name}")  # the ending stays, as tools go by it
+                try:
+                    subprocess.run(command(source, str(part)), capture_output=True, timeout=timeout, check=True)
+                    part.replace(path)
+                    out.append((source, target, True, None))
+                except (OSError, subprocess.SubprocessError) as error:
+                    part.unlink(missing_ok=True)
+                    said = getattr(error, "stderr", None) or b""
+                    out.append((source, target, False, (str(error) + ": " + said.decode(errors="replace")[-300:])[:600]))
+            yield pd.DataFrame(out, columns=["source", "target", "made", "error"])
+
+    return files.select("source", "target").mapInPandas(run, "source string, target string, made boolean, error string")
+
+
+def audio_command(rate: int) -> Callable[[str, str], list[str]]:
+    """The command that extracts a mono 16-bit WAV at a rate, on the clock of the video."""
+    return lambda source, part: ["ffmpeg", "-y", "-i", source, "-vn", "-af", "aresample=async=1:first_pts=0", "-ac", "1", "-ar", str(rate), "-c:a", "pcm_s16le", "-f", "wav", part]
+
+
+def download_command(url: str, template: str, height: int = 1080) -> list[str]:
+    """The command that fetches a video of at most a height, as one file."""
+    return ["yt-dlp", "-f", f"bestvideo[height<={height}]+bestaudio/best[height<={height}]/best", "--merge-output-format", "mp4", "-o", template, url]
+
+
+def downloaded(urls: DataFrame, root: str, command: Callable[[str, str], list[str]] = download_command, attempts: int = 3, timeout: float = 7200.0) -> DataFrame:
+    """url, path and error of addresses (url), each in a folder of its own under root, named by the hash of the address; a whole command is tried again, up to the attempts, and goes on with what it has."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for url in batch["url"]:
+                folder = Path(root) / hashlib.sha256(url.encode()).hexdigest()[:16]
+                folder.mkdir(parents=True, exist_ok=True)
+                error = None
+                for _ in range(attempts):
+                    try:
+                        subprocess.run(command(url, str(folder / "source.%(ext)s")), capture_output=True, timeout=timeout, check=True)
+                        error = None
+                        break
+                    except (OSError, subprocess.SubprocessError) as problem:
+                        error = str(problem)[:500]
+                found = sorted(x for x in folder.glob("source.*") if x.suffix != ".part")
+                out.append((url, str(found[0]) if found and not error else None, error or (None if found else "no file was made")))
+            yield pd.DataFrame(out, columns=["url", "path", "error"])
+
+    return urls.select("url").mapInPandas(run, "url string, path string, error string")
+
+
+def frame_command(path: str, seconds: float) -> list[str]:
+    """The command that writes one frame as JPEG to its output."""
+    return ["ffmpeg", "-v", "error", "-ss", f"{seconds:.6f}", "-i", path, "-frames:v", "1", "-f", "image2pipe", "-c:v", "mjpeg", "-"]
+
+
+def frame_images(candidates: DataFrame, command: Callable[[str, float], list[str]] = frame_command, timeout: float = 120.0) -> DataFrame:
+    """video_id, frame, content and error of frames (video_id, media_path, frame, seconds), decoded one by one on the executors."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for video, path, frame, seconds in batch[["video_id", "media_path", "frame", "seconds"]].itertuples(index=False, name=None):
+                content = error = None
+                try:
+                    content = subprocess.run(command(path, seconds), capture_output=True, timeout=timeout, check=True).stdout or None
+                    error = None if content else f"frame {frame} of {path} cannot be decoded"
+                except (OSError, subprocess.SubprocessError) as problem:
+                    error = str(problem)[:500]
+                yield pd.DataFrame({"video_id": [video], "frame": [frame], "content": [content], "error": [error]})
+
+    return candidates.select("video_id", "media_path", "frame", "seconds").mapInPandas(run, "video_id string, frame bigint, content binary, error string")
+
+
 def write_frames(images: DataFrame, folder: str) -> DataFrame:
     """Write images (video_id, frame, content) as f{frame:08d}.jpg under a shared folder per video: video_id, frame, frame_path (relative). Files are written aside and renamed."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

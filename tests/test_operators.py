@@ -255,7 +255,7 @@ def test_media_files(spark, tmp_path):
 
     (tmp_path / "a.wav").write_bytes(wav(16000))
     df = files.files(spark, str(tmp_path))
-    assert df.select(files.wav_duration("content")).first()[0] == pytest.approx(0.1)
+    assert files.wav_durations(df).first()["seconds"] == pytest.approx(0.1)
     assert len(df.select(files.wav_16k("content")).first()[0]) == 1600
     for bad in (wav(8000), wav(16000, 2)):
         with pytest.raises(RuntimeError):
@@ -391,3 +391,55 @@ def test_merge_and_complement_over_blocks_against_brute_force(spark):
     totals = spark.createDataFrame(list(spans.items()), "v string, span double")
     assert {tuple(r) for r in intervals.complement(df, totals, "v").collect()} == gaps
     assert intervals.merge(df.limit(0), "v").count() == 0
+
+
+def test_tools_write_once_and_try_again(spark, tmp_path):
+    from cutloom.sources import media as sources
+
+    (tmp_path / "a.mp4").write_text("sound")
+    files = spark.createDataFrame([(str(tmp_path / "a.mp4"), str(tmp_path / "out/a.wav")), (str(tmp_path / "none.mp4"), str(tmp_path / "out/b.wav"))], "source string, target string")
+    copy = lambda source, part: ["cp", source, part]
+    first = {r["target"][-5:]: r for r in sources.made_once(files, copy).collect()}
+    assert first["a.wav"]["made"] and (tmp_path / "out/a.wav").read_text() == "sound" and first["b.wav"]["error"]
+    (tmp_path / "a.mp4").write_text("other")
+    assert not any(r["made"] for r in sources.made_once(files, copy).collect()) and (tmp_path / "out/a.wav").read_text() == "sound"
+    assert sorted(x.name for x in (tmp_path / "out").iterdir()) == ["a.wav"]
+
+    third = lambda url, template: ["sh", "-c", f'n=$(cat {tmp_path}/n 2>/dev/null || echo 0); echo $((n+1)) > {tmp_path}/n; [ "$n" -ge 2 ] && echo x > "{template}"'.replace("%(ext)s", "mp4")]
+    urls = spark.createDataFrame([("https://clips.example/a",)], "url string")
+    got = sources.downloaded(urls, str(tmp_path / "staging"), third).first()
+    assert got["error"] is None and got["path"].endswith("source.mp4") and len(got["path"].split("/")[-2]) == 16
+    assert sources.downloaded(urls, str(tmp_path / "other"), lambda u, t: ["false"]).first()["path"] is None
+    assert "height<=1080" in sources.download_command("u", "t")[2] and "16000" in sources.audio_command(16000)("a", "b")
+    frames_of = spark.createDataFrame([("v", "a.mp4", 3, 0.1), ("v", "a.mp4", 4, 0.2)], "video_id string, media_path string, frame long, seconds double")
+    shown = {r["frame"]: r for r in sources.frame_images(frames_of, lambda p, s: ["printf", f"{s}"] if s < 0.15 else ["true"]).collect()}
+    assert bytes(shown[3]["content"]) == b"0.1" and shown[4]["content"] is None and shown[4]["error"]
+
+
+def test_wav_lengths_from_the_first_bytes(spark, tmp_path):
+    from cutloom.sources import media as sources
+
+    with wave.open(str(tmp_path / "a.wav"), "wb") as w:
+        w.setnchannels(1), w.setsampwidth(2), w.setframerate(16000)
+        w.writeframes(b"\0\0" * 40_000)
+    whole = (tmp_path / "a.wav").read_bytes()
+    (tmp_path / "open.wav").write_bytes(whole[:40] + b"\xff" * 4 + whole[44:])
+    (tmp_path / "no.wav").write_bytes(b"RIFF....WAVE")
+    paths = spark.createDataFrame([(f"file:{tmp_path}/{x}.wav",) for x in ("a", "open", "no", "absent")], "path string")
+    got = {r["path"].split("/")[-1]: r for r in sources.wav_durations(paths).collect()}
+    assert got["a.wav"]["seconds"] == got["open.wav"]["seconds"] == 2.5 and got["no.wav"]["error"] and got["absent.wav"]["error"]
+
+
+def test_unknown_segments_cannot_be_patched(spark):
+    old = spark.createDataFrame([(1, "{}")], "id long, payload string")
+    with pytest.raises(KeyError):
+        store.checked_patches(old, spark.createDataFrame([(2, "{}")], "id long, updates string"))
+
+
+def test_lines_of_search(spark, data, capsys):
+    from cutloom.cli import main
+
+    assert main(["--data", data, "search", "a red kite", "-k", "4"], spark) == 0
+    lines = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert len(lines) == 4 and all(list(x) == ["video", "kind", "t", "frames", "cut_t", "cut_frames", "rrf", "spaces", "preview"] for x in lines)
+    assert all(s["rank"] >= 1 and s["dist"] == round(s["dist"], 4) for x in lines for s in x["spaces"].values())
