@@ -14,7 +14,7 @@ from cutloom.models import HashEncoder
 from cutloom.operators import listing, search
 from cutloom.operators.store import SnapshotStore
 from cutloom.pipeline import Runner, default_stages
-from cutloom.session import local_session, settled
+from cutloom.session import local_session
 from cutloom.sources import table
 from cutloom.sources.media import info
 
@@ -76,7 +76,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, encod
         else:
             encoders = encoders or {space: HashEncoder(model) for space, model in config.models.items()}
             wanted = {s: encoders[s].encode([prefixed(args.query, config.query_prefix) if s == "text" else args.query])[0].tolist() for s in search.active_spaces(args.kind)}
-            hits = settled(search.search(segments, wanted, {s: e.name for s, e in encoders.items()}, k=args.k, kinds=args.kind, video_id=args.video))
+            hits = search.hits(segments, wanted, {s: e.name for s, e in encoders.items()}, k=args.k, kinds=args.kind, video_id=args.video)
             lines = listing.search_lines(search.refined(hits, segments, wanted.get("text"), lambda: encoders["text"]))
         for line in lines.toLocalIterator():
             print(line["line"])

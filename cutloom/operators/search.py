@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cutloom.config import SPACE_KINDS
@@ -66,48 +66,78 @@ def require_spaces(segments: DataFrame, models: Mapping[str, str], spaces: Mappi
     """RuntimeError if vectors are stored for a space's kinds but none of its model; nothing stored is fine. One scan for all spaces."""
     rows = segments.filter(F.col("embedding").isNotNull() & F.col("kind").isin(*[k for kinds in spaces.values() for k in kinds]))
     rows = rows if video_id is None else rows.filter(F.col("video_id") == video_id)
-    pairs = {(r["kind"], r["model_name"]) for r in rows.select("kind", "model_name").distinct().collect()}
+    _check_models({(r["kind"], r["model_name"]) for r in rows.select("kind", "model_name").distinct().collect()}, models, spaces)
+
+
+def _check_models(pairs: set[tuple[str, str]], models: Mapping[str, str], spaces: Mapping[str, Sequence[str]]) -> None:
     for space, kinds in spaces.items():
         stored = {m for k, m in pairs if k in kinds}
         if stored and models[space] not in stored:
             raise RuntimeError(f"the query's model {models[space]!r} is not among the stored ones {sorted(map(str, stored))} for {tuple(kinds)}; embed these kinds again")
 
 
-def fuse(ranked: DataFrame, k: int, *, constant: int = 60, group: Sequence[str] = ()) -> DataFrame:
+def fuse(ranked: DataFrame, k: int, *, constant: int = 60, group: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
     """Reciprocal rank fusion of (id, space, space_ord, rank, dist): id, rrf_score, per_space, position.
 
-    Ties keep the order of admission: space, then rank, then id. With group columns each group is ranked by itself.
+    Ties keep the order of admission: space, then rank, then id. With group columns each group is ranked by itself. keep: columns of an id to keep.
     """
     keys = [*group, "id"]
     fused = ranked.groupBy(*keys).agg(
         F.sum(1.0 / (F.lit(float(constant)) + F.col("rank"))).alias("rrf_score"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("space", F.struct("rank", "dist"))))).alias("per_space"),
         F.min(F.struct("space_ord", "rank")).alias("admitted"),
+        *[F.first(c).alias(c) for c in keep],
     )
     order = Window.partitionBy(*(group or [F.lit(0)])).orderBy(F.desc("rrf_score"), "admitted", "id")
     return fused.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k).drop("admitted")
 
 
-def search(segments: DataFrame, queries: Mapping[str, Sequence[float]], models: Mapping[str, str], *, k: int = 10, kinds: Sequence[str] | None = None, video_id: str | None = None, check: bool = True) -> DataFrame:
-    """Ranked hits over all active spaces: id, rrf_score, per_space, position. queries and models hold a vector and a model per space."""
+def _searched(queries: Mapping[str, Sequence[float]], k: int, kinds: Sequence[str] | None) -> dict[str, tuple[str, ...]]:
+    """The kinds of each space that a search goes to. ValueError if there are none, or for k < 1."""
     if k < 1:
         raise ValueError("k must be at least 1")
     spaces = {s: own for s, own in active_spaces(kinds).items() if s in queries}
     if not spaces:
         raise ValueError("no query vector for the active spaces")
-    if check:
-        require_spaces(segments, models, spaces, video_id)
+    return spaces
+
+
+def _candidates(segments: DataFrame, spaces: Mapping[str, Sequence[str]], video_id: str | None) -> DataFrame:
     rows = segments.filter(F.col("embedding").isNotNull() & F.col("kind").isin(*[x for own in spaces.values() for x in own]))
-    rows = rows if video_id is None else rows.filter(F.col("video_id") == video_id)
+    return rows if video_id is None else rows.filter(F.col("video_id") == video_id)
+
+
+def _ranked(rows: DataFrame, queries: Mapping[str, Sequence[float]], models: Mapping[str, str], spaces: Mapping[str, Sequence[str]], k: int, keep: Sequence[str]) -> DataFrame:
     names, number = list(SPACE_KINDS), F.lit(None).cast("int")
     for name in spaces:
         mine = F.col("kind").isin(*spaces[name]) & (F.col("model_name") == models[name]) & (F.size("embedding") == len(queries[name]))
         number = F.when(mine, names.index(name)).otherwise(number)
-    placed = rows.select("id", number.alias("space_ord"), "embedding").filter("space_ord is not null")
+    placed = rows.select("id", number.alias("space_ord"), "embedding", *keep).filter("space_ord is not null")
     space = F.element_at(F.array(*map(F.lit, names)), F.col("space_ord") + 1)
     dist = distances(F.col("space_ord"), F.col("embedding"), {names.index(s): queries[s] for s in spaces})
-    scored = placed.select("id", space.alias("space"), "space_ord", dist.alias("dist")).filter("dist is not null and not isnan(dist)")
-    return fuse(_nearest(scored, k, "space"), k)
+    scored = placed.select("id", space.alias("space"), "space_ord", dist.alias("dist"), *keep).filter("dist is not null and not isnan(dist)")
+    return fuse(_nearest(scored, k, "space"), k, keep=keep)
+
+
+def search(segments: DataFrame, queries: Mapping[str, Sequence[float]], models: Mapping[str, str], *, k: int = 10, kinds: Sequence[str] | None = None, video_id: str | None = None, check: bool = True) -> DataFrame:
+    """Ranked hits over all active spaces: id, rrf_score, per_space, position. queries and models hold a vector and a model per space."""
+    spaces = _searched(queries, k, kinds)
+    if check:
+        require_spaces(segments, models, spaces, video_id)
+    return _ranked(_candidates(segments, spaces, video_id), queries, models, spaces, k, ())
+
+
+def hits(segments: DataFrame, queries: Mapping[str, Sequence[float]], models: Mapping[str, str], *, k: int = 10, kinds: Sequence[str] | None = None, video_id: str | None = None) -> DataFrame:
+    """The same hits as a local relation, with the columns of the list contract: one scan ranks them, keeps their rows, and observes the stored models, which are checked after it."""
+    spaces, seen = _searched(queries, k, kinds), Observation()
+    rows = _candidates(segments, spaces, video_id).observe(seen, F.collect_set(F.struct("kind", "model_name")).alias("models"))
+    keep = [c for c in CONTRACT if c in segments.columns and c != "id"]
+    found = settled(_ranked(rows, queries, models, spaces, k, keep))
+    if found.isEmpty():  # the optimiser may have left nothing to observe
+        require_spaces(segments, models, spaces, video_id)
+    else:
+        _check_models({(r["kind"], r["model_name"]) for r in seen.get["models"]}, models, spaces)
+    return found
 
 
 def _hint(df: DataFrame, bounded: bool) -> DataFrame:
@@ -166,11 +196,15 @@ def refined(hits: DataFrame, segments: DataFrame, query: Sequence[float] | None
     """The k hits of a search (a local relation with an id) with their rows and the range to cut.
 
     A frame gives its shot; a speech window that of its sentences which is most similar to the text query; all else, and what finds none, itself. Ids and videos
-    of the hits are literals, so every scan is pruned by them: one for the hits, one for shots if there are frames, one for speech if there are windows.
+    of the hits are literals, so every scan is pruned by them: one for hits that came without their rows, one for shots if there are frames, one for speech if there are windows.
     Columns added: those of the list contract, cut_start_s, cut_end_s, cut_frame_start, cut_frame_end.
     """
-    ids = [r["id"] for r in hits.select("id").collect()]
-    own = settled(segments.filter(F.col("id").isin(ids) if ids else F.lit(False)).select(*[c for c in CONTRACT if c in segments.columns]).dropDuplicates(["id"]))
+    contract = [c for c in CONTRACT if c in segments.columns]
+    if set(contract) <= set(hits.columns):
+        own, hits = hits.select(*contract), hits.drop(*[c for c in contract if c != "id"])
+    else:
+        ids = [r["id"] for r in hits.select("id").collect()]
+        own = settled(segments.filter(F.col("id").isin(ids) if ids else F.lit(False)).select(*contract).dropDuplicates(["id"]))
     frames = settled(own.filter("kind = 'frame'").select("id", "video_id", whole_text(text_at(parsed(F.col("payload")), "$.shot_index")).alias("shot_index")).filter("shot_index is not null"))
     windows = settled(own.filter("kind = 'speech_window'").select("id", window_source_ids(F.col("payload")).alias("source_ids")))
     spark = hits.sparkSession

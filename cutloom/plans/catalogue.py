@@ -13,7 +13,6 @@ from cutloom.functions import captions, media, text, vectors
 from cutloom.functions.values import parsed, text_at, truthy, whole_text
 from cutloom.models import HashEncoder
 from cutloom.operators import acceptance, folds, frames, intervals, jobs, listing, search, store, words
-from cutloom.session import settled
 from cutloom.sources import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -636,7 +635,7 @@ _REFINED = """f AS (SELECT h.id, h.position, g.kind, g.video_id, t_start_s, t_en
 @query(f"""WITH {_RANKED.format(where='')}, {_HITS}, {_SEG}, {_SHOT_OF}, {_REFINED}, {_sql_best("fw")}
 SELECT f.id, position, kind, coalesce(so.s, bs.s, t_start_s) AS cut_start_s, coalesce(so.e, bs.e, t_end_s) AS cut_end_s FROM f LEFT JOIN so USING (video_id, si) LEFT JOIN bs ON bs.id = f.id""")
 def search_end_to_end(spark, d):
-    hits = settled(_search(spark, d, 10))
+    hits = search.hits(table(spark, d, "segments"), dict.fromkeys(MODELS, QUERY), MODELS, k=10)
     return search.refined(hits, table(spark, d, "segments"), QUERY, HashEncoder).select("id", "position", "kind", "cut_start_s", "cut_end_s")
 
 
@@ -646,7 +645,7 @@ _SPOKEN = _RANKED.format(where="WHERE kind = 'speech_window'")
 @query(f"""WITH {_SPOKEN}, h AS ({_FUSED.format(k=5)}), {_SEG}, {_REFINED}, {_sql_best("fw")}
 SELECT f.id, position, coalesce(bs.s, t_start_s) AS cut_start_s, coalesce(bs.e, t_end_s) AS cut_end_s FROM f LEFT JOIN bs ON bs.id = f.id""")
 def search_speech_windows(spark, d):
-    hits = settled(_search(spark, d, 5, kinds=("speech_window",)))
+    hits = search.hits(table(spark, d, "segments"), dict.fromkeys(MODELS, QUERY), MODELS, k=5, kinds=("speech_window",))
     return search.refined(hits, table(spark, d, "segments"), QUERY, HashEncoder).select("id", "position", "cut_start_s", "cut_end_s")
 
 

@@ -443,3 +443,21 @@ def test_lines_of_search(spark, data, capsys):
     lines = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
     assert len(lines) == 4 and all(list(x) == ["video", "kind", "t", "frames", "cut_t", "cut_frames", "rrf", "spaces", "preview"] for x in lines)
     assert all(s["rank"] >= 1 and s["dist"] == round(s["dist"], 4) for x in lines for s in x["spaces"].values())
+
+
+def test_search_of_nothing_and_of_other_models(spark, data):
+    from cutloom.models import HashEncoder
+    from cutloom.schema import SEGMENTS
+
+    queries, models = {"text": [1.0, 0.0], "image": [1.0, 0.0]}, {"text": "m", "image": "m"}
+    empty = spark.createDataFrame([], SEGMENTS)
+    assert search.hits(empty, queries, models).count() == 0
+    row = lambda i, kind, model, v, payload="{}": (i, "v", kind, float(i), i + 1.0, i, i, model, 2, None, None, payload, v, None)
+    rows = [row(1, "caption", "m", [1.0, 0.0]), row(1, "caption", "m", [1.0, 0.0]), row(2, "caption", "m", [0.0, 0.0]), row(3, "speech_window", "m", [0.5, 0.5], '{"source_speech_ids": [7, "8.0", null, -1, 99]}'), row(7, "speech", None, None, '{"text": "red kite"}'), row(8, "speech", None, None, '{"text": " "}')]
+    df = spark.createDataFrame(rows, SEGMENTS)
+    found = search.hits(df, queries, models)
+    assert [(r["id"], r["position"], r["kind"]) for r in found.orderBy("position").collect()] == [(1, 1, "caption"), (3, 2, "speech_window")]
+    cut = {r["id"]: (r["cut_start_s"], r["cut_end_s"]) for r in search.refined(found, df, [1.0, 0.0], lambda: HashEncoder("m", 2)).collect()}
+    assert cut == {1: (1.0, 2.0), 3: (7.0, 8.0)} == {r["id"]: (r["cut_start_s"], r["cut_end_s"]) for r in search.refined(search.settled(found.select("id")), df, [1.0, 0.0], lambda: HashEncoder("m", 2)).collect()}
+    with pytest.raises(RuntimeError):
+        search.hits(df, queries, {"text": "other", "image": "m"})
