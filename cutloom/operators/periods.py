@@ -44,7 +44,7 @@ class IntervalMap:
 
 def _fold(names: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by key and block: the state of one key is held, and written out when the next key begins."""
+        """Rows come by key and block, in any order within them: the map of one key is held, and written out when the next key begins."""
         key, state = None, IntervalMap()
 
         def flushed() -> list[tuple]:
@@ -84,7 +84,7 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start_ms: str, end_ms: str,
     base = base.filter("s is not null and e is not null and e >= s").withColumn("block", F.floor(F.col("s") / block_ms).cast("bigint"))
     schema = T.StructType([*(base.schema[n] for n in names), T.StructField("s", T.LongType()), T.StructField("e", T.LongType()), T.StructField("prev_e", T.LongType()), T.StructField("last_in_block", T.BooleanType())])
     # The merged rows are read four times below; they are made once.
-    merged = cut_lineage(base.select(*names, "s", "e").repartition(*names).sortWithinPartitions(*names, "s").mapInPandas(_fold(names), schema))
+    merged = cut_lineage(base.select(*names, "s", "e").repartition(*names).sortWithinPartitions(*names).mapInPandas(_fold(names), schema))
 
     entity = names[:-1]
     by_block = Window.partitionBy(*entity).orderBy("block")
