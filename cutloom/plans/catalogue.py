@@ -766,15 +766,15 @@ def scenes_reconciled(spark, d):
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
-    """Served results, ranked per query by the old score, once per segment."""
-    rows = table(spark, d, "search_results").filter("rrf_score is not null")
-    order = Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), "segment_id", "result_id")
+    """Served results, ranked per query by the old score, those without one last, once per segment."""
+    rows = table(spark, d, "search_results")
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("rrf_score"), "segment_id", "result_id")
     first = rows.groupBy("query_id", "segment_id").agg(F.min_by(F.struct("result_id", "rrf_score", "cut_start_s", "cut_end_s", "per_space"), "result_id").alias("r")).select("query_id", "segment_id", "r.*")
     return first.withColumn("position", F.row_number().over(order)).filter("position <= 3")
 
 
-_RESULTS = """res AS (SELECT * FROM (SELECT * FROM search_results WHERE rrf_score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id, segment_id ORDER BY result_id) = 1) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, segment_id, result_id) <= 3),
-rp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, segment_id, result_id) AS position FROM res),
+_RESULTS = """res AS (SELECT * FROM (SELECT * FROM search_results QUALIFY row_number() OVER (PARTITION BY query_id, segment_id ORDER BY result_id) = 1) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC NULLS LAST, segment_id, result_id) <= 3),
+rp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC NULLS LAST, segment_id, result_id) AS position FROM res),
 gt AS (SELECT id AS query_id, containment_ok, unnest(gt_ranges) AS g FROM acceptance_queries WHERE len(gt_ranges) > 0),
 iu AS (SELECT rp.query_id, position, per_space, cut_start_s AS s, cut_end_s AS e, g[1] AS a, g[2] AS b, containment_ok, CASE WHEN greatest(cut_end_s, g[2]) - least(cut_start_s, g[1]) > 0 THEN greatest(0.0, least(cut_end_s, g[2]) - greatest(cut_start_s, g[1])) / (greatest(cut_end_s, g[2]) - least(cut_start_s, g[1])) ELSE 0 END AS iou FROM rp JOIN gt USING (query_id)),
 ok AS (SELECT query_id, min(position) AS position, arg_min(per_space, position) AS per_space FROM iu WHERE iou >= 0.5 OR abs(s - a) <= 0.5 OR (coalesce(containment_ok, false) AND s >= a AND e <= b) GROUP BY query_id),
