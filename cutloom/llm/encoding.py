@@ -25,7 +25,7 @@ BYTE_BPE_50K = "byte_bpe_50k.tiktoken"
 #: Fixed value: the public pattern that splits text into pre-tokens for this vocabulary.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Pre-tokens whose ids a worker remembers.
+#: Pre-tokens whose ids a worker remembers at least; it holds at most twice as many and those of one text.
 CACHE = 200_000
 
 
@@ -86,17 +86,20 @@ class Encoder:
         self.map = {i: c for i, c in enumerate(byte_chars())}
         self.inverse = {c: i for i, c in self.map.items()}
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; the empty list for null and empty ones. Strings of special tokens are ordinary text."""
         if not text:
             return []
         known, parts = self.known, self.split(text)
-        missing = list({p for p in parts if p not in known})
+        missing = {p for p in parts if p not in known}
         if missing:
-            if len(known) > CACHE:
-                known.clear()
-                missing = list(set(parts))
+            if len(known) > CACHE:  # what is still in use comes back from the older half
+                self.older, self.known = known, (known := {})
+                missing = set(parts)
+            known.update((p, self.older[p]) for p in missing if p in self.older)
+            missing = [p for p in missing if p not in known]
             mapped = [p.encode().decode("latin-1").translate(self.map) for p in missing]
             known.update(zip(missing, self.processor.encode(mapped, out_type=int, num_threads=1), strict=True))
         return [i for p in parts for i in known[p]]

@@ -269,6 +269,17 @@ def test_ids_equal_other_libraries_and_decode_back(spark):
     assert encoding.encode_corpus(df.limit(0), id_col="doc_id", text_col="text").count() == 0
 
 
+def test_cache_of_pre_tokens_is_bounded(monkeypatch):
+    monkeypatch.setattr(encoding, "CACHE", 50)
+    small, other = (encoding.Encoder(encoding.build_model(encoding._path(None))) for _ in range(2))
+    other.encode("warm")
+    for i in range(300):
+        text = f"the boat {i} and the pier w{i}x"
+        assert small.encode(text) == [x for p in other.split(text) for x in other.processor.encode(p.encode().decode("latin-1").translate(other.map))]
+        assert len(small.known) <= 70 and len(small.older) <= 70
+    assert " boat" in small.known or " boat" in small.older
+
+
 # --- mixing
 
 
