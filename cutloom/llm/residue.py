@@ -98,7 +98,7 @@ _THING = re.compile(
 _FAIL = re.compile(
     r"not (?:be )?(?:found|available|reachable|accessible|supported|permitted|authori[sz]ed)|(?:can(?:not| not|['’]t)|(?:could|did|does|do|is|was|were)(?: not|n['’]t)) (?:be )?(?:find|found|load|open|reach|connect|process|display|show|play|retriev|fetch|complet|respond|answer|exist|available|work|located)"
     r"|no longer (?:exist|available|online|supported|here)|ha(?:s|ve) (?:been )?(?:removed|deleted|moved|expired|timed out|run out|suspended)|(?:may|might) have (?:expired|moved|been)|(?:temporarily|currently) (?:offline|down|closed|unavailable)|do(?:es)? not have (?:permission|access|rights)|lack the rights"
-    r"|(?:was|were|been|is) (?:lost|deleted|removed|blocked|interrupted|disabled|suspended|rejected|closed)|unable to|trouble (?:finding|loading|opening|playing|connecting)|took too long|logged out|(?:is|are) (?:restricted|private|limited to|members only)|unavailable|unreachable|unauthori[sz]ed|forbidden|denied|refused|timed out|time-?out\b|expired|overloaded|failed to|failed\b|crashed|nothing (?:was )?found|invalid (?:request|link|address|key|session)"
+    r"|(?:was|were|been|is) (?:lost|deleted|removed|blocked|interrupted|disabled|suspended|rejected|closed)|unable to|trouble (?:finding|loading|opening|playing|connecting)|took too long|logged out|not allowed to|failed to|(?:are|is) (?:currently |temporarily )?offline|has ended|(?:is|are) (?:restricted|private|limited to|members only)|unavailable|unreachable|unauthori[sz]ed|forbidden|denied|refused|timed out|time-?out\b|expired|overloaded|failed to|failed\b|crashed|nothing (?:was )?found|invalid (?:request|link|address|key|session)"
     r"|nicht (?:mehr )?(?:gefunden|verfügbar|erreichbar|vorhanden|erlaubt|unterstützt|angezeigt|geladen|geöffnet|möglich)|existiert nicht|gibt es nicht mehr|antwortet nicht|k(?:ann|onnten?) nicht (?:\w+ ){0,3}werden|keine? (?:berechtigung|zugriff|verbindung)|abgelaufen|überlastet|gesperrt|gelöscht|entfernt worden|verweigert|fehlgeschlagen|(?:wurde|ist|sind) (?:\w+ ){0,2}(?:unterbrochen|gelöscht|entfernt|beendet|deaktiviert|abgelehnt)|konnten? (?:\w+ ){0,4}nicht"
     r"|introuvable|indisponible|inaccessible|n['’](?:existe|est) (?:plus|pas) ?(?:disponible|accessible|en ligne|autorisé)?|n['’](?:a|ai|ont|avons|avez) pas (?:pu|été)|(?:a|ont) été (?:supprim|interromp|bloqu|désactiv|retir|déplac|perdu)\w*|ne peut (?:pas )?(?:être|plus)|pas l['’]autorisation|pas autorisé|a expiré|expirée?\b|refusée?\b|interdite?\b|a été supprimée?|ne (?:répond|fonctionne) (?:pas|plus)|(?:limité|réservé|restreint)e?s? aux?\b|impossible d"
     r"|no (?:existe|está disponible|disponible|encontrad[oa]|(?:se )?(?:ha|hemos) podido|podemos|se (?:ha )?(?:encontr|pudo|puede)|encontramos|responde|funciona|tiene (?:permiso|acceso)|ha sido posible)|ha (?:caducado|expirado|fallado)|ha sido (?:eliminad|borrad|retirad|movid)|caducad[oa]|denegad[oa]|prohibid[oa]|(?:restringid|limitad|reservad)[oa]s? a\b", re.I,
@@ -113,11 +113,11 @@ _ACT = re.compile(
 #: Sentences that are an error by themselves.
 _ERROR_STRONG = re.compile(
     rf"\b(?:{_CODES})\b\W{{0,3}}(?:{_REASONS})\b|bad gateway|gateway time-?out|internal server error|service unavailable|too many (?:\w+ )?(?:requests|attempts|connections)|rate limit|page not found|access (?:denied|refused)|permission denied|(?:something|things?) (?:broke|went wrong)|nothing to see here|sign in again|(?:http|error|erreur|fehler|status|code)\W{{1,4}}(?:code\W{{1,3}})?[45]\d\d\b"
-    r"|(?:unexpected|unknown|internal|fatal|runtime|syntax|playback|network) error|(?:error|fehler|erreur) ?code\W{1,3}\w{3,}|error (?:occurred|establishing|while|loading|processing)|(?:scheduled|under|for|planned) maintenance|not available in your|not reachable|no object under"
+    r"|(?:unexpected|unknown|internal|fatal|runtime|syntax|playback|network) error|(?:error|fehler|erreur) ?code\W{1,3}\w{3,}|error (?:has )?(?:occurred|establishing|while|loading|processing)|no (?:internet|network|signal|data) ?connection|no (?:internet|network)\b|(?:sign|log) in to (?:view|continue|see|watch|access|read)|panicked at|\b[A-Z]{2,4}-\d{4,5}:|(?:scheduled|under|for|planned) maintenance|not available in your|not reachable|no object under"
     r"|traceback \(most recent|exception\b|stack trace|core dumped|<error>|\"error\"\s*:|\w+error:|segmentation fault|connection (?:refused|reset|lost)|^\W*(?:fatal|panic|critical|uncaught)\b|\b(?:we|i) (?:are|were|am) (?:having (?:trouble|problems)|unable)|\bwe (?:could|can) ?(?:not|n['’]t)|\bwe (?:couldn|can)['’]t|socket hang up|index out of range|null ?pointer|is not a function"
-    r"|zugriff (?:verweigert|nicht)|schiefgelaufen|nicht geklappt|zeitüberschreitung|zu viele (?:anfragen|versuche|nutzer|zugriffe|verbindungen)|fehler (?:aufgetreten|beim)|wartungsarbeiten|wird gewartet"
-    r"|accès (?:refusé|interdit)|délai (?:\S+ )?(?:dépassé|expiré)|(?:problème|erreur) (?:\w+ )?(?:est survenue?|s['’]est produite?|lors d)|erreur (?:inattendue|interne|inconnue)|trop de (?:requêtes|demandes|tentatives)|(?:en|de) maintenance"
-    r"|acceso (?:denegado|prohibido)|algo (?:falló|salió mal|ha ido mal)|demasiad[oa]s (?:solicitudes|peticiones|intentos)|error (?:inesperado|interno|desconocido|al )|(?:ha ocurrido|ha habido|ocurrió|se (?:ha producido|produjo)) un (?:error|problema|fallo)|(?:de|en) mantenimiento", re.I,
+    r"|zugriff (?:verweigert|nicht)|schiefgelaufen|nicht geklappt|zeitüberschreitung|melden sie sich an|bitte (?:anmelden|einloggen)|zu viele (?:anfragen|versuche|nutzer|zugriffe|verbindungen)|fehler (?:aufgetreten|beim)|wartungsarbeiten|wird gewartet"
+    r"|accès (?:refusé|interdit)|délai (?:\S+ )?(?:dépassé|expiré)|(?:problème|erreur) (?:\w+ )?(?:est survenue?|s['’]est produite?|lors d)|erreur (?:inattendue|interne|inconnue)|vous connecter|connectez-vous|trop de (?:requêtes|demandes|tentatives)|(?:en|de) maintenance"
+    r"|acceso (?:denegado|prohibido)|algo (?:falló|salió mal|ha ido mal)|inici[ae] sesión|iniciar sesión|demasiad[oa]s (?:solicitudes|peticiones|intentos)|error (?:inesperado|interno|desconocido|al )|(?:ha ocurrido|ha habido|ocurrió|se (?:ha producido|produjo)) un (?:error|problema|fallo)|(?:de|en) mantenimiento", re.I,
 )
 #: Codes that programs print; letters count.
 _ERROR_CODE = re.compile(r"\bE(?:CONN[A-Z]+|TIMEDOUT|NOENT|ACCES|PIPE|HOSTUNREACH|ADDRINUSE)\b|\b[A-Z][a-z]+(?:[A-Z][a-z]+)*(?:Exception|Error)\b")

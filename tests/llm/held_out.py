@@ -2,7 +2,8 @@
 
 The first pair of lists was written before the rules were; when these had been written, 69 of 72 texts of it were found and one other text with them,
 which led to three repairs. The second pair was written after that: 37 of 52 were found, and one other text. The rules were
-widened again, and the third pair was written and measured once after that; no rule was changed for it.
+widened again, and the third pair was written: 40 of 52 were found, and one other text. After a third widening the fourth pair was written: 28 of 42 were
+found, and no other text. The rules were widened a last time and not measured on new texts again: on texts of a new making a recall of about 0.7 is to be expected.
 """
 
 RESIDUE = [
@@ -60,3 +61,16 @@ CONTENT_3 = [
     "Der Kanal ist zugefroren.", "Die Nachricht kam mit der Post.", "Der Beitrag handelt von Bienen.", "Das Angebot auf dem Markt: Birnen und Brot.", "Er konnte gestern nicht kommen.", "La chaîne du vélo est cassée.", "Le message est arrivé trop tard.", "La connexion entre les deux villages est un pont.", "El canal está helado.", "El mensaje llegó por paloma.", "La cuenta, por favor, dice el viejo.", "Un perfil contra la ventana.",
     "The lecture is about error codes and what they mean.", "A poster with the words \"coming soon\" hangs in the hall.", "Die Dozentin erklärt, was {{Name}} bedeutet.", "Un cours sur les cookies et la vie privée.",
 ]
+
+#: Written after the third widening.
+RESIDUE_4 = [
+    "An error has occurred. Our team has been notified.", "The page you are looking for has moved.", "Please sign in to view this content.", "Sorry, you are not allowed to see this page.", "We are currently offline. Check back later.", "Failed to fetch", "This stream has ended.", "Your IP address has been blocked.", "Invalid request parameters", "No internet connection", "Server busy, please retry.", "403 Forbidden\nnginx",
+    "Der angeforderte Inhalt ist nicht verfügbar.", "Fehler 500: Interner Serverfehler", "Bitte melden Sie sich an, um fortzufahren.", "Diese Aufnahme wurde gelöscht.", "Verbindung fehlgeschlagen", "L'accès à cette page vous est interdit.", "Cette vidéo a été supprimée.", "Veuillez vous connecter pour continuer.", "Erreur lors du chargement", "Contenido no disponible en su región.", "Este enlace ya no existe.", "Inicie sesión para continuar.", "El archivo no se encuentra.",
+    "RuntimeError: CUDA out of memory", "thread 'main' panicked at src/main.rs:10", "ORA-12154: TNS:could not resolve the connect identifier", "Enable JavaScript to run this app.", "Scripts sind in Ihrem Browser blockiert.",
+    "Hello {{ first name }}!", "Dear ${customer.name},", "Bestellung #{order_id} ist unterwegs", "Bonjour <prénom>,", "Views: NaN", "Caption by undefined", "%%TITLE%% - %%DATE%%", "Lorem ipsum", "Sample description", "Text follows.", "Contenu provisoire", "Texto de prueba",
+]
+
+CONTENT_4 = [
+    "A man signs the guest book at the entrance.", "The old connection by ferry ends in autumn.", "Two boys block the stream with stones.", "The request show starts at nine with a waltz.", "A busy street, a server with a tray, a clock.", "He deleted the word and wrote another.", "The team has been on the road for a week.", "The archive keeps every tape.", "An invalid in a wheelchair feeds the pigeons.", "They moved the piano to the second floor.", "Die Aufnahme beginnt mit Regen.", "Der Inhalt der Kiste: drei Äpfel.", "Die Verbindung der beiden Brüder war eng.", "L'accès au phare se fait par un escalier.", "La vidéo commence au lever du jour.", "El archivo de la ciudad guarda cartas.", "El enlace de los novios fue en mayo.", "Sin permiso, el gato duerme en la silla.",
+    "The reporter explains why the site went down.", "A mural shows the words \"no signal\" over a broken television.",
+]

@@ -343,7 +343,7 @@ def test_residue_cases(spark):
     assert res.residue(df.limit(0), id_col="id", text_col="text", host_col="source").count() == 0
 
 
-@pytest.mark.parametrize("pair, recall, precision", [((held_out.RESIDUE, held_out.CONTENT), 0.95, 0.95), ((held_out.RESIDUE_2, held_out.CONTENT_2), 0.9, 0.9), ((held_out.RESIDUE_3, held_out.CONTENT_3), 0.75, 0.9)])
+@pytest.mark.parametrize("pair, recall, precision", [((held_out.RESIDUE, held_out.CONTENT), 0.95, 0.95), ((held_out.RESIDUE_2, held_out.CONTENT_2), 0.9, 0.9), ((held_out.RESIDUE_3, held_out.CONTENT_3), 0.9, 0.9), ((held_out.RESIDUE_4, held_out.CONTENT_4), 0.85, 0.9)])
 def test_texts_of_other_making(pair, recall, precision):
     def listed(texts):
         return sum(unfilled or strong >= 0.75 for unfilled, strong, *_ in map(res.signs, texts))
