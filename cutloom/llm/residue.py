@@ -212,7 +212,7 @@ def _top(items) -> list:
 
 
 #: For fragments that are too common: what holds, in lower case, where their signs do.
-_PROBES = {" moment": _ACT, "noch einmal ": _ACT, "at ": re.compile(r"at \w+\.\w"), "d/": re.compile(r"d/\d+\.\d")}
+_PROBES = {"-": re.compile(r"[a-z]{2,4}-\d{4}"), " moment": _ACT, "noch einmal ": _ACT, "at ": re.compile(r"at \w+\.\w"), "d/": re.compile(r"d/\d+\.\d")}
 
 
 @lru_cache(maxsize=1)
