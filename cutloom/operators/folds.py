@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 def streaming_fold(df: DataFrame, keys: list[str], order: list[str], schema: str, start: Callable[[], object]) -> DataFrame:
-    """Fold sorted rows per key. ``start`` makes a state with step(row) and end(), both giving output rows (tuples without keys)."""
+    """Fold sorted rows per key. ``start`` makes a state with step(row), a named tuple, and end(), both giving output rows (tuples without keys)."""
     columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -22,16 +22,16 @@ def streaming_fold(df: DataFrame, keys: list[str], order: list[str], schema: str
             out = []
             names = list(batch.columns)
             where = [names.index(k) for k in keys]
-            for values in batch.itertuples(index=False, name=None):
-                now = tuple(values[i] for i in where)
+            for row in batch.itertuples(index=False, name="Row"):
+                now = tuple(row[i] for i in where)
                 if now != key:
                     if state is not None:
-                        out += [(*key, *row) for row in state.end()]
+                        out += [(*key, *made) for made in state.end()]
                     key, state = now, start()
-                out += [(*key, *row) for row in state.step(dict(zip(names, values, strict=True)))]
+                out += [(*key, *made) for made in state.step(row)]
             yield pd.DataFrame(out, columns=columns)
         if state is not None:
-            yield pd.DataFrame([(*key, *row) for row in state.end()], columns=columns)
+            yield pd.DataFrame([(*key, *made) for made in state.end()], columns=columns)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
@@ -45,15 +45,15 @@ class _Packing:
     def end(self) -> list[tuple]:
         return [(self.s, self.e, " ".join(self.texts), list(self.ids))] if self.ids else []
 
-    def step(self, row: dict) -> list[tuple]:
+    def step(self, row: tuple) -> list[tuple]:
         out = []
-        if self.ids and (row["e"] - self.s > self.most or self.e - self.s >= self.target):
+        if self.ids and (row.e - self.s > self.most or self.e - self.s >= self.target):
             out, self.ids, self.texts = self.end(), [], []
         if not self.ids:
-            self.s = row["s"]
-        self.ids.append(row["id"])
-        self.texts.append(row["text"])
-        self.e = row["e"]
+            self.s = row.s
+        self.ids.append(row.id)
+        self.texts.append(row.text)
+        self.e = row.e
         return out
 
 
@@ -70,8 +70,8 @@ class _Shots:
     def __init__(self, least: int) -> None:
         self.least, self.done, self.now = least, None, None
 
-    def step(self, row: dict) -> list[tuple]:
-        s, e = row["s"], row["e"]
+    def step(self, row: tuple) -> list[tuple]:
+        s, e = row.s, row.e
         if self.now is None:
             self.now = (s, e)
         elif self.now[1] - self.now[0] < self.least:
@@ -111,15 +111,15 @@ class _Dedup:
     def _same(self, a: tuple, b: tuple | None) -> bool:
         return b is not None and None not in (a[0], b[0]) and (int(a[0], 16) ^ int(b[0], 16)).bit_count() <= self.bits and a[1] == b[1]
 
-    def step(self, row: dict) -> list[tuple]:
-        own, rep = (row["dhash"], row["people"]), (row["rep_dhash"], row["rep_people"])
-        if row["id"] == row["rep_id"]:
+    def step(self, row: tuple) -> list[tuple]:
+        own, rep = (row.dhash, row.people), (row.rep_dhash, row.rep_people)
+        if row.id == row.rep_id:
             self.last = rep
-            return [(row["id"],)]
+            return [(row.id,)]
         if self._same(own, self.last) or self._same(own, rep):
             return []
         self.last = own
-        return [(row["id"],)]
+        return [(row.id,)]
 
     def end(self) -> list[tuple]:
         return []
